@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textloom.llm import bpe, packing
+from textloom.llm import bpe, packing, simhash
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -24,8 +25,13 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.group_documents(_table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_bpe)}
+    return {f.__name__: f for f in (op3_best_fit_packing, op4_bpe, op5_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
