@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, fingerprints, packing, simhash
+from textloom.llm import bpe, fingerprints, line_templates, packing, simhash, toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -34,9 +34,20 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.fit_chain(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, chain).drop("text")
+
+
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.drop_recurring_lines(docs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op3_best_fit_packing, op4_bpe, op5_simhash)}
+    return {f.__name__: f for f in (op1_fingerprints, op3_best_fit_packing, op4_bpe, op5_simhash, op8_toxicity, op10_line_templates)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_line_templates": line_templates.ORACLE_SQL.format(docs="documents")}
