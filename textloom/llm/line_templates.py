@@ -90,9 +90,9 @@ ORACLE_SQL = f"""
 WITH split AS (
   SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM {{docs}}
 ), parsed AS (
-  SELECT doc_id, pos, line, list_filter(string_split_regex(regexp_replace(line, '{_CLASS}', '<*>', 'g'), '[ \\t\\r]+'), t -> t <> '') AS toks FROM split
+  SELECT doc_id, pos, line, list_filter(string_split_regex(regexp_replace(line, '{_CLASS}', '<*>', 'g'), '[ \\t\\r]+'), lambda t: t <> '') AS toks FROM split
 ), rated AS (
-  SELECT *, len(list_filter(toks, t -> t <> '<*>')) >= {LEAST} AS counts, 'x ' || array_to_string(toks, ' ') AS exact FROM parsed
+  SELECT *, len(list_filter(toks, lambda t: t <> '<*>')) >= {LEAST} AS counts, 'x ' || array_to_string(toks, ' ') AS exact FROM parsed
 ), members AS (
   SELECT doc_id, exact, unnest(CASE WHEN len(toks) >= {LONG} THEN [exact, {", ".join(_OPEN)}] ELSE [exact] END) AS template FROM rated WHERE counts
 ), firsts AS (
