@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, fingerprints, line_templates, packing, simhash, toxicity
+from textloom.llm import bpe, fingerprints, licenses, line_templates, packing, pages, simhash, toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -34,6 +34,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = toxicity.fit_chain(docs, _table(spark, sf_dir, "labels"))
@@ -46,7 +54,7 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op3_best_fit_packing, op4_bpe, op5_simhash, op8_toxicity, op10_line_templates)}
+    return {f.__name__: f for f in (op1_fingerprints, op3_best_fit_packing, op4_bpe, op5_simhash, op6_page_text, op7_license_scan, op8_toxicity, op10_line_templates)}
 
 
 def oracle_sql() -> dict[str, str]:
