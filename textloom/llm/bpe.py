@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose ids a worker keeps between batches; beyond it the cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 #: Characters of text worked on at once.
 SLAB_CHARS = 2_000_000
 
