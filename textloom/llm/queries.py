@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, fingerprints, licenses, line_templates, packing, pages, simhash, toxicity
+from textloom.llm import bpe, embeddings, fingerprints, licenses, line_templates, ngrams, packing, pages, simhash, toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -21,6 +21,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_with_next(_table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -48,13 +52,29 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, chain).drop("text")
 
 
+def op9_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_templates.drop_recurring_lines(docs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op3_best_fit_packing, op4_bpe, op5_simhash, op6_page_text, op7_license_scan, op8_toxicity, op10_line_templates)}
+    numbered = (
+        op1_fingerprints,
+        op2_ngram_scores,
+        op3_best_fit_packing,
+        op4_bpe,
+        op5_simhash,
+        op6_page_text,
+        op7_license_scan,
+        op8_toxicity,
+        op9_embedding_groups,
+        op10_line_templates,
+    )
+    return {f.__name__: f for f in numbered}
 
 
 def oracle_sql() -> dict[str, str]:
