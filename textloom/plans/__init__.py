@@ -1,0 +1 @@
+"""Queries over the driver's tables: by name, the DataFrame builder and the same in SQL (None where SQL has no form)."""
