@@ -46,7 +46,7 @@ def prefixed_number(value: Column, prefix: str) -> Column:
 
 def references(docs: DataFrame, label: str, most: int = 999_999) -> DataFrame:
     """id, target and n: references by LABEL followed by one id or a list (commas, slashes, and, or)."""
-    lists = rf"(?i)\b{label}s?[-#\s]*(\d+(?:(?:\s*,\s*(?:and\s+|or\s+)?|\s+and\s+|\s+or\s+|/)\d+(?!\.\w))*)"
+    lists = rf"(?i)\b{label}s?[-#\s]*(\d+(?:(?:\s*,\s*(?:and\s+|or\s+)?|\s+and\s+|\s+or\s+|/)\d+(?![-\w]|\.\w))*)"
     hits = docs.select("id", F.explode(F.regexp_extract_all("text", F.lit(lists), 1)).alias("hit"))
     ids = hits.select("id", F.explode(F.regexp_extract_all("hit", F.lit(r"(\d{1,6})"), 1)).alias("target"))
     return ids.withColumn("target", reference_id(F.col("target"), most)).filter("target is not null").groupBy("id", "target").agg(F.count("*").alias("n"))
