@@ -21,7 +21,6 @@ import math
 from typing import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,33 +52,78 @@ def _budget(part: slice, size: int, cosine: float) -> float:
     return (2 - 2 * cosine) * (part.stop - part.start) / size + SLACK
 
 
-def _cells(cosine: float):
-    """Places every vector in its own cell and, as a visitor, in half of those around it."""
+def _places(x: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, bool, np.ndarray]]:
+    """Cells of unit vectors: their own in each block and, as visitors, half of those around it; with the rows concerned."""
+    size = x.shape[1]
+    turned = x @ rotation(size).T
+    for k, part in enumerate(_blocks(size)):
+        width = math.sqrt(_budget(part, size, cosine)) * (1 + 1e-9)
+        first = np.floor(turned[:, part.start] / width).astype(np.int64)
+        second = np.floor(turned[:, part.start + 1] / width).astype(np.int64) if part.stop - part.start > 1 else np.zeros(len(x), np.int64)
+        for a, b in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1)):
+            cell = ((size * BLOCKS + k) * _GRID + first + a + _GRID // 2) * _GRID + second + b + _GRID // 2
+            home = (a, b) == (0, 0)
+            rows = np.arange(len(x)) if home else np.flatnonzero(_reaches(turned, part, width, first + a, second + b))
+            yield cell[rows], home, rows
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _by_length(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows of each vector length with their vectors as a matrix."""
+    lists = batch.column(column)
+    lengths = np.array([len(v) for v in lists], np.int64)
+    for size in np.unique(lengths).tolist():
+        rows = batch.take(pa.array(np.flatnonzero(lengths == size)))
+        yield rows, np.array(rows.column(column).flatten().to_numpy(zero_copy_only=False)).reshape(-1, size)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _cell_counts(cosine: float):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            lengths = np.array([len(v) if v.is_valid else 0 for v in lists])
-            for size in sorted({*lengths.tolist()} - {0}):
-                at = np.flatnonzero(lengths == size)
-                rows = batch.take(pa.array(at))
-                x = np.array(rows.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, size)
-                turned = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ rotation(size).T
-                for k, part in enumerate(_blocks(size)):
-                    width = math.sqrt(_budget(part, size, cosine)) * (1 + 1e-9)
-                    first = np.floor(turned[:, part.start] / width).astype(np.int64)
-                    second = np.floor(turned[:, part.start + 1] / width).astype(np.int64) if part.stop - part.start > 1 else np.zeros(len(at), np.int64)
-                    for a, b in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1)):
-                        cell = ((size * BLOCKS + k) * _GRID + first + a + _GRID // 2) * _GRID + second + b + _GRID // 2
-                        keep = np.ones(len(at), bool) if (a, b) == (0, 0) else _reaches(turned, part, width, first + a, second + b)
-                        n = int(keep.sum())
-                        if n:
-                            taken = rows.take(pa.array(np.flatnonzero(keep)))
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(cell[keep]), pa.array(np.full(n, (a, b) == (0, 0))), *taken.columns], ["cell", "home", "key", "vector", "copies"]
-                            )
-
-    return place
+            for _, x in _by_length(batch, 0):
+                cells, counts = np.unique(np.concatenate([c for c, _, _ in _places(_unit(x), cosine)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts)], ["cell", "n"])
+
+    return count
+
+
+def _deal(cosine: float, tiles: dict[int, int]):
+    """Sends each vector to the tile pairs (i, j) of its cells: home rows as either side, visitors as the right one."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, x in _by_length(batch, 1):
+                keys, copies = (rows.column(k).to_numpy() for k in (0, 2))
+                for cells, home, at in _places(_unit(x), cosine):
+                    k = np.fromiter(map(tiles.__getitem__, cells.tolist()), np.int64, len(cells))
+                    tile = (keys[at] % k).astype(np.int64)
+                    for count in np.unique(k).tolist():
+                        own = k == count
+                        pairs = [(None, j) for j in range(count)] if home else []
+                        pairs += [(i, None) for i in range(count)]
+                        for i, j in pairs:
+                            # a home row's pair with its own tile comes once
+                            chosen = own & (tile != i) if home and j is None and count > 1 else own
+                            if home and count == 1 and j is None:
+                                continue
+                            r = np.flatnonzero(chosen)
+                            if len(r):
+                                data = np.ascontiguousarray(x[at[r]])
+                                offsets = np.arange(len(r) + 1, dtype=np.int32) * np.int32(data.shape[1] * data.itemsize)
+                                vector = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+                                column_i = tile[r] if i is None else np.full(len(r), i)
+                                column_j = tile[r] if j is None else np.full(len(r), j)
+                                arrays = [cells[r], column_i, column_j, np.full(len(r), home), tile[r], keys[at[r]]]
+                                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), vector, pa.array(copies[at[r]])], ["cell", "i", "j", "home", "tile", "key", "vector", "copies"])
+
+    return deal
+
+
+_DEALT = "cell long, i long, j long, home boolean, tile long, key long, vector binary, copies long"
 
 
 def _reaches(turned: np.ndarray, part: slice, width: float, first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -92,26 +136,27 @@ def _reaches(turned: np.ndarray, part: slice, width: float, first: np.ndarray, s
     return out <= width**2 * (1 + 1e-9)
 
 
-def _links_of(cosine: float):
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+
+
+def _links_of(cosine: float, kind: type):
     """Verifies one pair of tiles: how many copies each vector links with, and joining links."""
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        empty = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
-        left = left[left["home"]]
+    def join(table: pa.Table) -> pa.Table:
+        i, j, home, tile, key, copies = (table.column(c).to_numpy() for c in ("i", "j", "home", "tile", "key", "copies"))
+        left, right = np.flatnonzero(home & (tile == i)), np.flatnonzero(tile == j)
         if not len(left) or not len(right):
-            return empty
-        size = len(left["vector"].iloc[0])
-        block = int(left["cell"].iloc[0]) // _GRID // _GRID % BLOCKS
+            return _LINKS.empty_table()
+        cell = table.column("cell")[0].as_py()
+        size, block = cell // _GRID // _GRID // BLOCKS, cell // _GRID // _GRID % BLOCKS
+        data = np.frombuffer(b"".join(table.column("vector").to_pylist()), kind).reshape(-1, size)
         parts = _blocks(size)
         part, turn = parts[block], rotation(size)
         budget = _budget(part, size, cosine)
-        x, y = (np.array(s["vector"].tolist(), np.float64) for s in (left, right))
+        x, y = data[left].astype(np.float64), data[right].astype(np.float64)
         x_norm, y_norm = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
         x_turned, y_turned = (x / x_norm[:, None]) @ turn.T, (y / y_norm[:, None]) @ turn.T
-        x_key, y_key = left["key"].to_numpy(), right["key"].to_numpy()
-        x_copies, y_copies = left["copies"].to_numpy(), right["copies"].to_numpy()
-        y_home = right["home"].to_numpy()
+        x_key, y_key, x_copies, y_copies, y_home = key[left], key[right], copies[left], copies[right], home[right]
         yb = y_turned[:, part]
         counts: dict[int, int] = {}
         forest = Forest()
@@ -136,9 +181,8 @@ def _links_of(cosine: float):
                     counts[b] = counts.get(b, 0) + m
                     forest.join(a, b)
         joined = forest.links
-        return pd.DataFrame(
-            {"a": [*counts, *(a for a, _ in joined)], "b": [*counts, *(b for _, b in joined)], "n": [*counts.values(), *[0] * len(joined)]}, dtype=np.int64
-        )
+        columns = [[*counts, *(a for a, _ in joined)], [*counts, *(b for _, b in joined)], [*counts.values(), *[0] * len(joined)]]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], schema=_LINKS)
 
     return join
 
@@ -166,21 +210,18 @@ class Forest:
 
 def link_vectors(vectors: DataFrame, cosine: float = COSINE, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
-    values = F.col("embedding").cast("array<double>")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), values.alias("vector"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"))
+    kind = np.float32 if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64
+    rows = rows if kind is np.float32 else rows.withColumn("vector", F.col("vector").cast("array<double>"))
     sound = F.coalesce(F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0), F.lit(False))
     rows = rows.withColumn("vector", F.when(sound, F.col("vector"))).withColumn("key", F.xxhash64("vector"))
     linked = rows.filter("vector is not null")
     classes = written(linked.groupBy("key", "vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id")))
-    placed = written(classes.select("key", "vector", "copies").mapInArrow(_cells(cosine), "cell long, home boolean, key long, vector array<double>, copies long"))
-    # the number of cells is bounded by the blocks and the grid over [-1, 1], whatever the input
-    tiles = placed.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    dealt = placed.join(F.broadcast(tiles), "cell").withColumn("tile", F.pmod("key", F.col("tiles")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("tiles") - 1)
-    as_left = dealt.filter("home").select("*", F.lit(0).alias("side"), F.col("tile").alias("i"), F.explode(every).alias("j"))
-    as_right = dealt.select("*", F.lit(1).alias("side"), F.explode(every).alias("i"), F.col("tile").alias("j"))
-    pairs = as_left.unionByName(as_right).drop("tiles", "tile").groupBy("cell", "i", "j").applyInPandas(_links_of(cosine), "a long, b long, n long")
-    found = written(pairs)
+    # cells are bounded by the blocks and the grid over [-1, 1], whatever the input
+    sizes = classes.select("vector").mapInArrow(_cell_counts(cosine), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    tiles = {r.cell: -(-r.n // tile) for r in sizes}
+    dealt = classes.select("key", "vector", "copies").mapInArrow(_deal(cosine, tiles), _DEALT)
+    found = written(dealt.groupBy("cell", "i", "j").applyInArrow(_links_of(cosine, kind), "a long, b long, n long"))
     counts = found.filter("n > 0").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("others"))
     parts = connected_components(found.filter("a <> b")).withColumnRenamed("node", "key")
     rooted = classes.drop("vector").join(counts, "key", "left").join(parts, "key", "left").withColumn("root", F.coalesce("component", "key"))
@@ -189,3 +230,19 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, tile: int = TILE) -
     same = rows.filter("vector is not null").select("vec_id", "key").join(result, "key").select("vec_id", "n_links", "component_id")
     alone = rows.filter("vector is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return same.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+#: The same by brute force in DuckDB, for tables of some thousand vectors.
+ORACLE_SQL = f"""
+WITH RECURSIVE sound AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= {COSINE}
+), reach AS (
+  SELECT vec_id AS node, vec_id AS other FROM embeddings UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other
+), parts AS (
+  SELECT node, min(other) AS component_id FROM reach GROUP BY node
+)
+SELECT node AS vec_id, (SELECT count(*) FROM links WHERE a = node) AS n_links, component_id, node = component_id AS kept FROM parts
+"""

@@ -102,3 +102,37 @@ def scan(docs: DataFrame) -> DataFrame:
     )
     # a row again for each repeat
     return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("text_key", "copies", "copy")
+
+
+def _listed() -> str:
+    kinds = [(BASE, "true", "false"), (PHRASES, "false", "false")]
+    rows = [f"('{label}', {base}, {notice}, '{text}')" for table, base, notice in kinds for text, label in table.items()]
+    return ", ".join(rows + [f"('{label}', false, true, '{text}')" for label, text in NOTICES.items()])
+
+
+#: The same in DuckDB, with pairs of words in place of hashes; for tables in which a doc_id comes once.
+ORACLE_SQL = rf"""
+WITH split AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM documents
+), grams AS (
+  SELECT doc_id, i - 1 AS at, words[i] || ' ' || words[i + 1] AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words))) AS i FROM split)
+), listed AS (
+  SELECT label, base, notice, string_split(phrase, ' ') AS words FROM (VALUES {_listed()}) v(label, base, notice, phrase)
+), places AS (
+  SELECT label, base, notice, len(words) - 1 AS grams, i - 1 AS place, words[i] || ' ' || words[i + 1] AS gram FROM (SELECT *, unnest(range(1, len(words))) AS i FROM listed)
+), votes AS (
+  SELECT doc_id, label, base, notice, grams, at - place AS diagonal, list(DISTINCT place) AS hit FROM grams JOIN places USING (gram) GROUP BY ALL
+), marked AS (
+  SELECT *, CASE WHEN notice AND diagonal - lag(diagonal) OVER w <= {NEIGHBOURS} THEN 0 ELSE 1 END AS new FROM votes WINDOW w AS (PARTITION BY doc_id, label ORDER BY diagonal)
+), numbered AS (
+  SELECT *, sum(new) OVER (PARTITION BY doc_id, label ORDER BY diagonal) AS span FROM marked
+), spans AS (
+  SELECT doc_id, label, base, notice, min(diagonal) AS start, len(list_distinct(flatten(list(hit)))) / grams AS cover FROM numbered GROUP BY doc_id, label, base, notice, grams, span
+), found AS (
+  SELECT * FROM spans WHERE cover >= CASE WHEN notice THEN {COVER} ELSE 1 END
+)
+SELECT s.doc_id, len(any_value(s.words))::BIGINT AS n_words, count(*) FILTER (f.base) AS n_base, min(f.start) FILTER (f.base) AS first_word, max(f.start) FILTER (f.base) AS last_word,
+  coalesce(string_agg(DISTINCT f.label, ',' ORDER BY f.label) FILTER (f.base), '') AS base_labels, coalesce(string_agg(DISTINCT f.label, ',' ORDER BY f.label), '') AS labels,
+  coalesce(max(f.cover), 0)::DOUBLE AS score
+FROM split s LEFT JOIN found f ON s.doc_id = f.doc_id GROUP BY s.doc_id
+"""

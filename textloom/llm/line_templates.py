@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.shared import written
+
 DEPTH = 3
 SEGMENTS = 6
 LONG = 10
@@ -28,42 +30,53 @@ _LAST = (1 << 63) - 1
 def tokens(line: Column) -> Column:
     """Tokens of a line, variable fields as <*>."""
     shown = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^ \t]*[0-9][^ \t]*", "<*>")).otherwise(line)
-    return F.filter(F.split(shown, "[ \t\r]+"), lambda t: t != "")
+    untidy = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    # a split at one plain character needs no regular expression
+    return F.split(F.when(untidy, F.trim(F.regexp_replace(shown, "[ \t\r]+", " "))).otherwise(shown), " ")
 
 
-def _exact(toks: Column) -> Column:
-    return F.xxhash64(F.size(toks), toks)
+def _start(toks: Column, i: int) -> Column:
+    return F.floor((F.size(toks) - DEPTH) * i / SEGMENTS).cast("int")
+
 
+def _runs(toks: Column) -> list[Column]:
+    """Hashes of the runs behind the leading tokens."""
+    starts = [_start(toks, i) for i in range(SEGMENTS + 1)]
+    return [F.xxhash64(F.slice(toks, a + (DEPTH + 1), F.greatest(b - a, F.lit(0)))) for a, b in zip(starts, starts[1:])]
 
-def _fixed(toks: Column) -> Column:
-    return F.size(toks) - F.size(F.filter(toks, lambda t: t == "<*>"))
 
+def _lead(toks: Column) -> Column:
+    return F.xxhash64(F.size(toks), F.slice(toks, 1, DEPTH))
 
-def _templates(toks: Column) -> Column:
-    """Hashes of the line's templates: the exact one, then one for each open run."""
-    n = F.size(toks)
-    rest = n - DEPTH
 
-    def start(i: int) -> Column:
-        return F.floor(rest * i / SEGMENTS).cast("int")
+def _exact(toks: Column) -> Column:
+    return F.when(F.size(toks) >= LONG, F.xxhash64(_lead(toks), *_runs(toks))).otherwise(F.xxhash64(F.size(toks), toks))
+
 
-    runs = [F.xxhash64(F.slice(toks, start(i) + (DEPTH + 1), F.greatest(start(i + 1) - start(i), F.lit(0)))) for i in range(SEGMENTS)]
-    lead = F.xxhash64(F.slice(toks, 1, DEPTH))
-    opened = [F.xxhash64(n, lead, *[F.lit(j) if j == i else runs[j] for j in range(SEGMENTS)]) for i in range(SEGMENTS)]
-    return F.when(n >= LONG, F.array(_exact(toks), *opened)).otherwise(F.array(_exact(toks)))
+def _counts(toks: Column) -> Column:
+    """Whether the line has enough fixed tokens."""
+    fields = F.when(F.array_contains(toks, "<*>"), F.size(F.filter(toks, lambda t: t == "<*>"))).otherwise(0)
+    return F.size(toks) - fields >= LEAST
 
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     """docs with recurring lines taken out of ``text``, and the columns n_lines and n_dropped."""
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    lines = docs.select(own.alias("doc"), F.explode(F.split("text", "\n")).alias("line"))
-    parsed = lines.select("doc", tokens(F.col("line")).alias("toks")).filter(_fixed(F.col("toks")) >= LEAST)
-    members = parsed.select("doc", _exact(F.col("toks")).alias("line"), F.explode(_templates(F.col("toks"))).alias("template"))
+    lines = docs.select(own.alias("doc"), F.explode(F.split("text", "\n")).alias("line")).select("doc", tokens(F.col("line")).alias("toks"))
+    toks = F.col("toks")
+    # one array of hashes for each line that counts: the lead, then the runs, or a short line's only template
+    parts = F.when(_counts(toks), F.when(F.size(toks) >= LONG, F.array(_lead(toks), *_runs(toks))).otherwise(F.array(_exact(toks))))
+    parsed = written(lines.select("doc", parts.alias("parts"))).filter("parts is not null")
+    part = [F.get("parts", F.lit(i)) for i in range(SEGMENTS + 1)]
+    exact = F.when(F.size("parts") > 1, F.xxhash64(*part)).otherwise(part[0])
+    opened = [F.xxhash64(part[0], *[F.lit(j) if j == i else part[j + 1] for j in range(SEGMENTS)]) for i in range(SEGMENTS)]
+    templates = F.when(F.size("parts") > 1, F.array(exact, *opened)).otherwise(F.array(exact))
+    members = parsed.select("doc", exact.alias("line"), F.explode(templates).alias("template"))
     first = members.groupBy("template").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
     dropped = members.join(first.drop("last"), "template").filter("doc > first").groupBy("doc").agg(F.collect_set("line").alias("gone"))
     kept = F.filter(
         F.split("text", "\n"),
-        lambda l: ~((_fixed(tokens(l)) >= LEAST) & F.array_contains(F.col("_gone"), _exact(tokens(l)))),
+        lambda l: ~(_counts(tokens(l)) & F.array_contains(F.col("_gone"), _exact(tokens(l)))),
     )
     gone = dropped.select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone"))
     joined = docs.withColumn("_own", own).join(gone, F.col("_own") == F.col("_doc"), "left")

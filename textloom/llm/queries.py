@@ -78,4 +78,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_templates": line_templates.ORACLE_SQL.format(docs="documents")}
+    return {
+        "op7_license_scan": licenses.ORACLE_SQL,
+        "op9_embedding_groups": embeddings.ORACLE_SQL,
+        "op10_line_templates": line_templates.ORACLE_SQL.format(docs="documents"),
+    }

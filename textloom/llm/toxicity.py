@@ -15,6 +15,7 @@ is toxic; repeated rows get equal scores.
 
 from __future__ import annotations
 
+import zlib
 from typing import Iterator
 
 import numpy as np
@@ -44,13 +45,23 @@ def words(text: str | None) -> set[bytes]:
     return found.union(*[{b"^" + p for p in part} for part in starts])
 
 
+def features(text: str | None) -> np.ndarray:
+    """The words as 32-bit hashes."""
+    found = words(text)
+    return np.fromiter(map(zlib.crc32, found), np.uint32, len(found))
+
+
 class Rows:
-    """Rows of word indexes, flattened."""
+    """Places in the vocabulary of each row's features, flattened; other features are left out."""
 
-    def __init__(self, lists: list[np.ndarray]):
-        self.n = len(lists)
-        self.row = np.repeat(np.arange(self.n), [len(x) for x in lists])
-        self.word = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+    def __init__(self, bags: list[np.ndarray], vocabulary: np.ndarray):
+        self.n = len(bags)
+        row = np.repeat(np.arange(self.n, dtype=np.int32), [len(x) for x in bags])
+        feature = np.concatenate(bags) if bags else np.zeros(0, np.uint32)
+        place = np.searchsorted(vocabulary, feature).astype(np.int32)
+        known = place < len(vocabulary)
+        known[known] = vocabulary[place[known]] == feature[known]
+        self.row, self.word = row[known], place[known]
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights[self.word], self.n)
@@ -90,15 +101,12 @@ def fit_logistic(rows: Rows, earlier: np.ndarray, y: np.ndarray, use: np.ndarray
 class Chain:
     """Fitted models of all categories over one vocabulary."""
 
-    def __init__(self, bags: list[set[bytes]], labels: np.ndarray, folds: np.ndarray, hold_out_last: bool = False):
-        counts: dict[bytes, int] = {}
-        for bag in bags:
-            for word in bag:
-                counts[word] = counts.get(word, 0) + 1
-        frequent = sorted((w for w, c in counts.items() if c >= LEAST_TEXTS), key=lambda w: (-counts[w], w))[:VOCABULARY]
-        self.index = {w: i for i, w in enumerate(frequent)}
-        size = len(self.index)
-        rows = Rows([self._row(bag) for bag in bags])
+    def __init__(self, bags: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, hold_out_last: bool = False):
+        found, counts = np.unique(np.concatenate([*bags, np.zeros(0, np.uint32)]), return_counts=True)
+        frequent = np.argsort(-counts, kind="stable")[:VOCABULARY]
+        self.vocabulary = np.sort(found[frequent[counts[frequent] >= LEAST_TEXTS]])
+        size = len(self.vocabulary)
+        rows = Rows(bags, self.vocabulary)
         earlier = np.zeros((len(bags), 0))
         self.models: list[np.ndarray] = []
         for k in range(labels.shape[1]):
@@ -115,13 +123,10 @@ class Chain:
         #: out-of-fold probabilities of the training rows, by category
         self.held_out = _sigmoid(earlier)
 
-    def _row(self, bag: set[bytes]) -> np.ndarray:
-        return np.array(sorted(self.index[w] for w in bag & self.index.keys()), np.int64)
-
-    def predict(self, bags: list[set[bytes]]) -> np.ndarray:
+    def predict(self, bags: list[np.ndarray]) -> np.ndarray:
         """A probability for each text and category."""
-        size = len(self.index)
-        rows = Rows([self._row(bag) for bag in bags])
+        size = len(self.vocabulary)
+        rows = Rows(bags, self.vocabulary)
         earlier = np.zeros((len(bags), 0))
         for model in self.models:
             z = rows.dot(model[:size]) + earlier @ model[size:-1] + model[-1]
@@ -130,7 +135,7 @@ class Chain:
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, most: int = TRAIN_ROWS) -> Chain:
-    """Fits the chain on at most ``most`` labelled rows; their words, not their texts, reach the driver."""
+    """Fits the chain on at most ``most`` labelled rows; hashes of their words reach the driver."""
     marks = [F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c) for c in categories]
     chosen = labels.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id"), *marks).dropDuplicates(["_id"]).withColumn("_order", F.xxhash64("_id"))
     chosen = chosen.orderBy("_order", "_id").limit(most)
@@ -138,14 +143,14 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] =
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [b" ".join(sorted(words(t.as_py()))) for t in batch.column(0)]
+            found = [np.sort(features(t.as_py())).tobytes() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *batch.columns[1:]], ["bag", *batch.schema.names[1:]])
 
     joined = texts.join(F.broadcast(chosen), "_id").select("_text", "_id", *categories)  # at most TRAIN_ROWS ids
     rows = joined.mapInArrow(bags, "bag binary, _id long, " + ", ".join(f"{c} int" for c in categories)).limit(2 * most).toPandas()
     rows = rows.sort_values(["_id", "bag"]).drop_duplicates("_id")
     folds = (rows["_id"].to_numpy(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % FOLDS
-    return Chain([set(b.split()) for b in rows["bag"]], rows[list(categories)].to_numpy(np.int64).reshape(-1, len(categories)), folds)
+    return Chain([np.frombuffer(b, np.uint32) for b in rows["bag"]], rows[list(categories)].to_numpy(np.int64).reshape(-1, len(categories)), folds)
 
 
 def score_documents(docs: DataFrame, chain: Chain, categories: tuple[str, ...] = CATEGORIES, threshold: float = THRESHOLD) -> DataFrame:
@@ -156,7 +161,7 @@ def score_documents(docs: DataFrame, chain: Chain, categories: tuple[str, ...] =
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text_at)
-            scores = np.concatenate([chain.predict([words(t.as_py()) for t in texts.slice(at, 500)]) for at in range(0, max(1, batch.num_rows), 500)])
+            scores = np.concatenate([chain.predict([features(t.as_py()) for t in texts.slice(at, 500)]) for at in range(0, max(1, batch.num_rows), 500)])
             more = [pa.array(scores[:, k]) for k in range(len(categories))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more, pa.array(scores[:, -1] >= threshold)], [*names, *(f"{c}_score" for c in categories), "is_toxic"])
 
