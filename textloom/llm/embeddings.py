@@ -30,8 +30,10 @@ from textloom.operators.components import connected_components
 
 COSINE = 0.9
 BLOCKS = 8
-#: Vectors of a cell in one tile.
-TILE = 4096
+#: Vectors of a cell in one tile: a pair of tiles is some 20 MB, and each tile more is another copy of a cell's vectors.
+TILE = 32_768
+#: Distances of a block worked on at once.
+PANEL = 1 << 22
 #: Allows for rounding of rotated coordinates; candidates are verified exactly.
 SLACK = 1e-9
 _GRID = 1 << 12
@@ -158,10 +160,13 @@ def _links_of(cosine: float, kind: type):
         x_turned, y_turned = (x / x_norm[:, None]) @ turn.T, (y / y_norm[:, None]) @ turn.T
         x_key, y_key, x_copies, y_copies, y_home = key[left], key[right], copies[left], copies[right], home[right]
         yb = y_turned[:, part]
-        counts: dict[int, int] = {}
-        forest = Forest()
-        for at in range(0, len(x), 256):
-            xb = x_turned[at : at + 256, part]
+        names, at_name = np.unique(np.concatenate([x_key, y_key]), return_inverse=True)
+        x_name, y_name = at_name[: len(left)], at_name[len(left) :]
+        counts = np.zeros(len(names), np.int64)
+        forest = Forest(len(names))
+        panel = max(1, PANEL // len(right))
+        for at in range(0, len(x), panel):
+            xb = x_turned[at : at + panel, part]
             near = (xb**2).sum(1)[:, None] + (yb**2).sum(1) - 2 * xb @ yb.T <= budget + SLACK
             i, j = np.nonzero(near)
             i += at
@@ -176,36 +181,43 @@ def _links_of(cosine: float, kind: type):
                 within = np.column_stack([apart[:, s].sum(1) <= _budget(s, size, cosine) for s in parts])
                 mine = within.argmax(axis=1) == block
                 p, q = p[mine], q[mine]
-                for a, b, m, n in zip(x_key[p].tolist(), y_key[q].tolist(), x_copies[p].tolist(), y_copies[q].tolist()):
-                    counts[a] = counts.get(a, 0) + n
-                    counts[b] = counts.get(b, 0) + m
-                    forest.join(a, b)
-        joined = forest.links
-        columns = [[*counts, *(a for a, _ in joined)], [*counts, *(b for _, b in joined)], [*counts.values(), *[0] * len(joined)]]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], schema=_LINKS)
+                if len(p):
+                    np.add.at(counts, x_name[p], y_copies[q])
+                    np.add.at(counts, y_name[q], x_copies[p])
+                    forest.join(x_name[p], y_name[q])
+        linked, joined = np.flatnonzero(counts), np.array(forest.links, np.int64).reshape(-1, 2)
+        columns = [np.concatenate([names[linked], names[joined[:, side]]]) for side in (0, 1)] + [np.concatenate([counts[linked], np.zeros(len(joined), np.int64)])]
+        return pa.table([pa.array(c) for c in columns], schema=_LINKS)
 
     return join
 
 
 class Forest:
-    """Union-find that remembers the links that joined two groups."""
+    """Groups of the numbers below n, and the links that joined them."""
 
-    def __init__(self):
-        self.parent: dict[int, int] = {}
+    def __init__(self, n: int):
+        self.root = np.arange(n)
         self.links: list[tuple[int, int]] = []
 
-    def root(self, x: int) -> int:
-        parent = self.parent
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = parent[p]
-            x = parent[x]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        r, s = self.root(a), self.root(b)
-        if r != s:
-            self.parent[s] = r
-            self.links.append((a, b))
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Adds links a[k] - b[k]; only those between different groups take a step each."""
+        apart = self.root[a] != self.root[b]
+        _, first = np.unique(np.column_stack([self.root[a[apart]], self.root[b[apart]]]), axis=0, return_index=True)
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (p := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(p, p)
+            return x
+
+        for x, y in zip(a[apart][first].tolist(), b[apart][first].tolist()):
+            r, s = top(int(self.root[x])), top(int(self.root[y]))
+            if r != s:
+                parent[s] = r
+                self.links.append((x, y))
+        if parent:
+            self.root[list(parent)] = list(map(top, list(parent)))
+            self.root = self.root[self.root]
 
 
 def link_vectors(vectors: DataFrame, cosine: float = COSINE, tile: int = TILE) -> DataFrame:
