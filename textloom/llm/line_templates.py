@@ -74,10 +74,10 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     members = parsed.select("doc", exact.alias("line"), F.explode(templates).alias("template"))
     first = members.groupBy("template").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
     dropped = members.join(first.drop("last"), "template").filter("doc > first").groupBy("doc").agg(F.collect_set("line").alias("gone"))
-    kept = F.filter(
-        F.split("text", "\n"),
-        lambda l: ~(_counts(tokens(l)) & F.array_contains(F.col("_gone"), _exact(tokens(l)))),
-    )
+    # bound as lambda variables, the tokens of a line are made once
+    keys = F.transform(F.transform(F.split("text", "\n"), tokens), lambda t: F.when(_counts(t), _exact(t)))
+    gone_or_line = F.zip_with(F.split("text", "\n"), keys, lambda l, k: F.when(~F.coalesce(F.array_contains(F.col("_gone"), k), F.lit(False)), l))
+    kept = F.filter(gone_or_line, lambda l: l.isNotNull())
     gone = dropped.select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone"))
     joined = docs.withColumn("_own", own).join(gone, F.col("_own") == F.col("_doc"), "left")
     joined = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
