@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from textloom.llm import ngrams as ng
 
@@ -79,3 +80,18 @@ def test_codes_round_trip():
     for most in (100, 2**20, 2**44):
         values = np.unique(rng.integers(0, most, 4000))
         assert np.array_equal(ng.EliasFano(values).successor(values), np.arange(len(values)))
+
+
+def test_slices_of_any_size_give_equal_scores(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 80))) for _ in range(60)] + ["", "a b " * 300]
+    docs = pa.table(
+        [pa.array([0] * len(texts), pa.int32()), pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.array([int(i % 7 == 2) for i in range(len(texts))], pa.int32())],
+        names=["chunk", "doc_id", "text", "held_out"],
+    )
+    asked = pa.Table.from_batches(ng._requests(4)(iter(docs.to_batches()))).sort_by([("shard", "ascending"), ("level", "ascending")])
+    answers = pa.Table.from_batches(list(ng._answers(iter(asked.to_batches()))))
+    whole = ng._score(docs, answers)
+    for size in (1, 50, 700):
+        monkeypatch.setattr(ng, "TRIE_TOKENS", size)
+        assert ng._score(docs, answers).equals(whole)

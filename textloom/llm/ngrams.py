@@ -6,8 +6,8 @@ hashes, Elias-Fano coded, with its training counts.  A shard adds the counts of
 and answers in the order asked, so answers need no keys.  Shards are ranges of a hash of
 the whole n-gram: a frequent word is one key for each chunk, whatever its count.
 
-With the answers a chunk lays out the slice of the model that its texts need as a trie in
-one memory map: level 1 the words, level 2 the successors of each word, level 3 the
+With the answers a chunk lays out the slices of the model that its texts need, some texts at
+a time, each as a trie in one memory map: level 1 the words, level 2 the successors of each word, level 3 the
 successors of each pair, written as ranks among the successors of the pair's last word.
 Levels are Elias-Fano sequences with monotone pointers and 16-bit codes of the smoothed
 log probabilities.  Each token is scored by successor search from its longest context.
@@ -54,6 +54,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _END, _BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _SLAB = 1 << 20
+#: Tokens whose texts share a trie, about; a longer text has one of its own.
+TRIE_TOKENS = 1 << 18
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -104,9 +106,7 @@ class Tokens:
             if text is not None:
                 slab.append(text)
                 size += len(text)
-        n = np.concatenate(counts) + 1
-        self.starts = np.concatenate([[0], np.cumsum(n)])
-        self.text = np.repeat(np.arange(len(texts)), n)
+        self.starts = np.concatenate([[0], np.cumsum(np.concatenate(counts) + 1)])
         self.tokens = np.full(self.starts[-1], _END)
         inside = np.ones(len(self.tokens), bool)
         inside[self.starts[1:] - 1] = False
@@ -114,6 +114,21 @@ class Tokens:
         self.first = np.zeros(len(self.tokens), bool)
         self.first[self.starts[:-1]] = True
 
+    def part(self, i: int, j: int) -> Tokens:
+        """Texts i to j, j excluded."""
+        out = object.__new__(Tokens)
+        low, high = self.starts[i], self.starts[j]
+        out.starts, out.tokens, out.first = self.starts[i : j + 1] - low, self.tokens[low:high], self.first[low:high]
+        return out
+
+    def slices(self) -> Iterator[tuple[int, int]]:
+        """Runs of texts of about TRIE_TOKENS tokens."""
+        i, n = 0, len(self.starts) - 1
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(self.starts, self.starts[i] + TRIE_TOKENS, "right")) - 1)
+            yield i, j
+            i = j
+
     def _previous(self, values: np.ndarray, begin) -> np.ndarray:
         out = np.empty_like(values)
         out[1:] = values[:-1]
@@ -302,6 +317,17 @@ def _first_of_each(keys: np.ndarray) -> np.ndarray:
     return order[new]
 
 
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """Each key's place among the distinct keys."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.zeros(len(keys), np.int64)
+    new[1:] = ordered[1:] != ordered[:-1]
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
 def _edges(level: int, shards: int) -> list[int]:
     return [(i << KEY_BITS[level]) // shards for i in range(shards)]
 
@@ -312,7 +338,7 @@ def _requests(shards: int):
             texts = [x for _, x, _ in rows]
             trained = np.array([h for _, _, h in rows]) == 0
             t = Tokens(texts)
-            learn = trained[t.text]
+            learn = np.repeat(trained, np.diff(t.starts))
             for level in (1, 2, 3):
                 keys, mark = t.keys(level), learn if level < 3 else learn[~t.first]
                 order = np.argsort(keys)
@@ -396,21 +422,26 @@ def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
     for level, code, s in zip(answers.column("level").to_pylist(), answers.column("counts"), answers.column("stats").to_pylist()):
         found[level].append(counts_unpack(code.as_py()))
         stats.append((level, s))
-    counts = {k: np.concatenate(v) for k, v in found.items()}
     totals = Totals(stats)
-    trie = Trie(t, counts, totals)
-    c = counts[1][trie.ids]
-    base = np.log10((c + 1) / (totals.tokens + totals.types + 1))
+    counts = {k: np.concatenate(found.pop(k))[_ranks(t.keys(k))] for k in (1, 2, 3)}
+    base = np.log10((counts[1] + 1) / (totals.tokens + totals.types + 1))
+    logs = np.empty(len(t.tokens))
+    for i, j in t.slices():
+        part, low, high = t.part(i, j), t.starts[i], t.starts[j]
+        # level 3 skips each text's first token
+        inside = {1: counts[1][low:high], 2: counts[2][low:high], 3: counts[3][low - i : high - j]}
+        distinct = {k: v[_first_of_each(part.keys(k))] for k, v in inside.items()}
+        logs[low:high] = Trie(part, distinct, totals).log_probabilities(part)
     at = t.starts[:-1]
     return pa.table(
         [
             docs.column("doc_id"),
             pa.array(docs.column("held_out").to_numpy().astype(bool)),
             pa.array(np.diff(t.starts)),
-            pa.array(np.add.reduceat((c > 0).astype(np.int64), at)),
+            pa.array(np.add.reduceat((counts[1] > 0).astype(np.int64), at)),
             pa.array(np.full(len(texts), totals.tokens)),
             pa.array(np.add.reduceat(base, at)),
-            pa.array(np.add.reduceat(trie.log_probabilities(t), at)),
+            pa.array(np.add.reduceat(logs, at)),
         ],
         schema=_RESULT_ARROW,
     )
