@@ -71,30 +71,19 @@ class PrefixBpe:
         symbols = [vocab[c] for c in alphabet] + [vocab[c + suffix] for c in alphabet]
         spelled: dict[int, tuple[int, ...]] = {t: (s,) for s, t in enumerate(symbols)}
         self.rank: dict[tuple[int, int], int] = {}
-        left_of, right_of, made_at = {}, {}, {}
+        left_of, right_of = {}, {}
+        self.made_at: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             x, y, t = vocab[a], vocab[b], vocab[a + b]
             self.rank[x, y] = rank
-            left_of[t], right_of[t], made_at[t] = x, y, rank
+            left_of[t], right_of[t], self.made_at[t] = x, y, rank
             spelled[t] = spelled[x] + spelled[y]
         self.length = {t: len(s) for t, s in spelled.items()}
         self.packed = {t: t.to_bytes(4, "little") for t in self.strings}
-        never = len(model["merges"]) + 1
-
-        def spine(token: int, child: dict[int, int]) -> list[tuple[int, int]]:
-            """Pieces at one edge of the token, each with the rank that ends it."""
-            out, ends = [(token, never)], never
-            while token in child:
-                ends, token = made_at[token], child[token]
-                out.append((token, ends))
-            return out
-
-        self.right_edge = {t: spine(t, right_of) for t in spelled}
-        self.left_edge = {t: spine(t, left_of) for t in spelled}
+        self.left_of, self.right_of, self.never = left_of, right_of, len(model["merges"]) + 1
         self._automaton(spelled)
         self._joined: dict[int, bool] = {}
-        self._parts: dict[bytes, bytes] = {}
         self._words: dict[str, bytes] = {}
         self._decoded: dict[str, str] = {}
 
@@ -136,14 +125,23 @@ class PrefixBpe:
             nxt = self.step[key] = 0 if state == 0 else self._next(self.fail[state], symbol)
         return nxt
 
+    def _edge(self, token: int, child: dict[int, int]) -> list[tuple[int, int]]:
+        """Pieces at one edge of the token, each with the rank that ends it."""
+        out, ends = [(token, self.never)], self.never
+        while token in child:
+            ends, token = self.made_at[token], child[token]
+            out.append((token, ends))
+        return out
+
     def _joins(self, a: int, b: int) -> bool:
         """Whether token b can follow token a: no merge crosses their border."""
         key = a << 16 | b
         known = self._joined.get(key)
         if known is None:
             rank, known = self.rank, True
-            for x, x_ends in self.right_edge[a]:
-                for y, y_ends in self.left_edge[b]:
+            left_edge = self._edge(b, self.left_of)
+            for x, x_ends in self._edge(a, self.right_of):
+                for y, y_ends in left_edge:
                     r = rank.get((x, y))
                     if r is not None and r < x_ends and r <= y_ends:
                         known = False
@@ -224,10 +222,8 @@ class PrefixBpe:
         if len(self._words) > CACHE_WORDS:
             self._words.clear()
             self._decoded.clear()
-            self._parts.clear()
         split = {w: self._split_word(w) for w in set(words).difference(self._words)}
-        known = self._parts
-        known.update(self.encode_parts({p for parts in split.values() for p in parts if not isinstance(p, int) and p not in known}))
+        known = self.encode_parts({p for parts in split.values() for p in parts if not isinstance(p, int)})
         for w, parts in split.items():
             self._words[w] = b"".join([self.packed[p] if isinstance(p, int) else known[p] for p in parts])
 
