@@ -4,7 +4,7 @@ Each line walks a tree of fixed depth: its token count, then its first ``DEPTH``
 Tokens with digits are variable fields and stand as ``<*>``.  At the leaf, the rest of the
 tokens is cut into ``SEGMENTS`` runs; a line belongs to its exact template and, from
 ``LONG`` tokens on, to the templates that leave one run open (``<*>``), so lines at one leaf
-that agree on 0.8 of their tokens share a template.  A template that recurs across documents
+that differ within one run only share a template.  A template that recurs across documents
 stays in its first document (the smallest doc_id) and its lines are dropped from the others.
 
 Lines with fewer than ``LEAST`` fixed tokens say too little and always stay.
