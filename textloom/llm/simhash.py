@@ -18,6 +18,7 @@ name no component; a bit that is set in exactly half the hashes is 0.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 from typing import Iterator
 
@@ -200,9 +201,9 @@ def group_documents(docs: DataFrame) -> DataFrame:
     return prints.join(rooted.select("fp", "root").join(lowest, "root"), "fp").select("doc_id", "fp", "component_id")
 
 
-def first_of_each_group(docs: DataFrame) -> DataFrame:
+def first_of_each_group(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = group_documents) -> DataFrame:
     """The documents whose doc_id is their component's smallest, one row for each; all columns stay."""
-    groups = written(group_documents(docs))
+    groups = written(grouped(docs))
     keep = groups.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
     nameless = docs.filter("doc_id is null")  # no id, so no group is named by it
     named = docs.join(keep, F.col("doc_id") == F.col("_kept"))
