@@ -6,7 +6,10 @@ have it, the presentations (sequences of child tags) and the contents (hashed te
 Its importance combines the entropy of presentations and, for content, one minus the mean
 entropy of its texts over the host's pages; a text on all pages counts 0, a text on one
 page 1.  Branches whose nodes all stay below ``IMPORTANT`` are taken out of each page of
-the host, if at least ``LEAST_PAGES`` pages show them.  Only sums by path are shuffled.
+the host, if at least ``LEAST_PAGES`` different pages show them: rows of one host and html
+are one page.  A branch that holds all text of a page or its article (or main) stays there,
+and where the branches would leave nothing, the one with most text stays.  Only sums by path
+and hashes of repeated pages are shuffled.
 
 Elements that say what they are (nav, footer, aside, form, script, comments, adverts...)
 go at once, and a page with an article (or main) element gives only what is inside it;
@@ -66,11 +69,12 @@ _PARAGRAPH_ENDS = {"address", "article", "aside", "blockquote", "div", "dl", "fi
 
 
 class Element:
-    __slots__ = ("tag", "path", "noise", "article", "main", "plain", "children", "block")
+    __slots__ = ("tag", "path", "noise", "article", "main", "plain", "children", "block", "container")
 
     def __init__(self, tag: str, path: str, noise: bool, article: bool, main: bool, plain: bool, block: bool):
         self.tag, self.path, self.noise, self.article, self.main, self.plain, self.block = tag, path, noise, article, main, plain, block
         self.children: list[str] = []
+        self.container = ""  # path of the outermost article or main around it
 
 
 def _open(tag: str, attributes: str, parent: Element) -> Element:
@@ -90,11 +94,15 @@ def _open(tag: str, attributes: str, parent: Element) -> Element:
     article |= tag == "article"
     main |= tag == "main"
     if tag in INLINE:
-        return Element(tag, parent.path, noise, article, main, parent.plain, False)
+        inline = Element(tag, parent.path, noise, article, main, parent.plain, False)
+        inline.container = parent.container
+        return inline
     inside = parent.article or parent.main
     plain = inside and (parent.plain or parent.tag in ("article", "main")) and tag in PLAIN and not classes
     plain |= tag in ("article", "main")
-    return Element(tag, f"{parent.path}/{tag}{'.' + classes.replace(' ', '.') if classes else ''}", noise, article, main, plain, True)
+    element = Element(tag, f"{parent.path}/{tag}{'.' + classes.replace(' ', '.') if classes else ''}", noise, article, main, plain, True)
+    element.container = parent.container or (element.path if article or main else "")
+    return element
 
 
 def parse(html: str) -> tuple[list[tuple[str, Element]], list[Element]]:
@@ -186,7 +194,26 @@ def main_text(html: str | None, noisy: set[str]) -> str:
         if any(getattr(e, scope) for _, e in kept):
             kept = [(t, e) for t, e in kept if getattr(e, scope)]
             break
-    return "\n".join(t for t, e in kept if e.plain or not noisy or not any(e.path == p or e.path.startswith(p + "/") for p in noisy))
+    return "\n".join(kept[i][0] for i in _important(kept, noisy))
+
+
+def _important(kept: list[tuple[str, Element]], noisy: set[str]) -> list[int]:
+    """Indexes of the blocks outside noisy branches; branches around an article, and such as hold all blocks, don't count."""
+    held: dict[str, list[int]] = {}
+    around: dict[str, list[str]] = {}
+    for i, (_, e) in enumerate(kept):
+        if not e.plain and noisy:
+            if e.path not in around:
+                around[e.path] = [p for p in noisy if e.path == p or e.path.startswith(p + "/")]
+            for path in around[e.path]:
+                if len(path) > len(e.container):
+                    held.setdefault(path, []).append(i)
+    held = {p: at for p, at in held.items() if len(at) < len(kept)}
+    gone = {i for at in held.values() for i in at}
+    if len(gone) == len(kept) and kept:
+        most = max(held, key=lambda p: (sum(len(kept[i][0]) for i in held[p]), p))
+        return held[most]
+    return [i for i in range(len(kept)) if i not in gone]
 
 
 def host(url):
@@ -194,25 +221,30 @@ def host(url):
 
 
 def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, path, kind (0 presentation, 1 content), feature and the batch's pages that have it."""
+    """host, path, kind (0 presentation, 1 content), feature and the batch's pages that have it, a row of n copies as 1 / n."""
     for batch in batches:
         counts: Counter = Counter()
-        for site, html in zip(batch.column(0), batch.column(1)):
+        for site, html, copies in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
             blocks, elements = parse(html.as_py() or "")
             site = site.as_py()
             features = {(e.path, 0, xxhash.xxh3_64_intdigest(" ".join(e.children)) >> 1) for e in elements if not e.noise and not e.plain}
             features |= {(e.path, 1, xxhash.xxh3_64_intdigest(t) >> 1) for t, e in blocks if not e.noise and not e.plain}
-            counts.update((site, *f) for f in features)
+            for f in features:
+                counts[(site, *f)] += 1 / copies
         rows = [(*k, c) for k, c in counts.items()]
         columns = list(zip(*rows)) or [[]] * 5
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.float64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "path", "kind", "feature", "pages"])
 
 
 def noisy_branches(pages: DataFrame) -> DataFrame:
     """host and the paths of its branches of low importance."""
-    rows = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(_tree_rows, "host string, path string, kind int, feature long, pages long")
-    features = rows.groupBy("host", "path", "kind", "feature").agg(F.sum("pages").alias("n"))
+    read = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
+    body = F.xxhash64("html")
+    repeated = written(read.groupBy("host", body.alias("body")).count().filter("count > 1").withColumnsRenamed({"host": "_host", "body": "_body"}))
+    once = read.withColumn("body", body).join(repeated, (F.col("host") == F.col("_host")) & (F.col("body") == F.col("_body")), "left")
+    rows = once.select("host", "html", F.coalesce("count", F.lit(1)).alias("copies")).mapInArrow(_tree_rows, "host string, path string, kind int, feature long, pages double")
+    features = rows.groupBy("host", "path", "kind", "feature").agg(F.round(F.sum("pages")).alias("n"))
     style, content = F.col("kind") == 0, F.col("kind") == 1
     nodes = features.groupBy("host", "path").agg(
         F.sum(F.when(style, F.col("n"))).alias("pages"),
