@@ -13,7 +13,10 @@ and hashes of repeated pages are shuffled.
 
 Elements that say what they are (nav, footer, aside, form, script, comments, adverts...)
 go at once, and a page with an article (or main) element gives only what is inside it;
-its own headings, paragraphs and lists are content whatever the tree says.
+its own headings, paragraphs and lists are content whatever the tree says.  A class or id
+counts as a whole, without digits at its end; names that content has too are left to the
+tree.  An article inside furniture that is so only by name, comments apart, is read where
+the rest of the page has no article and less text.
 
 Blocks: text between the borders of block elements, character references decoded, white
 space made one space, joined by newlines.  br is white space.
@@ -52,55 +55,67 @@ INLINE = {
 NOISE_TAGS = {"nav", "aside", "footer", "form", "button", "select", "menu", "dialog", "head", "input", "fieldset", "datalist", "audio", "video"}
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "alertdialog"}
 NOISE_NAMES = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner",
-    "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "sidebar", "widget", "widgets", "nav", "navbar", "navigation", "menu",
-    "breadcrumb", "breadcrumbs", "footer", "masthead", "comment", "comments", "disqus", "respond", "replies", "share", "sharing", "social",
-    "related", "recommended", "recommendations", "newsletter", "subscribe", "subscription", "signup", "login", "popup", "modal", "overlay",
-    "toolbar", "pagination", "pager", "copyright", "topbar", "hidden", "skip",
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo",
+    "cookie", "cookies", "gdpr", "sidebar", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "masthead", "comment",
+    "comments", "disqus", "share", "sharing", "newsletter", "subscribe", "signup", "login", "popup", "modal", "toolbar", "pagination", "pager",
+    "topbar", "hidden", "header", "cookie-notice", "cookie-banner", "cookie-bar", "cookie-consent", "site-footer", "page-footer", "site-header",
+    "site-nav", "main-nav", "nav-menu", "main-menu", "share-buttons", "social-share", "social-links", "related-posts", "comment-list", "skip-link",
 }
+COMMENTS = {"comment", "comments", "comment-list", "disqus"}
 PLAIN = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "blockquote", "pre", "table", "tbody", "tr", "td", "th", "figure", "figcaption", "dl", "dt", "dd"}
 CLOSED_BY = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|([^<]+)|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME = re.compile(r"[a-z]+", re.I)
+_END = re.compile(r"[-\d]+$")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _PARAGRAPH_ENDS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "pre", "section", "table", "ul"}
 
 
 class Element:
-    __slots__ = ("tag", "path", "noise", "article", "main", "plain", "children", "block", "container")
+    __slots__ = ("tag", "path", "noise", "article", "main", "plain", "children", "block", "container", "named", "doubtful")
 
     def __init__(self, tag: str, path: str, noise: bool, article: bool, main: bool, plain: bool, block: bool):
         self.tag, self.path, self.noise, self.article, self.main, self.plain, self.block = tag, path, noise, article, main, plain, block
         self.children: list[str] = []
         self.container = ""  # path of the outermost article or main around it
+        self.named = False  # whether it is noise by a name only
+        self.doubtful = False  # whether an article or main around it is in noise by name
 
 
 def _open(tag: str, attributes: str, parent: Element) -> Element:
-    classes, noise, main = "", parent.noise, parent.main
-    article = parent.article
+    classes, named, main = "", parent.named, parent.main
+    noise, article, doubtful = parent.noise and not named, parent.article, parent.doubtful
+    resets = tag in ("article", "main")
     if attributes and not attributes.isspace():
         found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
         classes = " ".join(_NAME.findall(_CAMEL.sub(" ", f"{found.get('class', '')} {found.get('id', '')}"))).lower()
         style = found.get("style", "").replace(" ", "").lower()
         role = found.get("role", "").lower()
-        names = set(classes.split())
-        noise |= role in NOISE_ROLES or bool(names & NOISE_NAMES and tag not in ("html", "body", "article", "main") or names & {"comment", "comments"})
+        names = {_END.sub("", name) for name in f"{found.get('class', '')} {found.get('id', '')}".lower().replace("_", "-").split()}
+        resets |= role == "main"
+        noise |= role in NOISE_ROLES or bool(names & COMMENTS)
         noise |= "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style
-        noise |= "header" in names and not (article or main or tag in ("h1", "article", "main"))
+        if not resets and tag not in ("html", "body"):
+            named |= bool(names & (NOISE_NAMES - {"header"}))
+            named |= "header" in names and not (article or main or tag == "h1")
         main |= role == "main"
     noise |= tag in NOISE_TAGS or (tag == "header" and not (article or main))
     article |= tag == "article"
     main |= tag == "main"
+    if resets and named:
+        named, doubtful = False, True
+    named &= not noise
     if tag in INLINE:
-        inline = Element(tag, parent.path, noise, article, main, parent.plain, False)
-        inline.container = parent.container
+        inline = Element(tag, parent.path, noise or named, article, main, parent.plain, False)
+        inline.container, inline.named, inline.doubtful = parent.container, named, doubtful
         return inline
     inside = parent.article or parent.main
     plain = inside and (parent.plain or parent.tag in ("article", "main")) and tag in PLAIN and not classes
     plain |= tag in ("article", "main")
-    element = Element(tag, f"{parent.path}/{tag}{'.' + classes.replace(' ', '.') if classes else ''}", noise, article, main, plain, True)
+    element = Element(tag, f"{parent.path}/{tag}{'.' + classes.replace(' ', '.') if classes else ''}", noise or named, article, main, plain, True)
+    element.named, element.doubtful = named, doubtful
     element.container = parent.container or (element.path if article or main else "")
     return element
 
@@ -186,14 +201,22 @@ def parse(html: str) -> tuple[list[tuple[str, Element]], list[Element]]:
     return blocks, elements
 
 
+def _in_scope(blocks: list[tuple[str, Element]]) -> list[tuple[str, Element]]:
+    """Blocks of the articles, or else of main; none without either."""
+    for scope in ("article", "main"):
+        if found := [(t, e) for t, e in blocks if getattr(e, scope)]:
+            return found
+    return []
+
+
 def main_text(html: str | None, noisy: set[str]) -> str:
     """Blocks of the article, or of the page without furniture and noisy branches."""
     blocks, _ = parse(html or "")
-    kept = [(t, e) for t, e in blocks if not e.noise]
-    for scope in ("article", "main"):
-        if any(getattr(e, scope) for _, e in kept):
-            kept = [(t, e) for t, e in kept if getattr(e, scope)]
-            break
+    sure = [(t, e) for t, e in blocks if not e.noise and not e.doubtful]
+    kept = _in_scope(sure)
+    if not kept:
+        inside = _in_scope([(t, e) for t, e in blocks if not e.noise and e.doubtful])
+        kept = max(sure, inside, key=lambda part: sum(len(t) for t, _ in part))
     return "\n".join(kept[i][0] for i in _important(kept, noisy))
 
 
