@@ -25,17 +25,43 @@ def brute(rows):
     return sorted(out)
 
 
+@pytest.mark.parametrize("size", [16, 48])
 @pytest.mark.parametrize("tile", [1024, 7])
-def test_links_equal_brute_force(spark, tile):
+def test_links_equal_brute_force(spark, tile, size):
     rng = np.random.default_rng(4)
     rows = []
     for i in range(60):
-        base = rng.standard_normal(16) + (0.6 if i % 3 == 0 else 0)
+        base = rng.standard_normal(size) + (0.6 if i % 3 == 0 else 0)
         for _ in range(rng.choice([1, 1, 2, 5])):
-            rows.append((len(rows) * 7 % 1009, [float(np.float32(x)) for x in base + 0.12 * rng.standard_normal(16)]))
+            rows.append((len(rows) * 7 % 1009, [float(np.float32(x)) for x in base + 0.12 * rng.standard_normal(size)]))
     rows += [(2000 + i, rows[0][1]) for i in range(9)] + [(2100, [2 * x for x in rows[0][1]])]
-    rows += [(3000, None), (3001, [0.0] * 16), (3002, [1.0, None] + [0.0] * 14), (3003, [float("nan")] * 16), (3004, []), (3005, [1.0, 2.0]), (3006, [1.0, 2.1]), (3007, [float("inf")] * 16)]
+    rows += [(3000, None), (3001, [0.0] * size), (3002, [1.0, None] + [0.0] * (size - 2)), (3003, [float("nan")] * size), (3004, []), (3005, [1.0, 2.0]), (3006, [1.0, 2.1]), (3007, [float("inf")] * size)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as label", "2 as key")
     got = em.link_vectors(frame, tile=tile).collect()
     assert sorted(map(tuple, got)) == brute(rows)
     assert em.link_vectors(frame.limit(0)).count() == 0
+
+
+def test_each_pair_within_budget_meets_once():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((300, 48))
+    x = np.concatenate([x, x + 0.1 * rng.standard_normal(x.shape)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    for split in (1, 3, 9):
+        met = np.zeros((len(x), len(x)), int)
+        cells = {}
+        for names, home, rows in em._places(x, 0.9, split):
+            for c, r in zip(names.tolist(), rows.tolist()):
+                cells.setdefault(c, ([], []))[0 if home else 1].append(r)
+        for block in range(3):
+            once = np.zeros_like(met)
+            for c, (own, visiting) in cells.items():
+                if em._block_of(c, 48) == block:
+                    for a in own:
+                        once[a, own] += 1
+                        once[a, visiting] += 1
+                        once[visiting, a] += 1
+            assert once.max() == 1
+            met += once
+        assert met[near].min() >= 1

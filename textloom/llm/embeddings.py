@@ -1,14 +1,20 @@
 """Embedding near-dedup by a subspace pigeonhole join.
 
 Vectors are made unit length and rotated by one fixed random rotation.  A cosine of
-at least ``COSINE`` is a squared distance of at most 2 - 2 ``COSINE``; split into
-``BLOCKS`` blocks of coordinates, such a pair has at least one block in which its squared
-distance is within the block's share of that budget.  Each block is range-joined: a grid over
-its first two coordinates with cells as wide as the block's radius puts every such pair into
-one cell or two adjoining ones.  Candidates (block distance within budget) are verified by
-the exact cosine, and a pair counts in the first block that finds it, so the union over
-blocks has each link once.  Tasks give link counts by vector and a spanning forest, never
-all pairs.  Cells with many vectors are dealt out as tiles x tiles.
+at least ``COSINE`` is a squared distance of at most 2 - 2 ``COSINE``; split into blocks
+of ``DEPTH`` coordinates, such a pair has at least one block in which its squared
+distance is within the block's share of that budget.  Each block is range-joined: a grid of
+cells as wide as the block's radius, over as many of its coordinates as there are vectors
+to fill (cells of about a tile), puts every such pair into one cell or two adjoining ones;
+cells that the budget cannot reach are not visited.  Candidates (block distance within
+budget) are verified by the exact cosine, and a pair counts in the first block that finds
+it, so the union over blocks has each link once.  Tasks give link counts by vector and a
+spanning forest, never all pairs.  Cells with many vectors are dealt out as tiles x tiles.
+
+Blocks of 16 coordinates let some two of a million unlike pairs of random 64-dimensional
+vectors through; blocks of 8 one of a thousand, each of which is then held against its
+whole vector.  The grid itself spares few pairs as long as one block's radius exceeds the
+spread of its coordinates; that share falls with each coordinate that more vectors add.
 
 Cases: null, empty, zero, and not finite vectors link with nothing; so do vectors of
 different lengths; equal vectors are joined as one row that stands for all; repeated vec_ids
@@ -22,6 +28,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,14 +36,18 @@ from textloom.functions.shared import written
 from textloom.operators.components import connected_components
 
 COSINE = 0.9
-BLOCKS = 8
-#: Vectors of a cell in one tile: a pair of tiles is some 20 MB, and each tile more is another copy of a cell's vectors.
-TILE = 32_768
+#: Coordinates of a block, about.
+DEPTH = 16
+#: Vectors of a cell in one tile: a pair of tiles is some 10 MB, and each tile more is another copy of a cell's vectors.
+TILE = 16_384
 #: Distances of a block worked on at once.
 PANEL = 1 << 22
 #: Allows for rounding of rotated coordinates; candidates are verified exactly.
 SLACK = 1e-9
-_GRID = 1 << 12
+#: Allows for rounding of distances in single precision.
+SINGLE = 1e-5
+#: Bits of a cell's name that its coordinates share; length and block of the vectors have the others.
+_CELL_BITS = 36
 
 
 def rotation(size: int) -> np.ndarray:
@@ -46,7 +57,8 @@ def rotation(size: int) -> np.ndarray:
 
 
 def _blocks(size: int) -> list[slice]:
-    edges = [size * i // min(BLOCKS, size) for i in range(min(BLOCKS, size) + 1)]
+    n = max(1, size // DEPTH)
+    edges = [size * i // n for i in range(n + 1)]
     return [slice(a, b) for a, b in zip(edges, edges[1:])]
 
 
@@ -54,25 +66,35 @@ def _budget(part: slice, size: int, cosine: float) -> float:
     return (2 - 2 * cosine) * (part.stop - part.start) / size + SLACK
 
 
-def _places(x: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, bool, np.ndarray]]:
-    """Cells of unit vectors: their own in each block and, as visitors, half of those around it; with the rows concerned."""
+def _places(x: np.ndarray, cosine: float, split: int) -> Iterator[tuple[np.ndarray, bool, np.ndarray]]:
+    """Cells of unit vectors: their own in each block and, as visitors, those after it within reach; with the rows concerned."""
     size = x.shape[1]
     turned = x @ rotation(size).T
     for k, part in enumerate(_blocks(size)):
         width = math.sqrt(_budget(part, size, cosine)) * (1 + 1e-9)
-        first = np.floor(turned[:, part.start] / width).astype(np.int64)
-        second = np.floor(turned[:, part.start + 1] / width).astype(np.int64) if part.stop - part.start > 1 else np.zeros(len(x), np.int64)
-        for a, b in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1)):
-            cell = ((size * BLOCKS + k) * _GRID + first + a + _GRID // 2) * _GRID + second + b + _GRID // 2
-            home = (a, b) == (0, 0)
-            rows = np.arange(len(x)) if home else np.flatnonzero(_reaches(turned, part, width, first + a, second + b))
-            yield cell[rows], home, rows
+        bits = int(2 / width + 4).bit_length()
+        middle = 1 << (bits - 1)
+        # rows, cell so far, budget left, and whether a coordinate before was passed by one
+        rows, cell = np.arange(len(x)), np.full(len(x), size << 12 | k, np.int64)
+        left, later = np.full(len(x), width**2 * (1 + 1e-9)), np.zeros(len(x), bool)
+        for column in range(part.start, part.start + min(split, part.stop - part.start, max(1, _CELL_BITS // bits))):
+            at = np.floor(turned[:, column] / width).astype(np.int64)
+            above, below = turned[:, column] - at * width, (at + 1) * width - turned[:, column]
+            steps = []
+            for step, gap in ((0, None), (1, below), (-1, above)):
+                rest = left if gap is None else left - gap[rows] ** 2
+                # of two adjoining cells the one before is home, so the first step leads up
+                go = np.flatnonzero((rest >= 0) & (later if step < 0 else True))
+                steps.append((rows[go], cell[go] << bits | (at[rows[go]] + step + middle), rest[go], later[go] | (step > 0)))
+            rows, cell, left, later = (np.concatenate(c) for c in zip(*steps))
+        for home in (True, False):
+            chosen = later != home
+            yield cell[chosen], home, rows[chosen]
 
 
 def _by_length(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Rows of each vector length with their vectors as a matrix."""
-    lists = batch.column(column)
-    lengths = np.array([len(v) for v in lists], np.int64)
+    lengths = pc.list_value_length(batch.column(column)).to_numpy(zero_copy_only=False)
     for size in np.unique(lengths).tolist():
         rows = batch.take(pa.array(np.flatnonzero(lengths == size)))
         yield rows, np.array(rows.column(column).flatten().to_numpy(zero_copy_only=False)).reshape(-1, size)
@@ -83,35 +105,32 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _cell_counts(cosine: float):
+def _cell_counts(cosine: float, split: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, x in _by_length(batch, 0):
-                cells, counts = np.unique(np.concatenate([c for c, _, _ in _places(_unit(x), cosine)]), return_counts=True)
+                cells, counts = np.unique(np.concatenate([c for c, _, _ in _places(_unit(x), cosine, split)]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts)], ["cell", "n"])
 
     return count
 
 
-def _deal(cosine: float, tiles: dict[int, int]):
-    """Sends each vector to the tile pairs (i, j) of its cells: home rows as either side, visitors as the right one."""
+def _deal(cosine: float, split: int, tiles: dict[int, int]):
+    """Sends each vector to the tile pairs (i, j) of its cells: home rows as the left side of all and the right of those from their tile back, visitors as the right one of all."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, x in _by_length(batch, 1):
                 keys, copies = (rows.column(k).to_numpy() for k in (0, 2))
-                for cells, home, at in _places(_unit(x), cosine):
-                    k = np.fromiter(map(tiles.__getitem__, cells.tolist()), np.int64, len(cells))
+                for cells, home, at in _places(_unit(x), cosine, split):
+                    k = np.fromiter((tiles.get(c, 1) for c in cells.tolist()), np.int64, len(cells))
                     tile = (keys[at] % k).astype(np.int64)
                     for count in np.unique(k).tolist():
                         own = k == count
-                        pairs = [(None, j) for j in range(count)] if home else []
-                        pairs += [(i, None) for i in range(count)]
-                        for i, j in pairs:
-                            # a home row's pair with its own tile comes once
-                            chosen = own & (tile != i) if home and j is None and count > 1 else own
-                            if home and count == 1 and j is None:
-                                continue
+                        # (i, j, rows): a home row's pair with its own tile comes once
+                        sent = [(i, None, own & (tile > i) if home else own) for i in range(count)]
+                        sent += [(None, j, own) for j in range(count)] if home else []
+                        for i, j, chosen in sent:
                             r = np.flatnonzero(chosen)
                             if len(r):
                                 data = np.ascontiguousarray(x[at[r]])
@@ -126,19 +145,24 @@ def _deal(cosine: float, tiles: dict[int, int]):
 
 
 _DEALT = "cell long, i long, j long, home boolean, tile long, key long, vector binary, copies long"
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 
-def _reaches(turned: np.ndarray, part: slice, width: float, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Whether the cell is within the width of the vector."""
-    out = np.zeros(len(turned))
-    for column, cell in ((part.start, first), (part.start + 1, second)):
-        if column < part.stop:
-            x = turned[:, column]
-            out += np.maximum(0, np.maximum(cell * width - x, x - (cell + 1) * width)) ** 2
-    return out <= width**2 * (1 + 1e-9)
-
-
-_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+def _near(x: np.ndarray, y: np.ndarray, budget: float, after: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs within the budget, a panel at a time; after: y is x, and only pairs in order are wanted."""
+    half_x, half_y = (x**2).sum(1, keepdims=True) / 2, (y**2).sum(1, keepdims=True) / 2
+    # one product gives minus half the squared distance
+    left = np.hstack([x, -half_x, np.ones_like(half_x)]).astype(np.float32)
+    right = np.hstack([y, np.ones_like(half_y), -half_y]).astype(np.float32).T
+    least = np.float32(-(budget + SINGLE) / 2)
+    panel = max(1, PANEL // max(1, len(y)))
+    for at in range(0, len(x), panel):
+        start = at if after else 0
+        i, j = np.nonzero(left[at : at + panel] @ right[:, start:] >= least)
+        i, j = i + at, j + start
+        if after:
+            i, j = i[i < j], j[i < j]
+        yield i, j
 
 
 def _links_of(cosine: float, kind: type):
@@ -146,45 +170,35 @@ def _links_of(cosine: float, kind: type):
 
     def join(table: pa.Table) -> pa.Table:
         i, j, home, tile, key, copies = (table.column(c).to_numpy() for c in ("i", "j", "home", "tile", "key", "copies"))
-        left, right = np.flatnonzero(home & (tile == i)), np.flatnonzero(tile == j)
-        if not len(left) or not len(right):
+        left = np.flatnonzero(home & (tile == i))
+        others = np.flatnonzero((tile == j) & ~(home & (tile == i)))
+        if not len(left):
             return _LINKS.empty_table()
-        cell = table.column("cell")[0].as_py()
-        size, block = cell // _GRID // _GRID // BLOCKS, cell // _GRID // _GRID % BLOCKS
-        data = np.frombuffer(b"".join(table.column("vector").to_pylist()), kind).reshape(-1, size)
-        parts = _blocks(size)
-        part, turn = parts[block], rotation(size)
-        budget = _budget(part, size, cosine)
-        x, y = data[left].astype(np.float64), data[right].astype(np.float64)
-        x_norm, y_norm = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-        x_turned, y_turned = (x / x_norm[:, None]) @ turn.T, (y / y_norm[:, None]) @ turn.T
-        x_key, y_key, x_copies, y_copies, y_home = key[left], key[right], copies[left], copies[right], home[right]
-        yb = y_turned[:, part]
-        names, at_name = np.unique(np.concatenate([x_key, y_key]), return_inverse=True)
-        x_name, y_name = at_name[: len(left)], at_name[len(left) :]
-        counts = np.zeros(len(names), np.int64)
-        forest = Forest(len(names))
-        panel = max(1, PANEL // len(right))
-        for at in range(0, len(x), panel):
-            xb = x_turned[at : at + panel, part]
-            near = (xb**2).sum(1)[:, None] + (yb**2).sum(1) - 2 * xb @ yb.T <= budget + SLACK
-            i, j = np.nonzero(near)
-            i += at
-            # a pair of home rows comes in both orders: one of them counts
-            one = ~y_home[j] | (x_key[i] < y_key[j])
-            i, j = i[one], j[one]
-            for lo in range(0, len(i), 1 << 15):
-                p, q = i[lo : lo + (1 << 15)], j[lo : lo + (1 << 15)]
-                close = (x[p] * y[q]).sum(1) / (x_norm[p] * y_norm[q]) >= cosine
-                p, q = p[close], q[close]
-                apart = (x_turned[p] - y_turned[q]) ** 2
-                within = np.column_stack([apart[:, s].sum(1) <= _budget(s, size, cosine) for s in parts])
-                mine = within.argmax(axis=1) == block
-                p, q = p[mine], q[mine]
-                if len(p):
-                    np.add.at(counts, x_name[p], y_copies[q])
-                    np.add.at(counts, y_name[q], x_copies[p])
-                    forest.join(x_name[p], y_name[q])
+        # a cell's name starts with one bit of its length at least
+        size = table.column("vector")[0].as_buffer().size // np.dtype(kind).itemsize
+        parts, turn = _blocks(size), rotation(size)
+        block = _block_of(table.column("cell")[0].as_py(), size)
+        part, budget = parts[block], _budget(parts[block], size, cosine)
+        data = np.frombuffer(b"".join(table.column("vector").to_pylist()), kind).reshape(-1, size).astype(np.float64)
+        norm = np.linalg.norm(data, axis=1)
+        turned = (data / norm[:, None]) @ turn.T
+        names, name = np.unique(key, return_inverse=True)
+        counts, forest = np.zeros(len(names), np.int64), Forest(len(names))
+        same = bool(i[0] == j[0])
+        for right, after in ((left, True), (others, False)) if same else ((others, False),):
+            for p, q in _near(turned[left][:, part], turned[right][:, part], budget, after):
+                for at in range(0, len(p), 1 << 15):
+                    a, b = left[p[at : at + (1 << 15)]], right[q[at : at + (1 << 15)]]
+                    close = (data[a] * data[b]).sum(1) / (norm[a] * norm[b]) >= cosine
+                    a, b = a[close], b[close]
+                    apart = (turned[a] - turned[b]) ** 2
+                    within = np.column_stack([apart[:, s].sum(1) <= _budget(s, size, cosine) for s in parts])
+                    mine = within.argmax(axis=1) == block
+                    a, b = a[mine], b[mine]
+                    if len(a):
+                        np.add.at(counts, name[a], copies[b])
+                        np.add.at(counts, name[b], copies[a])
+                        forest.join(name[a], name[b])
         linked, joined = np.flatnonzero(counts), np.array(forest.links, np.int64).reshape(-1, 2)
         columns = [np.concatenate([names[linked], names[joined[:, side]]]) for side in (0, 1)] + [np.concatenate([counts[linked], np.zeros(len(joined), np.int64)])]
         return pa.table([pa.array(c) for c in columns], schema=_LINKS)
@@ -192,6 +206,11 @@ def _links_of(cosine: float, kind: type):
     return join
 
 
+def _block_of(cell: int, size: int) -> int:
+    """The block in a cell's name: the name starts with the length, then 12 bits."""
+    return cell >> max(0, cell.bit_length() - size.bit_length() - 12) & 0xFFF
+
+
 class Forest:
     """Groups of the numbers below n, and the links that joined them."""
 
@@ -229,10 +248,12 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, tile: int = TILE) -
     rows = rows.withColumn("vector", F.when(sound, F.col("vector"))).withColumn("key", F.xxhash64("vector"))
     linked = rows.filter("vector is not null")
     classes = written(linked.groupBy("key", "vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id")))
-    # cells are bounded by the blocks and the grid over [-1, 1], whatever the input
-    sizes = classes.select("vector").mapInArrow(_cell_counts(cosine), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    # each coordinate of the grid about halves a cell
+    split = max(1, (classes.count() // tile).bit_length())
+    # only cells of several tiles are listed: one row for a tile's worth of visits at most
+    sizes = classes.select("vector").mapInArrow(_cell_counts(cosine, split), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") > tile).collect()
     tiles = {r.cell: -(-r.n // tile) for r in sizes}
-    dealt = classes.select("key", "vector", "copies").mapInArrow(_deal(cosine, tiles), _DEALT)
+    dealt = classes.select("key", "vector", "copies").mapInArrow(_deal(cosine, split, tiles), _DEALT)
     found = written(dealt.groupBy("cell", "i", "j").applyInArrow(_links_of(cosine, kind), "a long, b long, n long"))
     counts = found.filter("n > 0").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("others"))
     parts = connected_components(found.filter("a <> b")).withColumnRenamed("node", "key")
