@@ -9,7 +9,8 @@ to fill (cells of about a tile), puts every such pair into one cell or two adjoi
 cells that the budget cannot reach are not visited.  Candidates (block distance within
 budget) are verified by the exact cosine, and a pair counts in the first block that finds
 it, so the union over blocks has each link once.  Tasks give link counts by vector and a
-spanning forest, never all pairs.  Cells with many vectors are dealt out as tiles x tiles.
+spanning forest, never all pairs.  Cells with many vectors are dealt out as pairs of tiles:
+tiles of the cell's own vectors with each other, and with tiles of its visitors.
 
 Blocks of 16 coordinates let some two of a million unlike pairs of random 64-dimensional
 vectors through; blocks of 8 one of a thousand, each of which is then held against its
@@ -38,8 +39,8 @@ from textloom.operators.components import connected_components
 COSINE = 0.9
 #: Coordinates of a block, about.
 DEPTH = 16
-#: Vectors of a cell in one tile: a pair of tiles is some 10 MB, and each tile more is another copy of a cell's vectors.
-TILE = 16_384
+#: Vectors of a cell in one tile: a pair of tiles is some 35 MB, and each tile more is another copy of a cell's vectors.
+TILE = 65_536
 #: Distances of a block worked on at once.
 PANEL = 1 << 22
 #: Allows for rounding of rotated coordinates; candidates are verified exactly.
@@ -109,42 +110,51 @@ def _cell_counts(cosine: float, split: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, x in _by_length(batch, 0):
-                cells, counts = np.unique(np.concatenate([c for c, _, _ in _places(_unit(x), cosine, split)]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts)], ["cell", "n"])
+                for cells, home, _ in _places(_unit(x), cosine, split):
+                    names, n = np.unique(cells, return_counts=True)
+                    none = np.zeros(len(n), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (names, *((n, none) if home else (none, n)))], ["cell", "own", "visiting"])
 
     return count
 
 
-def _deal(cosine: float, split: int, tiles: dict[int, int]):
-    """Sends each vector to the tile pairs (i, j) of its cells: home rows as the left side of all and the right of those from their tile back, visitors as the right one of all."""
+def _deal(cosine: float, split: int, tiles: dict[int, tuple[int, int]]):
+    """Sends each vector to the tile pairs (i, j) of its cells.
+
+    i is a tile of the cell's own vectors; j is another one from i on, or -v for tile v of
+    its visitors; visitors' tile 0 comes with the pair (i, i).
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, x in _by_length(batch, 1):
                 keys, copies = (rows.column(k).to_numpy() for k in (0, 2))
                 for cells, home, at in _places(_unit(x), cosine, split):
-                    k = np.fromiter((tiles.get(c, 1) for c in cells.tolist()), np.int64, len(cells))
-                    tile = (keys[at] % k).astype(np.int64)
-                    for count in np.unique(k).tolist():
-                        own = k == count
-                        # (i, j, rows): a home row's pair with its own tile comes once
-                        sent = [(i, None, own & (tile > i) if home else own) for i in range(count)]
-                        sent += [(None, j, own) for j in range(count)] if home else []
+                    counts = np.array([tiles.get(c, (1, 1)) for c in cells.tolist()], np.int64).reshape(-1, 2)
+                    tile = (keys[at] % counts[:, 0 if home else 1]).astype(np.int64)
+                    for own, visiting in np.unique(counts, axis=0).tolist():
+                        here = (counts == (own, visiting)).all(axis=1)
+                        if home:
+                            sent = [(i, tile, here & (tile > i)) for i in range(own)]
+                            sent += [(tile, j, here & (tile <= j)) for j in range(own)]
+                            sent += [(tile, -v, here) for v in range(1, visiting)]
+                        else:
+                            sent = [(i, np.where(tile == 0, i, -tile), here) for i in range(own)]
                         for i, j, chosen in sent:
                             r = np.flatnonzero(chosen)
                             if len(r):
                                 data = np.ascontiguousarray(x[at[r]])
                                 offsets = np.arange(len(r) + 1, dtype=np.int32) * np.int32(data.shape[1] * data.itemsize)
                                 vector = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-                                column_i = tile[r] if i is None else np.full(len(r), i)
-                                column_j = tile[r] if j is None else np.full(len(r), j)
-                                arrays = [cells[r], column_i, column_j, np.full(len(r), home), tile[r], keys[at[r]]]
-                                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), vector, pa.array(copies[at[r]])], ["cell", "i", "j", "home", "tile", "key", "vector", "copies"])
+                                i, j = (np.broadcast_to(side, len(tile))[r] for side in (i, j))
+                                arrays = [cells[r], i, j, home & (tile[r] == i), keys[at[r]]]
+                                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), vector, pa.array(copies[at[r]])], _DEALT_NAMES)
 
     return deal
 
 
-_DEALT = "cell long, i long, j long, home boolean, tile long, key long, vector binary, copies long"
+_DEALT_NAMES = ["cell", "i", "j", "left", "key", "vector", "copies"]
+_DEALT = "cell long, i long, j long, left boolean, key long, vector binary, copies long"
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 
@@ -169,29 +179,33 @@ def _links_of(cosine: float, kind: type):
     """Verifies one pair of tiles: how many copies each vector links with, and joining links."""
 
     def join(table: pa.Table) -> pa.Table:
-        i, j, home, tile, key, copies = (table.column(c).to_numpy() for c in ("i", "j", "home", "tile", "key", "copies"))
-        left = np.flatnonzero(home & (tile == i))
-        others = np.flatnonzero((tile == j) & ~(home & (tile == i)))
+        key, copies = (table.column(c).to_numpy() for c in ("key", "copies"))
+        is_left = table.column("left").to_numpy(zero_copy_only=False)
+        left, others = np.flatnonzero(is_left), np.flatnonzero(~is_left)
         if not len(left):
             return _LINKS.empty_table()
-        # a cell's name starts with one bit of its length at least
         size = table.column("vector")[0].as_buffer().size // np.dtype(kind).itemsize
         parts, turn = _blocks(size), rotation(size)
         block = _block_of(table.column("cell")[0].as_py(), size)
         part, budget = parts[block], _budget(parts[block], size, cosine)
-        data = np.frombuffer(b"".join(table.column("vector").to_pylist()), kind).reshape(-1, size).astype(np.float64)
-        norm = np.linalg.norm(data, axis=1)
-        turned = (data / norm[:, None]) @ turn.T
+        data = np.frombuffer(b"".join(table.column("vector").to_pylist()), kind).reshape(-1, size)
+        turned, norm = np.empty((len(data), part.stop - part.start)), np.empty(len(data))
+        for at in range(0, len(data), 1 << 13):
+            some = slice(at, at + (1 << 13))
+            x = data[some].astype(np.float64)
+            norm[some] = np.linalg.norm(x, axis=1)
+            turned[some] = (x / norm[some, None]) @ turn[part].T
         names, name = np.unique(key, return_inverse=True)
         counts, forest = np.zeros(len(names), np.int64), Forest(len(names))
-        same = bool(i[0] == j[0])
-        for right, after in ((left, True), (others, False)) if same else ((others, False),):
-            for p, q in _near(turned[left][:, part], turned[right][:, part], budget, after):
+        itself = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        for right, after in ((left, True), (others, False)) if itself else ((others, False),):
+            for p, q in _near(turned[left], turned[right], budget, after):
                 for at in range(0, len(p), 1 << 15):
                     a, b = left[p[at : at + (1 << 15)]], right[q[at : at + (1 << 15)]]
-                    close = (data[a] * data[b]).sum(1) / (norm[a] * norm[b]) >= cosine
+                    x, y = data[a].astype(np.float64), data[b].astype(np.float64)
+                    close = (x * y).sum(1) / (norm[a] * norm[b]) >= cosine
                     a, b = a[close], b[close]
-                    apart = (turned[a] - turned[b]) ** 2
+                    apart = ((x[close] / norm[a, None] - y[close] / norm[b, None]) @ turn.T) ** 2
                     within = np.column_stack([apart[:, s].sum(1) <= _budget(s, size, cosine) for s in parts])
                     mine = within.argmax(axis=1) == block
                     a, b = a[mine], b[mine]
@@ -251,8 +265,8 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, tile: int = TILE) -
     # each coordinate of the grid about halves a cell
     split = max(1, (classes.count() // tile).bit_length())
     # only cells of several tiles are listed: one row for a tile's worth of visits at most
-    sizes = classes.select("vector").mapInArrow(_cell_counts(cosine, split), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") > tile).collect()
-    tiles = {r.cell: -(-r.n // tile) for r in sizes}
+    sizes = classes.select("vector").mapInArrow(_cell_counts(cosine, split), "cell long, own long, visiting long").groupBy("cell").agg(F.sum("own").alias("own"), F.sum("visiting").alias("visiting"))
+    tiles = {r.cell: (max(1, -(-r.own // tile)), max(1, -(-r.visiting // tile))) for r in sizes.filter((F.col("own") > tile) | (F.col("visiting") > tile)).collect()}
     dealt = classes.select("key", "vector", "copies").mapInArrow(_deal(cosine, split, tiles), _DEALT)
     found = written(dealt.groupBy("cell", "i", "j").applyInArrow(_links_of(cosine, kind), "a long, b long, n long"))
     counts = found.filter("n > 0").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("others"))
