@@ -6,8 +6,14 @@ one above, within ``LEAST`` and ``MOST``.  Boundaries depend on the bytes near t
 only, so an insertion moves chunks without changing their digests.  The fingerprint is
 the set of chunk digests with lengths; likeness is containment weighted by length.
 
+Documents are dealt in blocks that follow each other in descending order of ids; the
+borders of the blocks are quantiles by bytes, so outlying and hash-like ids are no matter.
+
 Cases: a null text counts as empty; an empty text has an empty fingerprint, like itself
-(1) and like nothing else (0); equal texts have equal fingerprints.
+(1) and like nothing else (0); equal texts have equal fingerprints; rows of one doc_id
+follow each other by the hash of their texts, and may be dealt to several blocks; null ids
+come last; an empty table gives an empty result; other columns are left out, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -17,9 +23,10 @@ from bisect import bisect_left
 from typing import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.bpe import slabs
@@ -27,9 +34,10 @@ from textloom.llm.bpe import slabs
 LEAST, NORMAL, MOST = 16, 48, 192
 #: Zero bits asked for at the top of the hash: below and from NORMAL on.
 STRICT_BITS, LOOSE_BITS = 6, 4
-#: Texts whose ids are near each other are chunked together: so many ids, or more
-#: where the ids would need over BLOCKS blocks.
-BLOCK_IDS, BLOCKS = 1024, 1 << 18
+#: Bytes of texts in a block, about, or more where there would be over BLOCKS blocks.
+BLOCK_BYTES, BLOCKS = 4 << 20, 1 << 16
+#: Keys drawn for each block to place its border.
+KEYS_A_BLOCK = 20
 
 _GEAR = np.random.default_rng(20).integers(0, 2**32, 256, dtype=np.uint32)
 _CHUNK = np.dtype([("digest", ">u8"), ("length", ">u2")])
@@ -128,30 +136,57 @@ def _row(doc: tuple, following: str, following_chunks: np.ndarray) -> tuple:
     )
 
 
-def fingerprint_with_next(docs: DataFrame) -> DataFrame:
+#: What a row's place in the order is made of; ids without nulls, as nulls would make them floats.
+_PLACE = ("no_id", "id", "digest", "row")
+
+
+def _keys(rows: pd.DataFrame) -> np.ndarray:
+    """Byte strings that sort as the rows do: descending id, nulls last, text hash, row number."""
+    out = np.zeros((len(rows), 25), np.uint8)
+    out[:, 0] = rows["no_id"]
+    parts = [rows["id"].to_numpy(np.int64) ^ -1, rows["digest"].to_numpy(np.int64), rows["row"].to_numpy(np.int64)]
+    out[:, 1:] = (np.column_stack(parts).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8)
+    return np.ascontiguousarray(out).view("S25").ravel()
+
+
+def _borders(docs: DataFrame, block_bytes: int) -> np.ndarray:
+    """Keys that cut the rows into blocks of about equal bytes, from a bounded sample of keys as Spark's own range partitioning does; they decide which task works, not results."""
+    n, size = docs.agg(F.count("*"), F.sum("bytes")).first()
+    blocks = min(BLOCKS, max(1, (size or 0) // block_bytes))
+    if blocks == 1:
+        return np.zeros(0, "S25")
+    drawn = docs.select(*_PLACE, "bytes").sample(min(1.0, KEYS_A_BLOCK * blocks / n), seed=1).toPandas()
+    keys = _keys(drawn)
+    order = np.argsort(keys)
+    reached = np.cumsum(drawn["bytes"].to_numpy(np.float64)[order])
+    at = np.searchsorted(reached, reached[-1] * np.arange(1, blocks) / blocks) if len(order) else np.zeros(0, np.int64)
+    return np.unique(keys[order][at])
+
+
+def fingerprint_with_next(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Fingerprints of each text and of its edit with the document next in descending doc_id.
 
-    Ids are cut into blocks (at most 2^18, so that a row for each block can be broadcast);
-    each block also gets the first document of the one after it.  Texts are dealt once.
-    Rows of one doc_id follow each other in the order of their texts; null ids come last.
+    Each block also gets the first document of the one after it.  Texts are dealt once.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    width = max(BLOCK_IDS, -(-(high - low + 1) // BLOCKS))
-    block = F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(-1)).cast("long")
-    docs = docs.withColumn("block", block)
-    # a block whose ids are all null has no head; the text decides among rows of one id
-    heads = docs.groupBy("block").agg(F.max("doc_id").alias("head"))
-    order = Window.orderBy(F.desc("block"))
-    following = heads.select(
-        F.col("block").alias("to"),
-        F.coalesce(F.lead("block").over(order), F.first("block").over(order)).alias("block"),
-        F.when(F.lead("block").over(order).isNull(), F.first("head").over(order)).otherwise(F.lead("head").over(order)).alias("head"),
-    )
-    ahead = docs.join(F.broadcast(following), (docs["block"] == following["block"]) & docs["doc_id"].eqNullSafe(following["head"])).select(
-        F.col("to").alias("block"), F.lit(True).alias("ahead"), "doc_id", "text"
-    )
-    rows = docs.select("block", F.lit(False).alias("ahead"), "doc_id", "text").unionByName(ahead)
-    dealt = rows.repartition("block").sortWithinPartitions("block", "ahead", F.desc_nulls_last("doc_id"), "text")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    # rows that agree in id and text are the same whatever their number
+    docs = docs.withColumns({"digest": F.xxhash64("text"), "row": F.monotonically_increasing_id(), "bytes": F.octet_length("text"), "no_id": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0))})
+    borders = _borders(docs, block_bytes)
+
+    @F.pandas_udf("int")
+    def block(key: pd.DataFrame) -> pd.Series:
+        return pd.Series(np.searchsorted(borders, _keys(key), "right").astype(np.int32))
+
+    docs = docs.withColumn("block", block(F.struct(*_PLACE)))
+    # a head for each block: at most BLOCKS rows
+    place = F.struct("no_id", F.bitwise_not("id").alias("order"), "digest", "row", "doc_id")
+    heads = docs.groupBy("block").agg(F.min(place).alias("head")).select("block", "head.doc_id", "head.digest").orderBy("block").collect()
+    after = [(heads[i - 1]["block"], *heads[i][1:]) for i in range(len(heads))]  # of the first one comes last
+    following = docs.sparkSession.createDataFrame(after, "to int, head long, head_digest long")
+    ahead = docs.join(F.broadcast(following), docs["doc_id"].eqNullSafe(following["head"]) & (docs["digest"] == following["head_digest"]))
+    # rows of one id and text are one
+    ahead = ahead.groupBy(F.col("to").alias("block"), "doc_id").agg(F.first("text").alias("text")).select("block", F.lit(True).alias("ahead"), "doc_id", "text", F.lit(0).cast("long").alias("digest"))
+    rows = docs.select("block", F.lit(False).alias("ahead"), "doc_id", "text", "digest").unionByName(ahead)
+    dealt = rows.repartition("block").sortWithinPartitions("block", "ahead", F.desc_nulls_last("doc_id"), "digest").drop("digest")
     return dealt.mapInArrow(_rows, _RESULT)
