@@ -3,9 +3,11 @@
 All rolling word 2-grams of every text are hashed and joined with the positions that the
 same 2-grams have in the templates (a fixed list, so its side is broadcast).  A hit votes
 for the diagonal text position - template position; votes are counted by (document,
-template, diagonal).  Neighbouring diagonals, at most ``NEIGHBOURS`` apart as inserted or
-lost words leave them, are merged into spans, and a span is verified by the share of the
-template's 2-grams that it covers: all of a phrase on one diagonal, ``COVER`` of a notice.
+template, diagonal).  A notice's diagonals that are at most ``DRIFT`` apart, as inserted or
+lost words leave them, are merged into spans, one from each diagonal on: a span is thus no
+wider than the template and DRIFT words, and its 2-grams stand in the template's order but
+for that drift.  A span is verified by the share of the template's 2-grams that it covers:
+all of a phrase on one diagonal, ``COVER`` of a notice.
 
 A 2-gram is compared by the 64-bit hash of its two words.  Cases: a null text counts as
 empty; rows that repeat a doc_id and text are one document, given once for each row; texts
@@ -17,10 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-NEIGHBOURS = 3
+DRIFT = 8
 COVER = 0.8
 #: What stands between words, upper-case letters aside.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Base phrases and their labels, then the phrases and notices of this method.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -35,6 +38,20 @@ PHRASES = {
     "gnu affero general public license": "agpl",
     "creative commons": "creative-commons",
     "public domain": "public-domain",
+    "isc license": "isc",
+    "zlib license": "zlib",
+    "boost software license": "bsl",
+    "eclipse public license": "epl",
+    "artistic license": "artistic",
+    "european union public licence": "eupl",
+    "gnu free documentation license": "gfdl",
+    "open database license": "odbl",
+    "sil open font license": "ofl",
+    "microsoft public license": "ms-pl",
+    "server side public license": "sspl",
+    "business source license": "busl",
+    "cc0 1 0 universal": "cc0",
+    "spdx license identifier": "spdx",
 }
 NOTICES = {
     "mit-notice": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
@@ -43,12 +60,19 @@ NOTICES = {
     "bsd-notice": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "mpl-notice": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
     "isc-notice": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "lgpl-notice": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version",
+    "agpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version",
+    "zlib-notice": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
+    "unlicense-notice": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software",
+    "bsl-notice": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    "mit-disclaimer": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    "cc-by-sa-notice": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
     "cc-by-notice": "this work is licensed under a creative commons attribution 4 0 international license",
 }
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), BETWEEN), lambda w: w != "")
+    return F.filter(F.split(F.translate(text, _UPPER, _LOWER), BETWEEN), lambda w: w != "")
 
 
 def _grams(words: Column) -> Column:
@@ -78,14 +102,11 @@ def scan(docs: DataFrame) -> DataFrame:
     hits = rows.join(F.broadcast(templates(docs.sparkSession)), "gram", "left").filter("at < 0 or place is not null")
     key = ["doc_id", "text_key"]
     votes = hits.groupBy(*key, "label", "base", "notice", "grams", (F.col("at") - F.col("place")).alias("diagonal")).agg(
-        F.collect_set("place").alias("places"), F.min("at").alias("from"), F.max("n_words").alias("n_words"), F.sum(F.when(F.col("at") < 0, 1).otherwise(0)).alias("copies")
-    )
-    order = Window.partitionBy(*key, "label").orderBy("diagonal")
-    near = F.col("notice") & (F.col("diagonal") - F.lag("diagonal").over(order) <= NEIGHBOURS)
-    spans = votes.withColumn("span", F.sum(F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1)).over(order))
-    spans = spans.groupBy(*key, "label", "base", "notice", "grams", "span").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("votes"), F.min("diagonal").alias("start"), F.max("n_words").alias("n_words"), F.max("copies").alias("copies")
+        F.collect_set("place").alias("places"), F.max("n_words").alias("n_words"), F.sum(F.when(F.col("at") < 0, 1).otherwise(0)).alias("copies")
     )
+    merged = Window.partitionBy(*key, "label").orderBy(F.col("diagonal").cast("long")).rangeBetween(0, DRIFT)
+    together = F.array_distinct(F.flatten(F.collect_list("places").over(merged)))
+    spans = votes.withColumns({"votes": F.size(F.when(F.col("notice"), together).otherwise(F.col("places"))), "start": F.col("diagonal")})
     cover = F.col("votes") / F.col("grams")
     good = F.coalesce(cover >= F.when(F.col("notice"), COVER).otherwise(1.0), F.lit(False))
     base = good & F.col("base")
@@ -113,21 +134,19 @@ def _listed() -> str:
 #: The same in DuckDB, with pairs of words in place of hashes; for tables in which a doc_id comes once.
 ORACLE_SQL = rf"""
 WITH split AS (
-  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM documents
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{BETWEEN}'), lambda w: w <> '') AS words FROM documents
 ), grams AS (
-  SELECT doc_id, i - 1 AS at, words[i] || ' ' || words[i + 1] AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words))) AS i FROM split)
+  SELECT doc_id, i - 1 AS pos, words[i] || ' ' || words[i + 1] AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words))) AS i FROM split)
 ), listed AS (
   SELECT label, base, notice, string_split(phrase, ' ') AS words FROM (VALUES {_listed()}) v(label, base, notice, phrase)
 ), places AS (
   SELECT label, base, notice, len(words) - 1 AS grams, i - 1 AS place, words[i] || ' ' || words[i + 1] AS gram FROM (SELECT *, unnest(range(1, len(words))) AS i FROM listed)
 ), votes AS (
-  SELECT doc_id, label, base, notice, grams, at - place AS diagonal, list(DISTINCT place) AS hit FROM grams JOIN places USING (gram) GROUP BY ALL
-), marked AS (
-  SELECT *, CASE WHEN notice AND diagonal - lag(diagonal) OVER w <= {NEIGHBOURS} THEN 0 ELSE 1 END AS new FROM votes WINDOW w AS (PARTITION BY doc_id, label ORDER BY diagonal)
-), numbered AS (
-  SELECT *, sum(new) OVER (PARTITION BY doc_id, label ORDER BY diagonal) AS span FROM marked
+  SELECT doc_id, label, base, notice, grams, pos - place AS diagonal, list(DISTINCT place) AS hit FROM grams JOIN places USING (gram) GROUP BY ALL
 ), spans AS (
-  SELECT doc_id, label, base, notice, min(diagonal) AS start, len(list_distinct(flatten(list(hit)))) / grams AS cover FROM numbered GROUP BY doc_id, label, base, notice, grams, span
+  SELECT doc_id, label, base, notice, diagonal AS start,
+    len(CASE WHEN notice THEN list_distinct(flatten(list(hit) OVER (PARTITION BY doc_id, label ORDER BY diagonal RANGE BETWEEN CURRENT ROW AND {DRIFT} FOLLOWING))) ELSE hit END) / grams AS cover
+  FROM votes
 ), found AS (
   SELECT * FROM spans WHERE cover >= CASE WHEN notice THEN {COVER} ELSE 1 END
 )
