@@ -83,7 +83,7 @@ def test_packing(spark, library):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100 + i, "word " * (i * 37 % 4000)) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     pieces = packing.written(packing.tokenize_pieces(docs, PATH))
-    got = packing.pack_pieces(pieces, target=256).toPandas()
+    got = packing.pack_pieces(pieces, 256, 16).toPandas()
     tokens = {i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows}
     assert len(got) == sum(-(-len(x) // 4096) for x in tokens.values())
     for r in got.itertuples():
@@ -95,7 +95,24 @@ def test_packing(spark, library):
         assert seq["length"].sum() <= 4096
     lengths = np.sort(got["length"].to_numpy())[::-1]
     alone = len(packing.best_fit_decreasing(lengths)[2])
-    assert packing.lower_bound(lengths) <= got["sequence_id"].nunique() <= alone + 4
+    assert packing.lower_bound(lengths) <= got["sequence_id"].nunique() <= alone + 1
+
+
+@pytest.mark.parametrize("kind", ["prose", "tiny", "large", "thirds"])
+def test_many_partitions_need_no_more_sequences_than_one(spark, kind):
+    rng = np.random.default_rng(8)
+    lengths = {
+        "prose": np.minimum(4096, 1 + rng.lognormal(5.5, 1.3, 9000)).astype(int),
+        "tiny": np.ones(9000, int),
+        "large": rng.integers(1800, 4097, 1500),
+        "thirds": rng.integers(1000, 1700, 3000),
+    }[kind]
+    pieces = spark.createDataFrame([(i, 0, 0, int(n), i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    packed = packing.written(packing.pack_pieces(packing.written(pieces), 512, 32))
+    assert sorted(r.length for r in packed.collect()) == sorted(lengths.tolist())
+    used, bound = packing.certificate(packed)
+    alone = len(packing.best_fit_decreasing(np.sort(lengths)[::-1])[2])
+    assert bound == packing.lower_bound(lengths) <= used <= alone * 1.005 + 1
 
 
 def test_packing_of_nothing(spark):

@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 
 #: Words whose ids a worker keeps between batches; beyond it the cache starts anew.
 CACHE_WORDS = 800_000
+#: Pairs of tokens and steps of the automaton that a worker keeps; beyond it they start anew.
+CACHE_PAIRS = 4_000_000
 #: Characters of text worked on at once.
 SLAB_CHARS = 2_000_000
 
@@ -82,6 +84,8 @@ class PrefixBpe:
         self.length = {t: len(s) for t, s in spelled.items()}
         self.packed = {t: t.to_bytes(4, "little") for t in self.strings}
         self.left_of, self.right_of, self.never = left_of, right_of, len(model["merges"]) + 1
+        if max(self.strings) >= 1 << 32 or len(symbols) > 512:
+            raise ValueError("ids must fit 32 bits and symbols 9")
         self._automaton(spelled)
         self._joined: dict[int, bool] = {}
         self._words: dict[str, bytes] = {}
@@ -105,6 +109,7 @@ class PrefixBpe:
         children: list[list[tuple[int, int]]] = [[] for _ in range(count)]
         for key, nxt in self.step.items():
             children[key >> 9].append((key & 511, nxt))
+        self._spelled_steps = dict(self.step)
         #: suffix tokens of each state, longest first
         self.suffixes: list[tuple[tuple[int, int], ...]] = [()] * count
         queue = [nxt for _, nxt in children[0]]
@@ -135,7 +140,7 @@ class PrefixBpe:
 
     def _joins(self, a: int, b: int) -> bool:
         """Whether token b can follow token a: no merge crosses their border."""
-        key = a << 16 | b
+        key = a << 32 | b
         known = self._joined.get(key)
         if known is None:
             rank, known = self.rank, True
@@ -171,7 +176,7 @@ class PrefixBpe:
                     before = i + 1 - size
                     if before == 0:
                         break
-                    ok = joined.get(last[before] << 16 | token)
+                    ok = joined.get(last[before] << 32 | token)
                     if ok is None:
                         ok = self._joins(last[before], token)
                     if ok:
@@ -222,6 +227,9 @@ class PrefixBpe:
         if len(self._words) > CACHE_WORDS:
             self._words.clear()
             self._decoded.clear()
+        if len(self._joined) + len(self.step) > CACHE_PAIRS:
+            self._joined.clear()
+            self.step = dict(self._spelled_steps)
         split = {w: self._split_word(w) for w in set(words).difference(self._words)}
         known = self.encode_parts({p for parts in split.values() for p in parts if not isinstance(p, int)})
         for w, parts in split.items():

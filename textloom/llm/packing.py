@@ -1,16 +1,21 @@
 """Best-fit packing of documents into token sequences, with certified bin counts.
 
-Documents become pieces of at most ``capacity`` tokens.  Pieces are dealt by hash
-to partitions of about ``target`` pieces; each partition packs its own by best-fit
-decreasing and compares its bins with a lower bound from dual-feasible functions.
-Partitions whose count equals the bound are done, as no packing has fewer bins.
-Partitions with a gap keep all but their emptiest bins; the documents of those are
-exchanged (dealt anew, to fewer partitions of twice the size) and packed again, until
-the pool fits one partition or nothing changes.  Only piece descriptions move, never texts.
+Documents become pieces of at most ``capacity`` tokens.  Pieces are dealt in turn, in order
+of length, to partitions of about ``target`` pieces (and ``LEAST_BINS`` bins), so that each
+has its share of all lengths; each packs its own by best-fit decreasing and compares its bins
+with a lower bound from dual-feasible functions.  It gives back its emptiest bins until the
+room left in the others is within ``WASTE``, some of them also where its count is certified:
+bounds of partitions are rounded up one by one, and what they lose together is bins.  The
+documents of those bins are exchanged (dealt anew, to fewer partitions) and packed again,
+until the pool fits one partition.  A partition gives back half of its bins at most, so
+rounds grow with the logarithm of the input and need no cap.
+``certificate`` holds the number of sequences against the bound of all pieces, from counts
+of lengths (at most ``capacity`` rows).  Only piece descriptions move, never texts.
 
 Cases: a null or empty text gives one piece with just the end id; a text of
 exactly ``capacity`` ids is one full piece; repeated rows are packed as rows of
-their own; an empty table gives an empty result; ties in length go by doc_id, piece.
+their own; an empty table gives an empty result; ties in length go by doc_id, piece;
+columns besides doc_id and text are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from __future__ import annotations
 import math
 import zlib
 from functools import reduce
+from itertools import count
 from typing import Iterator
 
 import numpy as np
@@ -32,12 +38,10 @@ from textloom.llm.bpe import encoder, slabs
 CAPACITY = 4096
 #: Id that ends each document.
 END_ID = 1
-#: Pieces in a packing partition, about.
-TARGET = 1024
-#: Bins given back for each bin above the bound, and at least this share of all.
-RELEASE = 4
-RELEASE_SHARE = 0.25
-ROUNDS = 6
+#: Pieces in a packing partition, about, and bins of one, at least.
+TARGET, LEAST_BINS = 16_384, 1024
+#: Bins given back by each partition, at least, and share of room that the bins it keeps may have.
+RELEASE, WASTE = 4, 0.0002
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -71,10 +75,12 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
-    """Bins that any packing needs at least, by two families of dual-feasible functions."""
-    if not len(lengths):
-        return 0
-    counts = np.bincount(lengths, minlength=capacity + 1)
+    """Bins that any packing of these lengths needs at least."""
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def bound_of_counts(counts: np.ndarray, capacity: int = CAPACITY) -> int:
+    """The bound by two families of dual-feasible functions; counts: pieces of each length from 0 to capacity."""
     sizes = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int(counts @ sizes) // capacity)
     # below e: nothing; above capacity - e: a whole bin; between: their own size
@@ -120,10 +126,13 @@ def _pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
     lengths = pdf["length"].to_numpy()
     bins, offsets, left = best_fit_decreasing(lengths)
     gap = len(left) - lower_bound(lengths)
+    emptiest = np.argsort(-left, kind="stable")
+    # room and bins kept when so many bins and one more are given back
+    room = left.sum() - np.cumsum(left[emptiest])
+    tight = np.flatnonzero(room <= WASTE * CAPACITY * (len(left) - 1 - np.arange(len(left))))
+    given = min(max(RELEASE, int(tight[0]) + 1 if len(tight) else len(left)), max(1, len(left) // 2))
     given_back = np.zeros(len(left), bool)
-    if gap > 0:
-        emptiest = np.argsort(-left, kind="stable")[: max(RELEASE * (gap + 1), int(RELEASE_SHARE * len(left)))]
-        given_back[emptiest] = left[emptiest] > 0
+    given_back[emptiest[:given]] = left[emptiest[:given]] > 0
     out = pdf[["doc_id", "piece", "start", "length", "ids_crc32", "part"]].copy()
     out["bin"], out["offset"], out["gap"], out["released"] = bins, offsets, gap, given_back[bins]
     return out
@@ -132,18 +141,19 @@ def _pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
 _PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, gap long, released boolean"
 
 
-def pack_pieces(pieces: DataFrame, target: int = TARGET, rounds: int = ROUNDS) -> DataFrame:
+def pack_pieces(pieces: DataFrame, target: int = TARGET, least_bins: int = LEAST_BINS) -> DataFrame:
     """Adds sequence_id and offset to a written table of pieces."""
     done, pool = [], pieces
     before = None
-    for k in range(rounds):
-        n = pool.count()
+    for k in count():
+        n, tokens = pool.agg(F.count("*"), F.sum("length")).first()
         if n == 0:
             break
-        parts = max(1, math.ceil(n / (target << k)))
-        dealt = pool.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(k)), F.lit(parts)))
+        parts = max(1, min(math.ceil(n / target), tokens // (least_bins * CAPACITY)))
+        dealt = pool.sortWithinPartitions("length").withColumn("part", F.pmod(F.monotonically_increasing_id() + k, F.lit(parts)))
         packed = written(dealt.groupBy("part").applyInPandas(_pack_group, _PACKED))
-        last = parts == 1 or k == rounds - 1 or n == before
+        # pieces that only partitions of one bin hold could come back for ever
+        last = parts == 1 or n == before
         kept = packed if last else packed.filter(~F.col("released"))
         # bins of a partition are fewer than its pieces: 2^24 bins and 2^34 partitions are room enough
         done.append(kept.withColumn("sequence_id", (F.lit(k) * F.lit(1 << 34) + F.col("part")) * F.lit(1 << 24) + F.col("bin")))
@@ -156,6 +166,14 @@ def pack_pieces(pieces: DataFrame, target: int = TARGET, rounds: int = ROUNDS) -
     return reduce(DataFrame.unionByName, [d.select(*columns) for d in done])
 
 
+def certificate(packed: DataFrame) -> tuple[int, int]:
+    """The number of sequences, and the bound below which no packing of the same pieces can go."""
+    counts = np.zeros(CAPACITY + 1, np.int64)
+    for row in packed.groupBy("length").count().collect():  # at most CAPACITY rows
+        counts[row["length"]] = row["count"]
+    return packed.select("sequence_id").distinct().count(), bound_of_counts(counts)
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Pieces of all documents with their places in sequences of at most 4096 tokens."""
     return pack_pieces(written(tokenize_pieces(docs, tokenizer_path)))
