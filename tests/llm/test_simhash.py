@@ -40,7 +40,9 @@ def test_groups_equal_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'q' as fp", "1 as component_id")
     got = simhash.group_documents(docs).select("doc_id", simhash.fingerprint_hex(simhash.F.col("fp")), "component_id").collect()
     assert {tuple(r) for r in got} == brute(rows) and len(got) == len(rows)
-    kept = simhash.first_of_each_group(docs.unionByName(docs)).collect()
+    clashing = docs.unionByName(docs).selectExpr("*", "1 as _rows", "2 as _kept", "3 as rows", "4 as kept")
+    kept = simhash.first_of_each_group(clashing).collect()
+    assert all(len(r) == len(clashing.columns) and (r._rows, r._kept, r.rows, r.kept) == (1, 2, 3, 4) for r in kept)
     assert sorted(r.doc_id for r in kept) == sorted({c for _, _, c in brute(rows)})
     assert simhash.group_documents(docs.limit(0)).count() == 0
 

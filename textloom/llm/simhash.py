@@ -202,14 +202,18 @@ def group_documents(docs: DataFrame) -> DataFrame:
 
 
 def first_of_each_group(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = group_documents) -> DataFrame:
-    """The documents whose doc_id is their component's smallest, one row for each; all columns stay."""
+    """The documents whose doc_id is their component's smallest, one row for each; all columns stay.
+
+    Of rows with one doc_id any one stays; rows without an id name no group and all stay.
+    """
     groups = written(grouped(docs))
-    keep = groups.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
-    nameless = docs.filter("doc_id is null")  # no id, so no group is named by it
-    named = docs.join(keep, F.col("doc_id") == F.col("_kept"))
-    single = named.filter("_rows = 1").select(*docs.columns)
-    repeated = named.filter("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id"])
-    return single.unionByName(repeated).unionByName(nameless)
+    keep = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")).select(F.struct("doc_id", "rows").alias("kept"))
+    # docs as one column, so that no name of theirs can clash
+    packed = docs.select(F.struct(*docs.columns).alias("row"))
+    named = packed.join(keep, F.col("row.doc_id") == F.col("kept.doc_id"))
+    single = named.filter("kept.rows = 1").select("row")
+    repeated = named.filter("kept.rows > 1").select("row", "kept.doc_id").dropDuplicates(["doc_id"]).select("row")
+    return single.unionByName(repeated).unionByName(packed.filter("row.doc_id is null")).select("row.*")
 
 
 def fingerprint_hex(fp: Column) -> Column:

@@ -10,7 +10,9 @@ ids; scoring covers every row.  Words: ASCII letters lowered, ASCII punctuation
 
 Cases: null and empty texts have no words and get the models' base rates; a category with
 one class only is predicted as that class; null labels count as 0; without labels nothing
-is toxic; repeated rows get equal scores.
+is toxic; repeated rows get equal scores; where labels of one id differ, each category's
+largest counts; where texts of one labelled id differ, the one whose sorted word hashes
+come first is learnt; columns of docs with the names of results are replaced by them.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 #: The chain, in order; the last one decides.
 CATEGORIES = ("quality", "toxic")
@@ -137,7 +140,7 @@ class Chain:
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, most: int = TRAIN_ROWS) -> Chain:
     """Fits the chain on at most ``most`` labelled rows; hashes of their words reach the driver."""
     marks = [F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c) for c in categories]
-    chosen = labels.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id"), *marks).dropDuplicates(["_id"]).withColumn("_order", F.xxhash64("_id"))
+    chosen = labels.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id"), *marks).groupBy("_id").agg(*[F.max(c).alias(c) for c in categories]).withColumn("_order", F.xxhash64("_id"))
     chosen = chosen.orderBy("_order", "_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
 
@@ -147,23 +150,24 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] =
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *batch.columns[1:]], ["bag", *batch.schema.names[1:]])
 
     joined = texts.join(F.broadcast(chosen), "_id").select("_text", "_id", *categories)  # at most TRAIN_ROWS ids
-    rows = joined.mapInArrow(bags, "bag binary, _id long, " + ", ".join(f"{c} int" for c in categories)).limit(2 * most).toPandas()
-    rows = rows.sort_values(["_id", "bag"]).drop_duplicates("_id")
+    found = joined.mapInArrow(bags, "bag binary, _id long, " + ", ".join(f"{c} int" for c in categories))
+    rows = found.groupBy("_id", *categories).agg(F.min("bag").alias("bag")).toPandas().sort_values("_id")  # a row for each chosen id
     folds = (rows["_id"].to_numpy(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % FOLDS
     return Chain([np.frombuffer(b, np.uint32) for b in rows["bag"]], rows[list(categories)].to_numpy(np.int64).reshape(-1, len(categories)), folds)
 
 
 def score_documents(docs: DataFrame, chain: Chain, categories: tuple[str, ...] = CATEGORIES, threshold: float = THRESHOLD) -> DataFrame:
     """docs with a probability for each category (<category>_score) and the boolean is_toxic."""
-    names = docs.columns
-    text_at = names.index("text")
+    more = [*(f"{c}_score" for c in categories), "is_toxic"]
+    docs = docs.drop(*more)
+    text_at = docs.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text_at)
             scores = np.concatenate([chain.predict([features(t.as_py()) for t in texts.slice(at, 500)]) for at in range(0, max(1, batch.num_rows), 500)])
-            more = [pa.array(scores[:, k]) for k in range(len(categories))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more, pa.array(scores[:, -1] >= threshold)], [*names, *(f"{c}_score" for c in categories), "is_toxic"])
+            found = [*(pa.array(scores[:, k]) for k in range(len(categories))), pa.array(scores[:, -1] >= threshold)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, *more])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{c}_score double" for c in categories), "is_toxic boolean"])
+    schema = StructType([*docs.schema, *(StructField(c, BooleanType() if c == "is_toxic" else DoubleType()) for c in more)])
     return docs.mapInArrow(score, schema)
