@@ -18,6 +18,7 @@ byte by byte in linear time; repeated rows give repeated results.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
@@ -36,7 +37,7 @@ CACHE_WORDS = 800_000
 #: Pairs of tokens and steps of the automaton that a worker keeps; beyond it they start anew.
 CACHE_PAIRS = 4_000_000
 #: Characters of text worked on at once.
-SLAB_CHARS = 2_000_000
+SLAB_CHARS = 3_000_000
 
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
 _NON_SPACE = regex.compile(r"\S+")
@@ -158,33 +159,36 @@ class PrefixBpe:
         out: dict[bytes, bytes] = {}
         step, suffixes, joined, length, packed = self.step, self.suffixes, self._joined, self.length, self.packed
         path, states, last = b"", [0], [0]
+        add_state, add_last = states.append, last.append
         for word in sorted(parts):
             end = len(word) - 1
-            depth, most = 0, min(end, len(path))
-            if path[:most] == word[:most]:
-                depth = most
-            else:
-                while word[depth] == path[depth]:
-                    depth += 1
+            most = min(end, len(path))
+            # bytes before the first that differs
+            depth = most - ((int.from_bytes(path[:most]) ^ int.from_bytes(word[:most])).bit_length() + 7 >> 3)
             del states[depth + 1 :], last[depth + 1 :]
-            state = states[depth]
-            for i in range(depth, end + 1):
-                symbol = word[i] if i < end else 256 + word[i]
-                nxt = step.get(state << 9 | symbol)
-                state = self._next(state, symbol) if nxt is None else nxt
+            state, i = states[depth], depth
+            path = word[:end]
+            for symbol in (*word[depth:end], 256 + word[end]):
+                i += 1
+                try:
+                    state = step[state << 9 | symbol]
+                except KeyError:
+                    state = self._next(state, symbol)
                 for size, token in suffixes[state]:
-                    before = i + 1 - size
-                    if before == 0:
+                    before = i - size
+                    if not before:
                         break
-                    ok = joined.get(last[before] << 32 | token)
-                    if ok is None:
-                        ok = self._joins(last[before], token)
-                    if ok:
-                        break
-                if i < end:
-                    states.append(state)
-                    last.append(token)
-            path = word[:end]
+                    try:
+                        if joined[last[before] << 32 | token]:
+                            break
+                    except KeyError:
+                        if self._joins(last[before], token):
+                            break
+                add_state(state)
+                add_last(token)
+            # the node of the end mark is no prefix of other words
+            states.pop()
+            last.pop()
             if before == 0:
                 out[word] = packed[token]
                 continue
@@ -199,8 +203,10 @@ class PrefixBpe:
 
     def _split_word(self, word: str) -> list[bytes | int]:
         """Parts of a word to encode; ints are ids of special tokens."""
-        if word.isalpha() and word.isascii():
-            return [word.lower().encode()]
+        body = word[:-1] if word[-1] in ".,;:!?" else word
+        # letters of ASCII and Latin-1 are one part, normalised and with one lower-case letter each
+        if body.isalpha() and (body.isascii() or max(body) < "\u0100"):
+            return [body.lower().encode()] if body is word else [body.lower().encode(), word[-1].encode()]
         if "<|" in word and self.special_re.search(word):
             return list(chain.from_iterable([self.special[p]] if p in self.special else self._split_word(p) for p in self.special_re.split(word) if p))
         raw = word
@@ -230,10 +236,17 @@ class PrefixBpe:
         if len(self._joined) + len(self.step) > CACHE_PAIRS:
             self._joined.clear()
             self.step = dict(self._spelled_steps)
-        split = {w: self._split_word(w) for w in set(words).difference(self._words)}
-        known = self.encode_parts({p for parts in split.values() for p in parts if not isinstance(p, int)})
-        for w, parts in split.items():
-            self._words[w] = b"".join([self.packed[p] if isinstance(p, int) else known[p] for p in parts])
+        # many small lists and no cycles among them: looking for cycles would take a tenth of the time
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            split = {w: self._split_word(w) for w in set(words).difference(self._words)}
+            known = self.encode_parts({p for parts in split.values() for p in parts if not isinstance(p, int)})
+            for w, parts in split.items():
+                self._words[w] = known[parts[0]] if len(parts) == 1 and parts[0] in known else b"".join([self.packed[p] if isinstance(p, int) else known[p] for p in parts])
+        finally:
+            if collects:
+                gc.enable()
 
     def encode_slab(self, texts: list[str]) -> Iterator[tuple[list[str], bytes]]:
         """Words and ids of each text."""
