@@ -79,7 +79,57 @@ def test_codes_round_trip():
         assert np.array_equal(ng.counts_unpack(ng.counts_pack(counts)), counts)
     for most in (100, 2**20, 2**44):
         values = np.unique(rng.integers(0, most, 4000))
-        assert np.array_equal(ng.EliasFano(values).successor(values), np.arange(len(values)))
+        code = ng.EliasFano(values)
+        code.map(ng.mapped(code.arrays))
+        assert np.array_equal(code.access(np.arange(len(values))), values)
+        wanted = np.concatenate([values, values + 1, rng.integers(0, most + 9, 500)])
+        lo = rng.integers(0, len(values), len(wanted))
+        hi = np.minimum(lo + rng.integers(0, 900, len(wanted)), len(values))
+        got, same = code.successor(wanted, lo, hi)
+        for w, a, b, i, s in zip(wanted, lo, hi, got, same):
+            want = a + int(np.searchsorted(values[a:b], w))
+            assert i == want and s == (want < b and values[want] == w)
+
+
+def test_levels_find_pairs_between_their_context_s_pointers():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 900):
+        pairs = sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, 40, n), rng.integers(0, 300, n))})
+        level = ng.Level(np.array([a for a, _ in pairs], np.int64), np.array([b for _, b in pairs], np.int64), 40)
+        arrays = ng.mapped([*level.pointers.arrays, *level.values.arrays])
+        level.pointers.map(arrays)
+        level.values.map(arrays)
+        every = [(a, b) for a in range(40) for b in range(0, 301)]
+        at, there = level.find(*(np.array(side) for side in zip(*every)))
+        where = {p: i for i, p in enumerate(pairs)}
+        assert [int(i) if t else None for i, t in zip(at, there)] == [where.get(p) for p in every]
+
+
+def test_the_trie_lacks_what_training_lacks():
+    """Texts learnt and not learnt share a chunk; the latter's own n-grams are searched for and not found."""
+    texts = ["a b c d a b", "c a b x y", "b x a b c", "new words b c d"]
+    t = ng.Tokens([x.encode() for x in texts])
+    learnt = [s for s in (["<s>", *tokens(x)] for x in texts[:2])]
+    spelled = [["<s>", *tokens(x)] for x in texts]
+    c = {k: Counter(g for s in learnt for g in zip(*(s[i:] for i in range(k)))) for k in (1, 2, 3)}
+    c[1].pop(("<s>",))
+    counts = {
+        1: np.array([c[1][(w,)] for s in spelled for w in s[1:]]),
+        2: np.array([c[2][g] for s in spelled for g in zip(s, s[1:])]),
+        3: np.array([c[3][g] for s in spelled for g in zip(s, s[1:], s[2:])]),
+    }
+    stats = [(k, ng.shard_stats(np.array(list(c[k].values())))) for k in (1, 2, 3)]
+    trie = ng.Trie(t, counts, ng.Totals(stats))
+    ids = {w: int(np.searchsorted(trie.words, ng.Tokens([w.encode()]).tokens[0])) for w in "abcdxy"} | {"<s>": trie.size - 1}
+    find = lambda u, v: bool(trie.level2.find(np.array([ids[u]]), np.array([ids[v]]))[1][0])
+    assert find("a", "b") and find("b", "x") and find("<s>", "c")
+    assert not find("x", "a") and not find("<s>", "b") and not find("d", "b")
+    assert trie.level2.values.n == len(c[2]) and trie.level3.values.n == len(c[3])
+    want, p, _ = brute([(i, x) for i, x in zip([i for i in range(99) if not held(i)][:2] + [i for i in range(99) if held(i)][:2], texts)])
+    logs = trie.log_probabilities(t)
+    got = np.add.reduceat(logs, t.starts[:-1])
+    for g, w in zip(got, want):
+        assert abs(g - w[6]) <= ng.CODE * w[2]
 
 
 def test_slices_of_any_size_give_equal_scores(monkeypatch):

@@ -6,11 +6,16 @@ hashes, Elias-Fano coded, with its training counts.  A shard adds the counts of
 and answers in the order asked, so answers need no keys.  Shards are ranges of a hash of
 the whole n-gram: a frequent word is one key for each chunk, whatever its count.
 
-With the answers a chunk lays out the slices of the model that its texts need, some texts at
-a time, each as a trie in one memory map: level 1 the words, level 2 the successors of each word, level 3 the
-successors of each pair, written as ranks among the successors of the pair's last word.
-Levels are Elias-Fano sequences with monotone pointers and 16-bit codes of the smoothed
-log probabilities.  Each token is scored by successor search from its longest context.
+With the answers a chunk lays out the model for its texts once, as a trie in one memory-mapped
+file: level 1 the words, level 2 the successors that each word has in training, level 3 those
+of each pair, written as ranks among the successors of the pair's last word.  A level is one
+Elias-Fano sequence: each context's successors follow the last value of the context before,
+so values rise, and pointers to each context's first one rise too and are coded alike.
+N-grams, and the weight that a context leaves to shorter ones, are 16-bit codes of smoothed
+log probabilities.  To score a token, its context's pointers are read, and the successor is
+searched between them, by the unary upper bits and then the low parts; what training does not
+have is not in the trie, and the context's weight leads to the shorter n-gram.  The model of
+the whole corpus is never one file: it grows with the corpus, beyond any one machine.
 
 The model, for context h of count c(h) > 0:
 p(w|h) = (1 - g) c(hw) / c(h) + g p(w|shorter h), g = D c(h)^(b - 1), which sums to one.  D is n1 / (n1 + 2 n2)
@@ -19,7 +24,8 @@ level's distinct n-grams.  Words alone: (c + 1) / (N + V + 1), the base.  All ar
 
 Tokens: runs of anything but ASCII white space, ASCII letters lowered, then one end token.
 Cases: a null or empty text is the end token only; rows of one doc_id are rows of their own;
-a null id counts as the text "" for the split; without training texts all counts are 0.
+a null id counts as the text "" for the split; without training texts all counts are 0;
+rows that agree in id and text share a chunk; other columns are left out.
 Words are compared by 64-bit hashes, longer n-grams by 48 bits.
 """
 
@@ -28,6 +34,7 @@ from __future__ import annotations
 import math
 import mmap
 import struct
+import tempfile
 from typing import Iterator
 
 import numpy as np
@@ -54,7 +61,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _END, _BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _SLAB = 1 << 20
-#: Tokens whose texts share a trie, about; a longer text has one of its own.
+#: Tokens scored at once, about; a longer text is scored alone.
 TRIE_TOKENS = 1 << 18
 
 
@@ -188,45 +195,108 @@ def counts_unpack(code: bytes) -> np.ndarray:
     return out
 
 
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+#: Ones in each byte, and the place of its k-th one.
+_ONES = _BITS.sum(axis=1).astype(np.uint8)
+_PLACE = np.argsort(1 - _BITS, axis=1, kind="stable").astype(np.uint8)
+
+
 class EliasFano:
-    """Ascending values in a memory map: low parts, high bits in unary, and where each high part starts."""
+    """Ascending values: low parts, and high parts as ones in a row of bits, a zero after each high value."""
 
     def __init__(self, values: np.ndarray):
-        n = len(values)
-        most = int(values[-1]) if n else 0
-        self.bits = 16 if most >> 16 < max(4 * n, 1 << 20) else 32
-        kind = np.uint16 if self.bits == 16 else np.uint32
-        high = (values >> self.bits).astype(np.int64)
-        unary = np.zeros((int(high[-1]) if n else 0) + n + 1, np.uint8)
-        unary[high + np.arange(n)] = 1
-        starts = np.concatenate([[0], np.cumsum(np.bincount(high, minlength=1))]) if n else np.zeros(2, np.int64)
-        self.low, self.high, self.starts = mapped((values & ((1 << self.bits) - 1)).astype(kind), np.packbits(unary), starts.astype(np.uint32))
-        widest = int(np.diff(starts).max(initial=0))
-        self.rounds = widest.bit_length()
-
-    def successor(self, wanted: np.ndarray) -> np.ndarray:
-        """Index of the first value that is not below each wanted one, in its high part's range."""
-        part = np.minimum(wanted >> self.bits, len(self.starts) - 2)
-        lo, hi = self.starts[part].astype(np.int64), self.starts[part + 1].astype(np.int64)
-        low = wanted & ((1 << self.bits) - 1)
-        last = max(len(self.low) - 1, 0)
-        for _ in range(self.rounds):
-            middle = (lo + hi) >> 1
-            below = (lo < hi) & (self.low[np.minimum(middle, last)] < low)
-            lo, hi = np.where(below, middle + 1, lo), np.where(below | (lo >= hi), hi, middle)
-        return lo
-
-
-def mapped(*arrays: np.ndarray) -> list[np.ndarray]:
-    """The arrays, copied to one anonymous memory map."""
+        self.n = len(values)
+        most = int(values[-1]) if self.n else 0
+        wanted = max(0, (most // max(1, self.n)).bit_length() - 1)
+        self.shift, kind = next((b, k) for b, k in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (48, np.uint64)) if wanted <= b)
+        self.last = most >> self.shift
+        ones = (values >> self.shift).astype(np.int64) + np.arange(self.n)
+        size = -(-(self.last + self.n + 1) // 64) * 64
+        bits = np.zeros(size, np.uint8)
+        bits[ones] = 1
+        upper = np.packbits(bits, bitorder="little")
+        blocks = np.concatenate([[0], np.cumsum(bits.reshape(-1, 64).sum(axis=1))]).astype(np.int64)
+        self.arrays = [(values & ((1 << self.shift) - 1)).astype(kind), upper, blocks]
+
+    def map(self, arrays: Iterator[np.ndarray]) -> None:
+        """Takes the mapped copies of its arrays."""
+        self.low, upper, self.ones_before = (next(arrays) for _ in self.arrays)
+        self.upper = upper.reshape(-1, 8)
+        self.zeros_before = np.arange(len(self.ones_before)) * 64 - self.ones_before
+        del self.arrays
+
+    def _select(self, k: np.ndarray, before: np.ndarray, flip: int) -> np.ndarray:
+        """Place of the k-th one (flip 0) or zero (flip 255) of the upper bits."""
+        block = np.searchsorted(before, k, "right") - 1
+        bytes_ = self.upper[block] ^ np.uint8(flip)
+        sums = np.cumsum(_ONES[bytes_], axis=1, dtype=np.uint8)
+        left = (k - before[block]).astype(np.uint8)
+        byte = (sums <= left[:, None]).sum(axis=1)
+        rows = np.arange(len(k))
+        left = left - np.where(byte > 0, sums[rows, byte - 1], 0).astype(np.uint8)
+        return block * 64 + byte * 8 + _PLACE[bytes_[rows, byte], left]
+
+    def access(self, i: np.ndarray) -> np.ndarray:
+        """The values at places i."""
+        high = self._select(i, self.ones_before, 0) - i
+        return (high << self.shift) | self.low[i].astype(np.int64)
+
+    def successor(self, wanted: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first place in lo to hi whose value is not below each wanted one, and whether it is that value."""
+        high = np.minimum(wanted >> self.shift, self.last)
+        start = np.where(high > 0, self._select(np.maximum(high - 1, 0), self.zeros_before, 255) + 1 - high, 0)
+        end = self._select(high, self.zeros_before, 255) - high
+        beyond = (wanted >> self.shift) > self.last
+        at, end = np.minimum(np.maximum(np.where(beyond, end, start), lo), hi), np.minimum(end, hi)
+        low = (wanted & ((1 << self.shift) - 1)).astype(self.low.dtype)
+        stop = np.maximum(at, end)
+        least, most = at.copy(), stop.copy()
+        for _ in range(int((stop - at).max(initial=0)).bit_length()):
+            middle = (least + most) >> 1
+            below = (least < most) & (self.low[np.minimum(middle, max(self.n - 1, 0))] < low)
+            least, most = np.where(below, middle + 1, least), np.where(below | (least >= most), most, middle)
+        same = (least < stop) & ~beyond
+        same[same] = self.low[least[same]] == low[same]
+        return least, same
+
+
+class Level:
+    """Successors of contexts 0 to n: one Elias-Fano sequence, with pointers to each context's first one."""
+
+    def __init__(self, context: np.ndarray, successor: np.ndarray, n: int):
+        """context, successor: the pairs in order."""
+        places = np.searchsorted(context, np.arange(n + 1))
+        ends = np.flatnonzero(np.diff(context, append=n))
+        base = np.zeros(len(context), np.int64)
+        if len(ends):
+            sums = np.concatenate([[0], np.cumsum(successor[ends])[:-1]])
+            base = np.repeat(sums, np.diff(ends, prepend=-1))
+        self.pointers, self.values = EliasFano(places), EliasFano(base + successor)
+
+    def children(self, context: np.ndarray) -> np.ndarray:
+        """The place of each context's first successor."""
+        return self.pointers.access(context)
+
+    def find(self, context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each pair, and whether it is there."""
+        asked, which = np.unique(context, return_inverse=True)
+        lo, hi = self.pointers.access(asked), self.pointers.access(asked + 1)
+        base = np.zeros(len(asked), np.int64)
+        base[lo > 0] = self.values.access(lo[lo > 0] - 1)
+        return self.values.successor(base[which] + successor, lo[which], hi[which])
+
+
+def mapped(arrays: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """The arrays, written to one memory-mapped file that has no name and goes with its last reader."""
     sizes = [-(-a.nbytes // 8) * 8 for a in arrays]
-    area, out, at = mmap.mmap(-1, max(8, sum(sizes))), [], 0
+    with tempfile.TemporaryFile() as file:
+        file.truncate(max(8, sum(sizes)))
+        area, at = mmap.mmap(file.fileno(), 0), 0
     for a, size in zip(arrays, sizes):
         view = np.frombuffer(area, a.dtype, len(a), at)
         view[:] = a
-        out.append(view)
+        yield view
         at += size
-    return out
 
 
 def _code(p: np.ndarray) -> np.ndarray:
@@ -259,64 +329,69 @@ def shard_stats(counts: np.ndarray) -> list[float]:
 
 
 class Trie:
-    """The slice of the model that some tokens need."""
+    """The model's n-grams that the tokens of a chunk have and training has too."""
 
     def __init__(self, t: Tokens, counts: dict[int, np.ndarray], totals: Totals):
-        """counts: by level, of the distinct n-grams in order of their keys."""
-        words = np.unique(t.keys(1))
-        self.size = len(words) + 1  # the last id stands for the beginning
-        self.ids = np.searchsorted(words, t.tokens)
-        begin = len(words)
-        one = t._previous(self.ids, begin)
-        later = ~t.first
-        p1 = (counts[1] + 1) / (totals.tokens + totals.types + 1)
-        c1 = np.append(counts[1], counts[1][self.ids[t.starts[1] - 1]] if len(t.starts) > 1 else 0)  # as many beginnings as ends
-        # level 2 in trie order: by word, then successor
-        keys = t.keys(2)
-        where = _first_of_each(keys)
-        pairs = one[where] * self.size + self.ids[where]
-        order = np.argsort(pairs)
-        pairs, c2 = pairs[order], counts[2][order]
+        """counts: of the n-gram that ends at each token, by level; level 3 skips each text's first token."""
+        self.words, where = np.unique(t.tokens, return_index=True)
+        begin = len(self.words)
+        self.size = begin + 1  # the last id stands for the beginning
+        ids = np.searchsorted(self.words, t.tokens)
+        one = t._previous(ids, begin)
+        c1 = counts[1][where]
+        p1 = (c1 + 1) / (totals.tokens + totals.types + 1)
+        # as many beginnings as ends
+        c1 = np.append(c1, counts[1][t.starts[1] - 1] if len(t.starts) > 1 else 0)
+        seen = counts[2] > 0
+        pair = one * self.size + ids
+        pairs, where = np.unique(pair[seen], return_index=True)
+        c2 = counts[2][seen][where]
         head, tail = pairs // self.size, pairs % self.size
-        g = totals.lower_weight(2, c1[head])
-        p2 = (1 - g) * c2 / np.maximum(c1[head], 1) + g * p1[tail]
-        self.level2 = EliasFano(pairs)
-        self.pointers = np.searchsorted(head, np.arange(self.size + 1))
-        # level 3: node of the pair, then rank of the word among the successors of the pair's last word
-        bigram = self.level2.successor(one * self.size + self.ids)
-        self.width = int(np.diff(self.pointers).max(initial=0)) + 1
-        keys = t.keys(3)
-        where = np.flatnonzero(later)[_first_of_each(keys)] if len(keys) else np.zeros(0, np.int64)
-        nodes = bigram[where - 1] * self.width + (bigram[where] - self.pointers[one[where]])
-        order = np.argsort(nodes)
-        nodes, c3 = nodes[order], counts[3][order]
-        context, lower = bigram[where - 1][order], bigram[where][order]
-        g = totals.lower_weight(3, c2[context])
-        p3 = (1 - g) * c3 / np.maximum(c2[context], 1) + g * p2[lower]
-        self.level3 = EliasFano(nodes)
-        self.pointer_code = EliasFano(self.pointers)
-        self.codes2, self.codes3 = mapped(_code(p2), _code(p3))
+        g2 = totals.lower_weight(2, c1)
+        p2 = (1 - g2[head]) * c2 / np.maximum(c1[head], 1) + g2[head] * p1[tail]
+        self.level2 = Level(head, tail, self.size)
+        first = np.searchsorted(head, np.arange(self.size))
+        # a triple is its first pair's node and its last pair's rank among the last pair's context
+        later = np.flatnonzero(~t.first)
+        there = counts[3] > 0
+        at = later[there]
+        before, node = np.searchsorted(pairs, pair[at - 1]), np.searchsorted(pairs, pair[at])
+        rank = node - first[one[at]]
+        width = int(rank.max(initial=0)) + 1
+        triples, where = np.unique(before * width + rank, return_index=True)
+        context, rank, lower = before[where], rank[where], node[where]
+        c3 = counts[3][there][where]
+        g3 = totals.lower_weight(3, c2)
+        p3 = (1 - g3[context]) * c3 / np.maximum(c2[context], 1) + g3[context] * p2[lower]
+        self.level3 = Level(context, rank, len(pairs))
+        sequences = [self.level2.pointers, self.level2.values, self.level3.pointers, self.level3.values]
+        codes = [_code(p) for p in (p1, p2, p3, g2, g3)]
+        arrays = mapped([*(a for s in sequences for a in s.arrays), *codes])
+        for s in sequences:
+            s.map(arrays)
+        self.codes1, self.codes2, self.codes3, self.left2, self.left3 = arrays
 
     def log_probabilities(self, t: Tokens) -> np.ndarray:
-        """log10 of each token's probability, by search from the context's node."""
-        one = t._previous(self.ids, self.size - 1)
-        bigram = self.level2.successor(one * self.size + self.ids)
-        out = self.codes2[bigram].astype(float)
+        """log10 of each token's probability; all words must be the trie's."""
+        ids = np.searchsorted(self.words, t.tokens)
+        one = t._previous(ids, self.size - 1)
+        node, there = self.level2.find(one, ids)
+        out = self.left2[one].astype(np.int64) + self.codes1[ids]
+        out[there] = self.codes2[node[there]]
         later = np.flatnonzero(~t.first)
-        rank = bigram[later] - self.pointers[one[later]]
-        out[later] = self.codes3[self.level3.successor(bigram[later - 1] * self.width + rank)]
+        # a pair that training lacks leaves all to the shorter n-gram
+        later = later[there[later - 1]]
+        before = node[later - 1]
+        out[later] += self.left3[before]
+        known = there[later]
+        later, before = later[known], before[known]
+        contexts, which = np.unique(one[later], return_inverse=True)
+        rank = node[later] - self.level2.children(contexts)[which]
+        triple, found = self.level3.find(before, rank)
+        out[later[found]] = self.codes3[triple[found]]
         return -CODE * out
 
 
-def _first_of_each(keys: np.ndarray) -> np.ndarray:
-    """A place of each distinct key, in key order."""
-    order = np.argsort(keys)
-    ordered = keys[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    return order[new]
-
-
 def _ranks(keys: np.ndarray) -> np.ndarray:
     """Each key's place among the distinct keys."""
     order = np.argsort(keys)
@@ -426,12 +501,9 @@ def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
     counts = {k: np.concatenate(found.pop(k))[_ranks(t.keys(k))] for k in (1, 2, 3)}
     base = np.log10((counts[1] + 1) / (totals.tokens + totals.types + 1))
     logs = np.empty(len(t.tokens))
+    trie = Trie(t, counts, totals)
     for i, j in t.slices():
-        part, low, high = t.part(i, j), t.starts[i], t.starts[j]
-        # level 3 skips each text's first token
-        inside = {1: counts[1][low:high], 2: counts[2][low:high], 3: counts[3][low - i : high - j]}
-        distinct = {k: v[_first_of_each(part.keys(k))] for k, v in inside.items()}
-        logs[low:high] = Trie(part, distinct, totals).log_probabilities(part)
+        logs[t.starts[i] : t.starts[j]] = trie.log_probabilities(t.part(i, j))
     at = t.starts[:-1]
     return pa.table(
         [
@@ -454,8 +526,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out"))
     size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(LEAST_CHUNKS, math.ceil(size / CHUNK_BYTES))
-    # the row's number deals rows of one doc_id, however many
-    chunk = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
+    # by content, so that a chunk is the same rows whenever it is made again
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")
     parts = min(chunks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + chunks // 4))
     dealt = read.select(chunk.alias("chunk"), "doc_id", "text", "held_out").repartition(parts, "chunk")
     asked = dealt.sortWithinPartitions("chunk").mapInArrow(_requests(chunks), "shard int, level int, chunk int, keys binary, counts binary")
