@@ -26,7 +26,14 @@ def test_copies_keep_their_text_and_repeats_change_nothing(spark):
     assert {got[500 + i] for i in range(300)} == {"Story 0 of one host"}
 
 
-def test_branches_that_hold_all_text_stay():
-    assert pages.main_text(DIVIDED.format(i=1), {"/html", "/html/body", "/html/body/article", "/html/body/article/div.story"}) == "First 1\nSecond"
-    assert pages.main_text(SITE.format(i=1), {"/html", "/html/body", "/html/body/div.top"}) == "Story 1 of one host"
-    assert pages.main_text(SITE.format(i=1), {"/html/body/div.top", "/html/body/div.text"}) == "Story 1 of one host"
+def low(*paths):
+    return {pages.node_of(p) for p in paths}
+
+
+def test_branches_that_hold_most_of_an_article_or_all_text_stay():
+    assert pages.main_text(DIVIDED.format(i=1), low("/html/body/article/div.story/p", "/html/body/article/div.story")) == "First 1\nSecond"
+    assert pages.main_text(SITE.format(i=1), low("/html/body", "/html/body/div.top")) == "Story 1 of one host"
+    assert pages.main_text(SITE.format(i=1), low("/html/body/div.top", "/html/body/div.text", "/html/body/div.text/p")) == "Story 1 of one host"
+    # a branch with something important below it stays whole
+    nested = "<html><body><div class=a>Label<div class=b>Unlike text</div></div></body></html>"
+    assert pages.main_text(nested, low("/html/body/div.a")) == "Label\nUnlike text"

@@ -1,3 +1,8 @@
+import math
+import resource
+import time
+from html.parser import HTMLParser
+
 from textloom.llm import pages
 
 
@@ -38,3 +43,98 @@ def test_style_tree_drops_what_repeats_on_a_host(spark):
             assert r.text == ""
         assert r.n_chars == len(r.text)
     assert pages.extract_pages(frame.limit(0)).count() == 0
+
+
+class PlainTree(HTMLParser):
+    """Paths, child tags and texts of a well-formed page, from the definition."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.path, self.styles, self.texts, self.open = [], [], [], [[]]
+        self.feed(html)
+
+    def handle_starttag(self, tag, attrs):
+        names = "".join("." + c for c in dict(attrs).get("class", "").split())
+        self.open[-1].append(tag)
+        self.path.append(tag + names)
+        self.open.append([])
+
+    def handle_endtag(self, tag):
+        self.styles.append(("/" + "/".join(self.path), tuple(self.open.pop())))
+        self.path.pop()
+
+    def handle_data(self, data):
+        self.texts.append(("/" + "/".join(self.path), " ".join(data.split())))
+
+
+def plain_importance(htmls):
+    """Importance of each path of one host's different pages."""
+    styles, texts = {}, {}
+    for html in htmls:
+        tree = PlainTree(html)
+        for path, style in set(tree.styles):
+            styles.setdefault(path, []).append(style)
+        for path, text in set(tree.texts):
+            texts.setdefault(path, []).append(text)
+    out = {}
+    for path, seen in styles.items():
+        m = len(seen)
+        if m < pages.LEAST_PAGES:
+            continue
+        shares = [seen.count(s) / m for s in set(seen)]
+        shown = max(0, -sum(p * math.log(p, m) for p in shares))
+        found = texts.get(path, [])
+        spread = [math.log(found.count(t), m) for t in set(found)]
+        own = max(0, 1 - sum(spread) / len(spread)) if spread else 0
+        damped = pages.DAMPING ** len(shares)
+        out[path] = (1 - damped) * shown + damped * own
+    return out
+
+
+def test_importance_equals_its_definition(spark):
+    rows = []
+    for k in range(3):
+        for i in range(3 + 4 * k):
+            body = "".join(f"<p>Text {k} {i} {j}</p>" for j in range(i % 4)) + "<p>Shared</p>"
+            html = f"<html><body><nav><ul><li>Home</li><li>Page {i % 2}</li></ul></nav><div class='x one'>Same</div><article>{body}<div class=q>Read more</div></article></body></html>"
+            rows.append((len(rows), f"http://h{k}.example/{i}", html))
+    rows += rows[3:5] * 3  # copies change nothing
+    got = {(r.host, r.node): r.importance for r in pages.importance(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {}
+    for k in range(3):
+        htmls = {h for _, u, h in rows if u.startswith(f"http://h{k}.")}
+        want |= {(f"h{k}.example", pages.node_of(p)): x for p, x in plain_importance(htmls).items()}
+    assert got.keys() == want.keys() and len(got) >= 8
+    assert all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
+
+
+def test_tree_decides_without_telling_names(spark):
+    """Furniture of plain divs and paragraphs, outside and inside articles; the page alone cannot tell it."""
+    site = (
+        "<html><body><div class=va><div>Start</div><div>Topics</div><div>About</div></div><div class=vb><p>Story {i}, told at length and unlike any other one.</p><p>More of story {i}.</p>"
+        "<section class=vc><p>Follow our channel for news</p></section></div><div class=vd>Offices in four towns</div></body></html>"
+    )
+    held = "<html><body><article><h1>Title {i}</h1><p>Body of story {i}, long enough to be most of it.</p><div class=ve><p>Sign up today</p></div></article></body></html>"
+    rows = [(i, f"http://a.example/{i}", site.format(i=i)) for i in range(8)] + [(100 + i, f"http://b.example/{i}", held.format(i=i)) for i in range(8)]
+    got = {r.page_id: r.text for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        alone = pages.main_text(rows[i][2], set())
+        assert "Start" in alone and "Follow our channel" in alone and "Offices" in alone
+        assert got[i] == f"Story {i}, told at length and unlike any other one.\nMore of story {i}."
+        assert got[100 + i] == f"Title {i}\nBody of story {i}, long enough to be most of it."
+
+
+def test_deep_nesting_takes_linear_time_and_memory():
+    def took(html):
+        began = time.process_time()
+        pages.main_text(html, set())
+        return time.process_time() - began
+
+    for shape in ("<div class=a>" * 1000 + "deep", "<div>" * 500 + "</section>" * 500, "<span>" + "<div>" * 500 + "</span>" * 500, "<b>" * 500 + "<p>x</p>" * 500, "<svg>" * 900):
+        html = shape * 8
+        took(html)
+        once, often = min(took(html) for _ in range(3)), min(took(html * 8) for _ in range(2))
+        assert often < 24 * once + 0.2, shape[:20]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    pages.main_text("<div class=some-name>" * 32000 + "deep", set())
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 60_000  # kB

@@ -5,25 +5,27 @@ classes, without digits) from the root to it.  For each node the tree keeps how
 have it, the presentations (sequences of child tags) and the contents (hashed texts) it had.
 Its importance combines the entropy of presentations and, for content, one minus the mean
 entropy of its texts over the host's pages; a text on all pages counts 0, a text on one
-page 1.  Branches whose nodes all stay below ``IMPORTANT`` are taken out of each page of
-the host, if at least ``LEAST_PAGES`` different pages show them: rows of one host and html
-are one page.  A branch that holds all text of a page or its article (or main) stays there,
-and where the branches would leave nothing, the one with most text stays.  Only sums by path
-and hashes of repeated pages are shuffled.
-
-Elements that say what they are (nav, footer, aside, form, script, comments, adverts...)
-go at once, and a page with an article (or main) element gives only what is inside it;
-its own headings, paragraphs and lists are content whatever the tree says.  A class or id
-counts as a whole, without digits at its end; names that content has too are left to the
-tree.  An article inside furniture that is so only by name, comments apart, is read where
-the rest of the page has no article and less text.
+page 1.  Every element takes part, articles, their paragraphs and named furniture included,
+if at least ``LEAST_PAGES`` different pages show it: rows of one host and html are one page.
+A branch of a page goes if its root and all that is below it stay under ``IMPORTANT``.
+Branches that together hold more than half of an article's text stay, as that is what
+articles shared by pages look like; where nothing would be left, the node with most text
+stays.  Only sums by node and hashes of repeated pages are shuffled.
+
+What entropy cannot tell (adverts and comments differ from page to page, and hosts of few
+pages tell nothing) goes by what elements say they are: nav, footer, aside, form, script,
+comments, adverts..., and a page with an article (or main) element gives only what is inside
+it.  A class or id counts as a whole, without digits at its end; names that content has too
+are left to the tree.  An article inside furniture that is so only by name, comments apart,
+is read where the rest of the page has no article and less text.
 
 Blocks: text between the borders of block elements, character references decoded, white
 space made one space, joined by newlines.  br is white space.
 
 Cases: null or empty html gives an empty text; unclosed, cut and wrongly nested tags are
 read as browsers do roughly (end tags close what is open, a new paragraph or item closes
-the last); a null url is a host of its own; repeated rows give repeated results.
+the last), in time and memory linear in the page, however deeply nested; a null url is a
+host of its own; repeated rows give repeated results; other columns are left out.
 """
 
 from __future__ import annotations
@@ -42,6 +44,10 @@ from textloom.functions.shared import written
 
 LEAST_PAGES = 4
 IMPORTANT = 0.2
+#: Share of an article's text that branches of low importance may hold.
+MOST_OF_ARTICLE = 0.5
+#: Parts into which a host's pages are dealt to meet its branches.
+SALTS = 32
 #: Weight of what is below a node for each presentation that it has.
 DAMPING = 0.9
 
@@ -62,7 +68,6 @@ NOISE_NAMES = {
     "site-nav", "main-nav", "nav-menu", "main-menu", "share-buttons", "social-share", "social-links", "related-posts", "comment-list", "skip-link",
 }
 COMMENTS = {"comment", "comments", "comment-list", "disqus"}
-PLAIN = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "blockquote", "pre", "table", "tbody", "tr", "td", "th", "figure", "figcaption", "dl", "dt", "dd"}
 CLOSED_BY = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|([^<]+)|<", re.S)
@@ -74,14 +79,28 @@ _PARAGRAPH_ENDS = {"address", "article", "aside", "blockquote", "div", "dl", "fi
 
 
 class Element:
-    __slots__ = ("tag", "path", "noise", "article", "main", "plain", "children", "block", "container", "named", "doubtful")
+    __slots__ = ("tag", "node", "noise", "article", "main", "children", "block", "parent", "named", "doubtful", "alive")
 
-    def __init__(self, tag: str, path: str, noise: bool, article: bool, main: bool, plain: bool, block: bool):
-        self.tag, self.path, self.noise, self.article, self.main, self.plain, self.block = tag, path, noise, article, main, plain, block
+    def __init__(self, tag: str, node: int, parent: Element | None, noise: bool, article: bool, main: bool, block: bool):
+        self.tag, self.node, self.noise, self.article, self.main, self.block = tag, node, noise, article, main, block
+        self.parent = parent  # the block element around it
         self.children: list[str] = []
-        self.container = ""  # path of the outermost article or main around it
         self.named = False  # whether it is noise by a name only
         self.doubtful = False  # whether an article or main around it is in noise by name
+        self.alive = False  # whether it or something below it is important
+
+
+def child_node(parent: int, name: str) -> int:
+    """The node of an element, from its parent's and its own tag and classes."""
+    return xxhash.xxh3_64_intdigest(name, parent) >> 1
+
+
+def node_of(path: str) -> int:
+    """The node of a path such as /html/body/div.top."""
+    node = 0
+    for name in path.split("/")[1:]:
+        node = child_node(node, name)
+    return node
 
 
 def _open(tag: str, attributes: str, parent: Element) -> Element:
@@ -90,7 +109,7 @@ def _open(tag: str, attributes: str, parent: Element) -> Element:
     resets = tag in ("article", "main")
     if attributes and not attributes.isspace():
         found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
-        classes = " ".join(_NAME.findall(_CAMEL.sub(" ", f"{found.get('class', '')} {found.get('id', '')}"))).lower()
+        classes = "".join("." + w for w in _NAME.findall(_CAMEL.sub(" ", f"{found.get('class', '')} {found.get('id', '')}"))).lower()
         style = found.get("style", "").replace(" ", "").lower()
         role = found.get("role", "").lower()
         names = {_END.sub("", name) for name in f"{found.get('class', '')} {found.get('id', '')}".lower().replace("_", "-").split()}
@@ -107,23 +126,46 @@ def _open(tag: str, attributes: str, parent: Element) -> Element:
     if resets and named:
         named, doubtful = False, True
     named &= not noise
-    if tag in INLINE:
-        inline = Element(tag, parent.path, noise or named, article, main, parent.plain, False)
-        inline.container, inline.named, inline.doubtful = parent.container, named, doubtful
-        return inline
-    inside = parent.article or parent.main
-    plain = inside and (parent.plain or parent.tag in ("article", "main")) and tag in PLAIN and not classes
-    plain |= tag in ("article", "main")
-    element = Element(tag, f"{parent.path}/{tag}{'.' + classes.replace(' ', '.') if classes else ''}", noise or named, article, main, plain, True)
+    around = parent if parent.block else parent.parent
+    block = tag not in INLINE
+    element = Element(tag, child_node(around.node, tag + classes) if block else around.node, around, noise or named, article, main, block)
     element.named, element.doubtful = named, doubtful
-    element.container = parent.container or (element.path if article or main else "")
     return element
 
 
+class _Stack:
+    """Open elements, with the places of each tag and of the blocks among them."""
+
+    def __init__(self, root: Element):
+        self.open = [root]
+        self.places: dict[str, list[int]] = {}
+        self.blocks = [0]
+
+    def push(self, element: Element) -> None:
+        self.places.setdefault(element.tag, []).append(len(self.open))
+        if element.block:
+            self.blocks.append(len(self.open))
+        self.open.append(element)
+
+    def close(self, k: int) -> None:
+        """Closes place k and all after it."""
+        while len(self.open) > k:
+            element = self.open.pop()
+            self.places[element.tag].pop()
+            if element.block:
+                self.blocks.pop()
+
+    def last(self, tag: str) -> int:
+        """The innermost open element of the tag, or 0."""
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+
 def parse(html: str) -> tuple[list[tuple[str, Element]], list[Element]]:
-    """Blocks of text in page order, each with its element, and all block elements."""
-    root = Element("", "", False, False, False, False, True)
-    stack, elements, blocks, pieces = [root], [], [], []
+    """Blocks of text in page order, each with its element, and all block elements, parents first."""
+    root = Element("", 0, None, False, False, False, True)
+    root.alive = True
+    stack, elements, blocks, pieces = _Stack(root), [], [], []
     owner = root
 
     def flush() -> None:
@@ -142,7 +184,7 @@ def parse(html: str) -> tuple[list[tuple[str, Element]], list[Element]]:
         at = m.end()
         text = m[7]
         if text is not None or m[0] == "<":
-            top = stack[-1]
+            top = stack.open[-1]
             if not pieces:
                 owner = top
             if top.noise != owner.noise:  # an inline element that is noise
@@ -157,16 +199,15 @@ def parse(html: str) -> tuple[list[tuple[str, Element]], list[Element]]:
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            k = len(stack) - 1
-            while k > 0 and stack[k].tag != tag:
-                k -= 1
-            if k > 0:
+            k = stack.last(tag)
+            if k:
                 # an inline end tag doesn't close blocks
-                if tag in INLINE and any(e.block for e in stack[k:]):
+                over_block = stack.blocks[-1] >= k
+                if tag in INLINE and over_block:
                     continue
-                if any(e.block for e in stack[k:]):
+                if over_block:
                     flush()
-                del stack[k:]
+                stack.close(k)
             elif tag not in INLINE:
                 flush()
             continue
@@ -184,19 +225,14 @@ def parse(html: str) -> tuple[list[tuple[str, Element]], list[Element]]:
         if tag not in INLINE:
             flush()
             closing = CLOSED_BY.get(tag, "p" if tag in _PARAGRAPH_ENDS else "").split()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in closing:
-                    del stack[k:]
-                    break
-                if stack[k].block:
-                    break
-        parent = stack[-1]
-        element = _open(tag, m[3] if m[3] is not None else m[6], parent)
+            if stack.blocks[-1] and stack.open[stack.blocks[-1]].tag in closing:
+                stack.close(stack.blocks[-1])
+        element = _open(tag, m[3] if m[3] is not None else m[6], stack.open[-1])
         if element.block:
-            parent.children.append(tag)
+            element.parent.children.append(tag)
             elements.append(element)
         if not m[0].endswith("/>") or tag not in ("svg", "math"):
-            stack.append(element)
+            stack.push(element)
     flush()
     return blocks, elements
 
@@ -209,34 +245,34 @@ def _in_scope(blocks: list[tuple[str, Element]]) -> list[tuple[str, Element]]:
     return []
 
 
-def main_text(html: str | None, noisy: set[str]) -> str:
-    """Blocks of the article, or of the page without furniture and noisy branches."""
-    blocks, _ = parse(html or "")
+def main_text(html: str | None, low: set[int]) -> str:
+    """Blocks of the article, or of the page, without furniture and branches of low nodes."""
+    blocks, elements = parse(html or "")
+    for e in reversed(elements):
+        e.alive |= e.node not in low
+        e.parent.alive |= e.alive
     sure = [(t, e) for t, e in blocks if not e.noise and not e.doubtful]
     kept = _in_scope(sure)
     if not kept:
         inside = _in_scope([(t, e) for t, e in blocks if not e.noise and e.doubtful])
         kept = max(sure, inside, key=lambda part: sum(len(t) for t, _ in part))
-    return "\n".join(kept[i][0] for i in _important(kept, noisy))
-
-
-def _important(kept: list[tuple[str, Element]], noisy: set[str]) -> list[int]:
-    """Indexes of the blocks outside noisy branches; branches around an article, and such as hold all blocks, don't count."""
-    held: dict[str, list[int]] = {}
-    around: dict[str, list[str]] = {}
-    for i, (_, e) in enumerate(kept):
-        if not e.plain and noisy:
-            if e.path not in around:
-                around[e.path] = [p for p in noisy if e.path == p or e.path.startswith(p + "/")]
-            for path in around[e.path]:
-                if len(path) > len(e.container):
-                    held.setdefault(path, []).append(i)
-    held = {p: at for p, at in held.items() if len(at) < len(kept)}
-    gone = {i for at in held.values() for i in at}
-    if len(gone) == len(kept) and kept:
-        most = max(held, key=lambda p: (sum(len(kept[i][0]) for i in held[p]), p))
-        return held[most]
-    return [i for i in range(len(kept)) if i not in gone]
+    return "\n".join(t for t, _ in _important(kept))
+
+
+def _important(kept: list[tuple[str, Element]]) -> list[tuple[str, Element]]:
+    """Blocks outside branches of low importance."""
+    alive = [(t, e) for t, e in kept if (e if e.block else e.parent).alive]
+    in_article = bool(kept) and all(e.article or e.main for _, e in kept)
+    if in_article and sum(len(t) for t, _ in alive) < (1 - MOST_OF_ARTICLE) * sum(len(t) for t, _ in kept):
+        return kept
+    if alive or not kept:
+        return alive
+    sizes: Counter = Counter()
+    for t, e in kept:
+        sizes[e.node] += len(t)
+    most = max(sizes.values())
+    node = min(n for n, size in sizes.items() if size == most)
+    return [(t, e) for t, e in kept if e.node == node]
 
 
 def host(url):
@@ -244,32 +280,32 @@ def host(url):
 
 
 def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, path, kind (0 presentation, 1 content), feature and the batch's pages that have it, a row of n copies as 1 / n."""
+    """host, node, kind (0 presentation, 1 content), feature and the batch's pages that have it, a row of n copies as 1 / n."""
     for batch in batches:
         counts: Counter = Counter()
         for site, html, copies in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
             blocks, elements = parse(html.as_py() or "")
             site = site.as_py()
-            features = {(e.path, 0, xxhash.xxh3_64_intdigest(" ".join(e.children)) >> 1) for e in elements if not e.noise and not e.plain}
-            features |= {(e.path, 1, xxhash.xxh3_64_intdigest(t) >> 1) for t, e in blocks if not e.noise and not e.plain}
+            features = {(e.node, 0, xxhash.xxh3_64_intdigest(" ".join(e.children)) >> 1) for e in elements}
+            features |= {(e.node, 1, xxhash.xxh3_64_intdigest(t) >> 1) for t, e in blocks}
             for f in features:
                 counts[(site, *f)] += 1 / copies
         rows = [(*k, c) for k, c in counts.items()]
         columns = list(zip(*rows)) or [[]] * 5
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.float64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "path", "kind", "feature", "pages"])
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "node", "kind", "feature", "pages"])
 
 
-def noisy_branches(pages: DataFrame) -> DataFrame:
-    """host and the paths of its branches of low importance."""
+def importance(pages: DataFrame) -> DataFrame:
+    """host, node and the importance of each node that enough pages of its host have."""
     read = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
     body = F.xxhash64("html")
     repeated = written(read.groupBy("host", body.alias("body")).count().filter("count > 1").withColumnsRenamed({"host": "_host", "body": "_body"}))
     once = read.withColumn("body", body).join(repeated, (F.col("host") == F.col("_host")) & (F.col("body") == F.col("_body")), "left")
-    rows = once.select("host", "html", F.coalesce("count", F.lit(1)).alias("copies")).mapInArrow(_tree_rows, "host string, path string, kind int, feature long, pages double")
-    features = rows.groupBy("host", "path", "kind", "feature").agg(F.round(F.sum("pages")).alias("n"))
+    rows = once.select("host", "html", F.coalesce("count", F.lit(1)).alias("copies")).mapInArrow(_tree_rows, "host string, node long, kind int, feature long, pages double")
+    features = rows.groupBy("host", "node", "kind", "feature").agg(F.round(F.sum("pages")).alias("n"))
     style, content = F.col("kind") == 0, F.col("kind") == 1
-    nodes = features.groupBy("host", "path").agg(
+    nodes = features.groupBy("host", "node").agg(
         F.sum(F.when(style, F.col("n"))).alias("pages"),
         F.count(F.when(style, 1)).alias("styles"),
         F.sum(F.when(style, F.col("n") * F.log("n"))).alias("style_log"),
@@ -280,19 +316,18 @@ def noisy_branches(pages: DataFrame) -> DataFrame:
     presentation = F.greatest(F.lit(0.0), 1 - F.col("style_log") / (F.col("pages") * scale))
     below = F.coalesce(F.greatest(F.lit(0.0), 1 - F.col("text_log") / (F.col("texts") * scale)), F.lit(0.0))
     damped = F.pow(F.lit(DAMPING), F.col("styles"))
-    importance = F.when(F.col("pages") < LEAST_PAGES, 1.0).otherwise((1 - damped) * presentation + damped * below)
-    scored = nodes.filter("pages >= 1").select("host", "path", importance.alias("importance"))
-    parts = F.split("path", "/")
-    branches = scored.select("host", "importance", F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("path"))
-    low = branches.groupBy("host", "path").agg(F.max("importance").alias("most")).filter(F.col("most") < IMPORTANT)
-    return low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("noisy"))
+    return nodes.filter(F.col("pages") >= LEAST_PAGES).select("host", "node", ((1 - damped) * presentation + damped * below).alias("importance"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    noisy = written(noisy_branches(pages))  # its size is known before the join is planned
+    nodes = importance(pages).filter(F.col("importance") < IMPORTANT).groupBy("host").agg(F.collect_list("node").alias("low"))
+    low = written(nodes)  # its size is known before the join is planned
+    # a host with many pages is many keys
+    salted = low.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
     read = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"))
-    joined = read.join(noisy, "host", "left").select("page_id", "url", "html", "noisy")
+    read = read.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int"))
+    joined = read.join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "low")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
