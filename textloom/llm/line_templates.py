@@ -4,13 +4,20 @@ Each line walks a tree of fixed depth: its token count, then its first ``DEPTH``
 Tokens with digits are variable fields and stand as ``<*>``.  At the leaf, the rest of the
 tokens is cut into ``SEGMENTS`` runs; a line belongs to its exact template and, from
 ``LONG`` tokens on, to the templates that leave one run open (``<*>``), so lines at one leaf
-that differ within one run only share a template.  A template that recurs across documents
-stays in its first document (the smallest doc_id) and its lines are dropped from the others.
+that differ within one run only share a template.  A long line of several sentences has its
+sentences as runs instead: each that has ``LEAST_SENTENCE`` fixed tokens is a template of
+its own, the same as a line of those tokens, so a passage is found inside other words and
+when some of its sentences differ.  A template that recurs across documents stays in its
+first document (the smallest doc_id) and is dropped from the others: its lines, or its
+sentences from lines that stay.
 
-Lines with fewer than ``LEAST`` fixed tokens say too little and always stay.
+Lines with fewer than ``LEAST`` fixed tokens say little: their exact templates are dropped
+only if ``SHORT_DOCS`` documents have them.  Lines without a fixed token always stay.
 
 Cases: a null or empty text stays as it is, with 0 and 1 lines; rows of one doc_id are one
-document; a null doc_id comes after all others; repeats inside one document stay.
+document; a null doc_id comes after all others; repeats inside one document stay; a line
+that loses sentences gets single spaces; columns of docs named like those of the result
+are replaced, others stay whatever their names.
 """
 
 from __future__ import annotations
@@ -24,15 +31,31 @@ DEPTH = 3
 SEGMENTS = 6
 LONG = 10
 LEAST = 5
+LEAST_SENTENCE = 8
+SHORT_DOCS = 5
 _LAST = (1 << 63) - 1
+_ENDS = ".!?"
 
 
-def tokens(line: Column) -> Column:
-    """Tokens of a line, variable fields as <*>."""
-    shown = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^ \t]*[0-9][^ \t]*", "<*>")).otherwise(line)
+def _tidy(line: Column) -> Column:
+    """The line's tokens with one space between them."""
     untidy = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    return F.when(untidy, F.trim(F.regexp_replace(line, "[ \t\r]+", " "))).otherwise(line)
+
+
+def _sentences(tidy: Column) -> Column:
+    """Sentences of a tidy line."""
+    marked = tidy
+    for end in _ENDS:
+        marked = F.replace(marked, F.lit(f"{end} "), F.lit(f"{end}\n"))
+    return F.split(marked, "\n")
+
+
+def _tokens(sentence: Column) -> Column:
+    """Tokens of a tidy sentence, variable fields as <*>."""
+    shown = F.when(sentence.rlike("[0-9]"), F.regexp_replace(sentence, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(sentence)
     # a split at one plain character needs no regular expression
-    return F.split(F.when(untidy, F.trim(F.regexp_replace(shown, "[ \t\r]+", " "))).otherwise(shown), " ")
+    return F.when(sentence == "", F.array().cast("array<string>")).otherwise(F.split(shown, " "))
 
 
 def _start(toks: Column, i: int) -> Column:
@@ -50,49 +73,93 @@ def _lead(toks: Column) -> Column:
 
 
 def _exact(toks: Column) -> Column:
-    return F.when(F.size(toks) >= LONG, F.xxhash64(_lead(toks), *_runs(toks))).otherwise(F.xxhash64(F.size(toks), toks))
+    return F.xxhash64(F.size(toks), toks)
 
 
-def _counts(toks: Column) -> Column:
-    """Whether the line has enough fixed tokens."""
+def _fixed(toks: Column) -> Column:
+    """Number of fixed tokens."""
     fields = F.when(F.array_contains(toks, "<*>"), F.size(F.filter(toks, lambda t: t == "<*>"))).otherwise(0)
-    return F.size(toks) - fields >= LEAST
+    return F.size(toks) - fields
+
+
+def _sentence_key(toks: Column) -> Column:
+    return F.when(_fixed(toks) >= LEAST_SENTENCE, _exact(toks))
+
+
+def _templates(docs: DataFrame, own: Column) -> tuple[DataFrame, DataFrame]:
+    """Templates (doc, unit, template) of long lines and sentences, and (doc, template) of short lines."""
+    lines = docs.select(own.alias("doc"), F.explode(F.split("text", "\n")).alias("line")).select("doc", _tidy(F.col("line")).alias("tidy"))
+    split = lines.select("doc", F.transform(_sentences(F.col("tidy")), _tokens).alias("parts")).select("doc", "parts", F.flatten("parts").alias("toks"))
+    toks, fixed = F.col("toks"), F.col("fixed")
+    several = (F.size("parts") > 1) & (F.size(toks) >= LONG)
+    # what the tree needs of a line: its exact template, then the lead and runs, or the sentences
+    runs = F.when((fixed >= LEAST) & ~several & (F.size(toks) >= LONG), F.array(_lead(toks), *_runs(toks)))
+    inner = F.when(several, F.filter(F.transform("parts", _sentence_key), lambda k: k.isNotNull()))
+    rated = split.withColumn("fixed", _fixed(toks)).filter("fixed > 0")
+    parsed = written(rated.select("doc", (fixed < LEAST).alias("short"), _exact(toks).alias("exact"), runs.alias("runs"), inner.alias("inner")))
+    part = [F.get("runs", F.lit(i)) for i in range(SEGMENTS + 1)]
+    opened = [F.xxhash64(part[0], *[F.lit(j) if j == i else part[j + 1] for j in range(SEGMENTS)]) for i in range(SEGMENTS)]
+    pair = lambda unit, template: F.struct(unit.alias("unit"), template.alias("template"))
+    exact = F.array(pair(F.col("exact"), F.col("exact")))
+    open_runs = F.when(F.col("runs").isNotNull(), F.array(*[pair(F.col("exact"), t) for t in opened]))
+    sentences = F.transform("inner", lambda k: pair(k, k))
+    listed = F.coalesce(F.concat(exact, open_runs), F.concat(exact, sentences), exact)
+    return parsed.filter("not short").select("doc", F.inline(listed)), parsed.filter("short").select("doc", F.col("exact").alias("template"))
 
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
-    """docs with recurring lines taken out of ``text``, and the columns n_lines and n_dropped."""
+    """docs with recurring lines and sentences taken out of ``text``, and the columns n_lines, n_dropped and n_cut (sentences taken out of lines that stay)."""
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    lines = docs.select(own.alias("doc"), F.explode(F.split("text", "\n")).alias("line")).select("doc", tokens(F.col("line")).alias("toks"))
-    toks = F.col("toks")
-    # one array of hashes for each line that counts: the lead, then the runs, or a short line's only template
-    parts = F.when(_counts(toks), F.when(F.size(toks) >= LONG, F.array(_lead(toks), *_runs(toks))).otherwise(F.array(_exact(toks))))
-    parsed = written(lines.select("doc", parts.alias("parts"))).filter("parts is not null")
-    part = [F.get("parts", F.lit(i)) for i in range(SEGMENTS + 1)]
-    exact = F.when(F.size("parts") > 1, F.xxhash64(*part)).otherwise(part[0])
-    opened = [F.xxhash64(part[0], *[F.lit(j) if j == i else part[j + 1] for j in range(SEGMENTS)]) for i in range(SEGMENTS)]
-    templates = F.when(F.size("parts") > 1, F.array(exact, *opened)).otherwise(F.array(exact))
-    members = parsed.select("doc", exact.alias("line"), F.explode(templates).alias("template"))
+    members, short = _templates(docs, own)
     first = members.groupBy("template").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
-    dropped = members.join(first.drop("last"), "template").filter("doc > first").groupBy("doc").agg(F.collect_set("line").alias("gone"))
-    # bound as lambda variables, the tokens of a line are made once
-    keys = F.transform(F.transform(F.split("text", "\n"), tokens), lambda t: F.when(_counts(t), _exact(t)))
-    gone_or_line = F.zip_with(F.split("text", "\n"), keys, lambda l, k: F.when(~F.coalesce(F.array_contains(F.col("_gone"), k), F.lit(False)), l))
-    kept = F.filter(gone_or_line, lambda l: l.isNotNull())
-    gone = dropped.select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone"))
-    joined = docs.withColumn("_own", own).join(gone, F.col("_own") == F.col("_doc"), "left")
-    joined = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
-    n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
-    n_lines = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_lines)
-    return joined.withColumns(
-        {
-            "n_lines": n_lines,
-            "n_dropped": F.when(F.col("_kept").isNull(), F.lit(0).cast("long")).otherwise(n_lines - F.size("_kept")),
-            "text": F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")),
-        }
-    ).drop("_own", "_doc", "_gone", "_kept")
-
-
-_CLASS = "[^ \\t]*[0-9][^ \\t]*"
+    dropped = members.join(first.drop("last"), "template").filter("doc > first").select("doc", "unit")
+    short = short.distinct()
+    many = short.groupBy("template").agg(F.min("doc").alias("first"), F.count("*").alias("docs")).filter(F.col("docs") >= SHORT_DOCS)
+    dropped = dropped.unionByName(short.join(many, "template").filter("doc > first").select("doc", F.col("template").alias("unit")))
+    gone = dropped.groupBy("doc").agg(F.collect_set("unit").alias("gone")).select(F.struct("doc", "gone").alias("found"))
+    # docs as one column, so that no name of theirs can clash; lines bound as lambda variables are taken apart once
+    joined = docs.select(F.struct(*docs.columns).alias("row"), own.alias("own")).join(gone, F.col("own") == F.col("found.doc"), "left")
+    text, listed = F.col("row.text"), F.col("found.gone")
+    parted = F.transform(F.transform(F.transform(F.split(text, "\n"), _tidy), _sentences), lambda s: F.struct(s.alias("shown"), F.transform(s, _tokens).alias("toks")))
+    keyed = F.transform(
+        parted,
+        lambda line: F.struct(line["shown"].alias("shown"), F.flatten(line["toks"]).alias("all"), F.transform(line["toks"], _sentence_key).alias("keys")),
+    )
+    kept = F.transform(
+        keyed,
+        lambda line: F.when(
+            ~(F.array_contains(listed, _exact(line["all"])) & (_fixed(line["all"]) > 0)),
+            F.when((F.size(line["keys"]) > 1) & (F.size(line["all"]) >= LONG), F.filter(line["shown"], lambda s, i: ~F.coalesce(F.array_contains(listed, F.get(line["keys"], i)), F.lit(False)))).otherwise(line["shown"]),
+        ),
+    )
+    # a line without a sentence left is dropped; one with all of them stays as it was
+    whole = F.zip_with(
+        F.zip_with(F.split(text, "\n"), kept, lambda line, left: F.struct(line.alias("line"), left.alias("left"))),
+        keyed,
+        lambda a, k: F.when(
+            F.size(F.coalesce(a["left"], F.array().cast("array<string>"))) > 0,
+            F.struct(
+                F.when(F.size(a["left"]) == F.size(k["shown"]), a["line"]).otherwise(F.array_join(a["left"], " ")).alias("text"),
+                (F.size(k["shown"]) - F.size(a["left"])).alias("cut"),
+            ),
+        ),
+    )
+    stay = F.when(listed.isNotNull(), F.filter(whole, lambda line: line.isNotNull()))
+    n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.split(text, "\n"))).cast("long")
+    result = {
+        "text": F.when(F.col("stay").isNull(), text).otherwise(F.array_join(F.col("stay.text"), "\n")),
+        "n_lines": n_lines,
+        "n_dropped": F.when(F.col("stay").isNull(), F.lit(0).cast("long")).otherwise(n_lines - F.size("stay")),
+        "n_cut": F.coalesce(F.aggregate("stay", F.lit(0).cast("long"), lambda n, line: n + line["cut"]), F.lit(0)).cast("long"),
+    }
+    names = [*docs.columns, *(c for c in ("n_lines", "n_dropped", "n_cut") if c not in docs.columns)]
+    return joined.select("row", stay.alias("stay")).select(*[(result[c] if c in result else F.col("row")[c]).alias(c) for c in names])
+
+
+_SPLIT = "string_split(" + "replace(" * 3 + "tidy" + "".join(f", '{e} ', '{e}' || chr(10))" for e in _ENDS) + ", chr(10))"
+_MASKED = "CASE WHEN s = '' THEN [] ELSE string_split(regexp_replace(s, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') END"
+_FIXED = "len(list_filter({}, lambda t: t <> '<*>'))"
+_KEY = "'x ' || array_to_string({}, ' ')"
 _RUNS = [f"list_slice(toks, {DEPTH} + 1 + floor((len(toks) - {DEPTH}) * {i} / {SEGMENTS})::INT, {DEPTH} + floor((len(toks) - {DEPTH}) * {i + 1} / {SEGMENTS})::INT)" for i in range(SEGMENTS)]
 _OPEN = [
     f"(len(toks)::VARCHAR || ' {i} ' || array_to_string(list_slice(toks, 1, {DEPTH}), ' ') || '|' || " + " || '|' || ".join(f"array_to_string({_RUNS[j]}, ' ')" for j in range(SEGMENTS) if j != i) + ")"
@@ -102,20 +169,37 @@ _OPEN = [
 ORACLE_SQL = f"""
 WITH split AS (
   SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM {{docs}}
-), parsed AS (
-  SELECT doc_id, pos, line, list_filter(string_split_regex(regexp_replace(line, '{_CLASS}', '<*>', 'g'), '[ \\t\\r]+'), lambda t: t <> '') AS toks FROM split
+), tidied AS (
+  SELECT *, trim(regexp_replace(line, '[ \\t\\r]+', ' ', 'g'), ' ') AS tidy FROM split
+), parted AS (
+  SELECT *, {_SPLIT} AS shown FROM tidied
+), tokens AS (
+  SELECT *, list_transform(shown, lambda s: {_MASKED}) AS parts FROM parted
+), flat AS (
+  SELECT *, flatten(parts) AS toks FROM tokens
 ), rated AS (
-  SELECT *, len(list_filter(toks, lambda t: t <> '<*>')) >= {LEAST} AS counts, 'x ' || array_to_string(toks, ' ') AS exact FROM parsed
+  SELECT *, {_FIXED.format("toks")} AS fixed, {_KEY.format("toks")} AS exact, len(shown) > 1 AND len(toks) >= {LONG} AS several,
+    list_transform(parts, lambda p: CASE WHEN {_FIXED.format("p")} >= {LEAST_SENTENCE} THEN {_KEY.format("p")} END) AS keys
+  FROM flat
 ), members AS (
-  SELECT doc_id, exact, unnest(CASE WHEN len(toks) >= {LONG} THEN [exact, {", ".join(_OPEN)}] ELSE [exact] END) AS template FROM rated WHERE counts
+  SELECT doc_id, exact AS unit, unnest(CASE WHEN NOT several AND len(toks) >= {LONG} THEN [exact, {", ".join(_OPEN)}] ELSE [exact] END) AS template FROM rated WHERE fixed >= {LEAST}
+  UNION ALL SELECT doc_id, k, k FROM (SELECT doc_id, unnest(keys) AS k FROM rated WHERE several AND fixed >= {LEAST}) WHERE k IS NOT NULL
 ), firsts AS (
   SELECT template, min(doc_id) AS first FROM members GROUP BY template HAVING min(doc_id) < max(doc_id)
+), short AS (
+  SELECT DISTINCT doc_id, exact FROM rated WHERE fixed BETWEEN 1 AND {LEAST - 1}
+), many AS (
+  SELECT exact, min(doc_id) AS first FROM short GROUP BY exact HAVING count(*) >= {SHORT_DOCS}
 ), gone AS (
-  SELECT DISTINCT doc_id, exact FROM members JOIN firsts USING (template) WHERE doc_id > first
+  SELECT DISTINCT doc_id, unit FROM members JOIN firsts USING (template) WHERE doc_id > first
+  UNION SELECT doc_id, exact FROM short JOIN many USING (exact) WHERE doc_id > first
+), sets AS (
+  SELECT doc_id, list(unit) AS units FROM gone GROUP BY doc_id
 ), marked AS (
-  SELECT r.doc_id, r.pos, r.line, g.exact IS NOT NULL AS dropped FROM rated r LEFT JOIN gone g ON r.doc_id = g.doc_id AND r.exact = g.exact AND r.counts
+  SELECT doc_id, pos, line, shown, CASE WHEN fixed > 0 AND list_contains(units, exact) THEN [] WHEN several THEN list_filter(shown, lambda s, i: NOT coalesce(list_contains(units, keys[i]), false)) ELSE shown END AS stays
+  FROM rated LEFT JOIN sets USING (doc_id)
 )
-SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '') AS text,
-  count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE dropped)::BIGINT AS n_dropped
+SELECT doc_id, coalesce(string_agg(CASE WHEN len(stays) = len(shown) THEN line ELSE array_to_string(stays, ' ') END, chr(10) ORDER BY pos) FILTER (len(stays) > 0), '') AS text,
+  count(*)::BIGINT AS n_lines, count(*) FILTER (len(stays) = 0)::BIGINT AS n_dropped, coalesce(sum(len(shown) - len(stays)) FILTER (len(stays) > 0), 0)::BIGINT AS n_cut
 FROM marked GROUP BY doc_id
 """
