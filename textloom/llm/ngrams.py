@@ -211,7 +211,7 @@ class EliasFano:
         self.shift, kind = next((b, k) for b, k in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (48, np.uint64)) if wanted <= b)
         self.last = most >> self.shift
         ones = (values >> self.shift).astype(np.int64) + np.arange(self.n)
-        size = -(-(self.last + self.n + 1) // 64) * 64
+        size = -(-(self.last + self.n + 1) // 64) * 64 + 64  # a block of zeros lets windows run over the end
         bits = np.zeros(size, np.uint8)
         bits[ones] = 1
         upper = np.packbits(bits, bitorder="little")
@@ -220,15 +220,26 @@ class EliasFano:
 
     def map(self, arrays: Iterator[np.ndarray]) -> None:
         """Takes the mapped copies of its arrays."""
-        self.low, upper, self.ones_before = (next(arrays) for _ in self.arrays)
+        self.low, upper, ones = (next(arrays) for _ in self.arrays)
         self.upper = upper.reshape(-1, 8)
-        self.zeros_before = np.arange(len(self.ones_before)) * 64 - self.ones_before
+        #: 64 bits from each byte on
+        self.windows = np.ndarray(len(upper) - 7, "<u8", upper, strides=(1,))
+        # for ones and zeros: how many come before each block, and the block of each 64th
+        befores = (ones, np.arange(len(ones)) * 64 - ones)
+        self.directories = [(before, np.searchsorted(before, np.arange(0, before[-1] + 64, 64), "right") - 1) for before in befores]
         del self.arrays
 
-    def _select(self, k: np.ndarray, before: np.ndarray, flip: int) -> np.ndarray:
-        """Place of the k-th one (flip 0) or zero (flip 255) of the upper bits."""
-        block = np.searchsorted(before, k, "right") - 1
-        bytes_ = self.upper[block] ^ np.uint8(flip)
+    def _select(self, k: np.ndarray, zeros: bool) -> np.ndarray:
+        """Place of the k-th one or zero of the upper bits."""
+        before, hints = self.directories[zeros]
+        block = hints[k >> 6]
+        for _ in range(2):
+            block += before[block + 1] <= k
+        far = np.flatnonzero(before[block + 1] <= k)
+        block[far] = np.searchsorted(before, k[far], "right") - 1
+        bytes_ = self.upper[block]
+        if zeros:
+            bytes_ = ~bytes_
         sums = np.cumsum(_ONES[bytes_], axis=1, dtype=np.uint8)
         left = (k - before[block]).astype(np.uint8)
         byte = (sums <= left[:, None]).sum(axis=1)
@@ -238,23 +249,32 @@ class EliasFano:
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """The values at places i."""
-        high = self._select(i, self.ones_before, 0) - i
+        high = self._select(i, False) - i
         return (high << self.shift) | self.low[i].astype(np.int64)
 
     def successor(self, wanted: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first place in lo to hi whose value is not below each wanted one, and whether it is that value."""
         high = np.minimum(wanted >> self.shift, self.last)
-        start = np.where(high > 0, self._select(np.maximum(high - 1, 0), self.zeros_before, 255) + 1 - high, 0)
-        end = self._select(high, self.zeros_before, 255) - high
+        start = np.where(high > 0, self._select(np.maximum(high - 1, 0), True) + 1 - high, 0)
+        # the high value's ones follow that zero: a run of them, counted in a window
+        at = start + high
+        window = self.windows[at >> 3] >> (at & 7).astype(np.uint64)
+        run = np.bitwise_count(window ^ (window + np.uint64(1))).astype(np.int64) - 1
+        end = start + run
+        long = np.flatnonzero(run >= 56)
+        end[long] = self._select(high[long], True) - high[long]
         beyond = (wanted >> self.shift) > self.last
         at, end = np.minimum(np.maximum(np.where(beyond, end, start), lo), hi), np.minimum(end, hi)
         low = (wanted & ((1 << self.shift) - 1)).astype(self.low.dtype)
         stop = np.maximum(at, end)
         least, most = at.copy(), stop.copy()
-        for _ in range(int((stop - at).max(initial=0)).bit_length()):
-            middle = (least + most) >> 1
-            below = (least < most) & (self.low[np.minimum(middle, max(self.n - 1, 0))] < low)
-            least, most = np.where(below, middle + 1, least), np.where(below | (least >= most), most, middle)
+        open_ = np.flatnonzero(least < most)
+        while len(open_):
+            middle = (least[open_] + most[open_]) >> 1
+            below = self.low[middle] < low[open_]
+            least[open_[below]] = middle[below] + 1
+            most[open_[~below]] = middle[~below]
+            open_ = open_[least[open_] < most[open_]]
         same = (least < stop) & ~beyond
         same[same] = self.low[least[same]] == low[same]
         return least, same
@@ -333,10 +353,10 @@ class Trie:
 
     def __init__(self, t: Tokens, counts: dict[int, np.ndarray], totals: Totals):
         """counts: of the n-gram that ends at each token, by level; level 3 skips each text's first token."""
-        self.words, where = np.unique(t.tokens, return_index=True)
+        self.words, where, ids = np.unique(t.tokens, return_index=True, return_inverse=True)
+        self.ids = ids.astype(np.int32)  # of the chunk's tokens
         begin = len(self.words)
         self.size = begin + 1  # the last id stands for the beginning
-        ids = np.searchsorted(self.words, t.tokens)
         one = t._previous(ids, begin)
         c1 = counts[1][where]
         p1 = (c1 + 1) / (totals.tokens + totals.types + 1)
@@ -344,7 +364,10 @@ class Trie:
         c1 = np.append(c1, counts[1][t.starts[1] - 1] if len(t.starts) > 1 else 0)
         seen = counts[2] > 0
         pair = one * self.size + ids
-        pairs, where = np.unique(pair[seen], return_index=True)
+        pairs, where, which = np.unique(pair[seen], return_index=True, return_inverse=True)
+        nodes = np.zeros(len(pair), np.int64)
+        nodes[seen] = which
+        del pair, which
         c2 = counts[2][seen][where]
         head, tail = pairs // self.size, pairs % self.size
         g2 = totals.lower_weight(2, c1)
@@ -355,7 +378,7 @@ class Trie:
         later = np.flatnonzero(~t.first)
         there = counts[3] > 0
         at = later[there]
-        before, node = np.searchsorted(pairs, pair[at - 1]), np.searchsorted(pairs, pair[at])
+        before, node = nodes[at - 1], nodes[at]
         rank = node - first[one[at]]
         width = int(rank.max(initial=0)) + 1
         triples, where = np.unique(before * width + rank, return_index=True)
@@ -371,9 +394,9 @@ class Trie:
             s.map(arrays)
         self.codes1, self.codes2, self.codes3, self.left2, self.left3 = arrays
 
-    def log_probabilities(self, t: Tokens) -> np.ndarray:
-        """log10 of each token's probability; all words must be the trie's."""
-        ids = np.searchsorted(self.words, t.tokens)
+    def log_probabilities(self, t: Tokens, ids: np.ndarray | None = None) -> np.ndarray:
+        """log10 of each token's probability; all words must be the trie's.  ids: their places among the trie's words, if they are known."""
+        ids = np.searchsorted(self.words, t.tokens) if ids is None else ids.astype(np.int64)
         one = t._previous(ids, self.size - 1)
         node, there = self.level2.find(one, ids)
         out = self.left2[one].astype(np.int64) + self.codes1[ids]
@@ -503,7 +526,8 @@ def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
     logs = np.empty(len(t.tokens))
     trie = Trie(t, counts, totals)
     for i, j in t.slices():
-        logs[t.starts[i] : t.starts[j]] = trie.log_probabilities(t.part(i, j))
+        here = slice(t.starts[i], t.starts[j])
+        logs[here] = trie.log_probabilities(t.part(i, j), trie.ids[here])
     at = t.starts[:-1]
     return pa.table(
         [
