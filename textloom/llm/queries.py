@@ -18,45 +18,55 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk fingerprints of each text and of its edit with the next one, and their likeness."""
     return fingerprints.fingerprint_with_next(_table(spark, sf_dir, "documents"))
 
 
 def op2_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of every text, learnt from the ids outside the held-out seventh."""
     return ngrams.score_documents(_table(spark, sf_dir, "documents"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all documents' pieces in sequences of at most 4096 tokens."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of tokens and digests of ids and of the text decoded from them."""
     return bpe.encode_digests(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints and the smallest id reachable over links of two bits at most."""
     groups = simhash.group_documents(_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages."""
     return pages.extract_pages(_table(spark, sf_dir, "pages"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the base phrases, and the labels of all phrases and notices."""
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of the chain's categories and its verdict, without the texts."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = toxicity.fit_chain(docs, _table(spark, sf_dir, "labels"))
     return toxicity.score_documents(docs, chain).drop("text")
 
 
 def op9_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direct links and components of all vectors at a cosine of 0.9."""
     return embeddings.link_vectors(_table(spark, sf_dir, "embeddings"))
 
 
 def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without recurring lines and sentences, with counts."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_templates.drop_recurring_lines(docs)
 
