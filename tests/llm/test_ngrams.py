@@ -145,3 +145,11 @@ def test_slices_of_any_size_give_equal_scores(monkeypatch):
     for size in (1, 50, 700):
         monkeypatch.setattr(ng, "TRIE_TOKENS", size)
         assert ng._score(docs, answers).equals(whole)
+
+
+def test_a_triple_counted_by_chance_is_not_in_the_trie():
+    t = ng.Tokens([b"a b c", b"x y z"])
+    counts = {1: np.ones(8, np.int64), 2: np.array([1, 1, 1, 1, 0, 0, 0, 0]), 3: np.array([1, 1, 1, 1, 1, 1])}
+    trie = ng.Trie(t, counts, ng.Totals([(k, ng.shard_stats(counts[k])) for k in (1, 2, 3)]))
+    assert (trie.level2.values.n, trie.level3.values.n) == (4, 3)
+    assert np.isfinite(trie.log_probabilities(t)).all()

@@ -376,7 +376,8 @@ class Trie:
         first = np.searchsorted(head, np.arange(self.size))
         # a triple is its first pair's node and its last pair's rank among the last pair's context
         later = np.flatnonzero(~t.first)
-        there = counts[3] > 0
+        # a triple whose hash is a learnt one's by chance may have pairs that are not
+        there = (counts[3] > 0) & seen[later] & seen[later - 1]
         at = later[there]
         before, node = nodes[at - 1], nodes[at]
         rank = node - first[one[at]]
