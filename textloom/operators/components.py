@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.shared import written
+from textloom.functions.shared import forget, written
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -29,6 +29,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        star = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        before, star = star, written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        forget(before)
     roots = star.select(F.col("b").alias("node"), F.col("b").alias("component"))
     return star.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots).unionByName(loops).groupBy("node").agg(F.min("component").alias("component"))

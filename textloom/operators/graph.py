@@ -1,15 +1,20 @@
 """Network measures as joins and groupings over edge tables (source, target).
 
-Loops write each round's state to the shared folder: plans stay short and survive lost
-executors.  Only counts and one distance for each round reach the driver.
+Loops write each round's state to the shared folder and remove the round before: plans stay
+short and survive lost executors.  Only counts and one distance for each round reach the driver.
+Measures over all shortest paths (closeness, betweenness) keep a row for each origin and node
+that it reaches; ``batches`` works on so many parts of the origins one after another, with the
+same result.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.shared import written
+from textloom.functions.shared import forget, written
 
 
 def simple_edges(edges: DataFrame) -> DataFrame:
@@ -49,14 +54,15 @@ def page_rank(edges: DataFrame, nodes: DataFrame, node: str = "node", weight: st
     out = edges.groupBy("source").agg(F.sum(w).alias("total"))
     # the share of its source's rank that each edge carries, computed once
     shares = written(edges.join(out, "source").select("source", "target", (w / F.col("total")).alias("share")))
-    state = written(nodes.select(node).distinct().join(out.select(F.col("source").alias(node), F.lit(False).alias("dangling")), node, "left").select(node, F.coalesce("dangling", F.lit(True)).alias("dangling"), F.lit(1.0 / n).alias("score")))
+    table = state = written(nodes.select(node).distinct().join(out.select(F.col("source").alias(node), F.lit(False).alias("dangling")), node, "left").select(node, F.coalesce("dangling", F.lit(True)).alias("dangling"), F.lit(1.0 / n).alias("score")))
     for _ in range(rounds):
         lost = state.filter("dangling").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
         flows = shares.join(state, F.col("source") == F.col(node)).groupBy(F.col("target").alias(node)).agg(F.sum(F.col("score") * F.col("share")).alias("flow"))
         new = damping * (F.coalesce("flow", F.lit(0.0)) + lost / n) + (1 - damping) / n
         step = written(state.join(flows, node, "left").select(node, "dangling", new.alias("score"), F.abs(new - F.col("score")).alias("change")))
         change = step.agg(F.sum("change")).first()[0]
-        state = step.drop("change")
+        forget(table)
+        table, state = step, step.drop("change")
         if change < tolerance * (n if scaled else 1):
             break
     return state.select(node, "score")
@@ -85,20 +91,29 @@ def eigenvector(edges: DataFrame, nodes: DataFrame, node: str = "node", weight:
     return state
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, node: str = "node", longest: int = 1000) -> DataFrame:
-    """origin, node, distance and paths (their number), level by level from all sources at once."""
+def shortest_paths(edges: DataFrame, sources: DataFrame, node: str = "node", longest: int | None = None) -> DataFrame:
+    """origin, node, distance and paths (their number), level by level from all sources at once; longer paths than ``longest`` are left out if it is given."""
     links = written(simple_edges(edges))
     found = written(sources.select(F.col(node).alias("origin"), F.col(node).alias("node"), F.lit(0).alias("distance"), F.lit(1).cast("long").alias("paths")).distinct())
     frontier = found
-    for d in range(1, longest + 1):
+    for d in count(1):
+        if longest is not None and d > longest:
+            break
         reached = frontier.join(links, F.col("node") == F.col("source")).groupBy("origin", F.col("target").alias("node")).agg(F.sum("paths").alias("paths"))
         frontier = written(reached.join(found, ["origin", "node"], "left_anti").select("origin", "node", F.lit(d).alias("distance"), "paths"))
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)
+        if d % 8 == 0:  # plans stay short
+            found = written(found)
     return found
 
 
+def _origin_batches(nodes: DataFrame, node: str, batches: int) -> list[DataFrame]:
+    origins = nodes.select(node).distinct()
+    return [origins] if batches == 1 else [origins.filter(F.pmod(F.xxhash64(node), F.lit(batches)) == k) for k in range(batches)]
+
+
 def closeness(paths: DataFrame, nodes: DataFrame, node: str = "node") -> DataFrame:
     """Closeness of each origin, scaled by the share of nodes that it reaches."""
     n = F.broadcast(nodes.agg(F.count("*").alias("n")))
@@ -107,31 +122,41 @@ def closeness(paths: DataFrame, nodes: DataFrame, node: str = "node") -> DataFra
     return sums.select(node, F.coalesce(F.try_divide(r, "total") * F.try_divide(r, F.col("n") - 1), F.lit(0.0)).alias("score"))
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame, node: str = "node", undirected: bool = False) -> DataFrame:
+def betweenness(edges: DataFrame, nodes: DataFrame, node: str = "node", batches: int = 1) -> DataFrame:
     """Share of shortest paths through each node, normalised by (n - 1)(n - 2).
 
     Paths are counted outward level by level, then dependencies are added up inward.
     Give both directions of an undirected network; ordered pairs count there as here.
     """
-    paths = written(shortest_paths(edges, nodes, node))
-    n = nodes.count()
-    far = paths.agg(F.max("distance")).first()[0] or 0
     links = written(simple_edges(edges))
+    n = nodes.select(node).distinct().count()
+    parts = [_dependencies(links, origins, node) for origins in _origin_batches(nodes, node, batches)]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    sums = every.groupBy(F.col("node").alias(node)).agg(F.sum("total").alias("total"))
+    scale = max((n - 1) * (n - 2), 1)
+    return nodes.select(node).distinct().join(sums, node, "left").select(node, (F.coalesce("total", F.lit(0.0)) / scale).alias("score"))
+
+
+def _dependencies(links: DataFrame, origins: DataFrame, node: str) -> DataFrame:
+    """node and total of the dependencies of some origins on it."""
+    paths = written(shortest_paths(links, origins, node))
+    far = paths.agg(F.max("distance")).first()[0] or 0
     level = paths.filter(F.col("distance") == far).select("origin", "node", "paths", F.lit(0.0).alias("dependency"))
-    kept = [level]
-    for d in range(far - 1, 0, -1):
-        # sent to predecessors one level nearer, by their share of the paths
-        sent = level.join(links, F.col("node") == F.col("target")).select("origin", F.col("source").alias("node"), ((1 + F.col("dependency")) / F.col("paths")).alias("part"))
-        sums = sent.groupBy("origin", "node").agg(F.sum("part").alias("part"))
-        here = paths.filter(F.col("distance") == d)
-        level = written(here.join(sums, ["origin", "node"], "left").select("origin", "node", "paths", F.coalesce(F.col("part") * F.col("paths"), F.lit(0.0)).alias("dependency")))
-        kept.append(level)
-    every = kept[0]
-    for k in kept[1:]:
-        every = every.unionByName(k)
-    scale = (n - 1) * (n - 2)
-    sums = every.filter("origin <> node").groupBy(F.col("node").alias(node)).agg(F.sum("dependency").alias("total"))
-    return nodes.select(node).distinct().join(sums, node, "left").select(node, (F.coalesce("total", F.lit(0.0)) / max(scale, 1)).alias("score"))
+    totals = []
+    for d in range(far, 0, -1):
+        totals.append(level.filter("origin <> node").groupBy("node").agg(F.sum("dependency").alias("total")))
+        if d > 1:
+            # sent to predecessors one level nearer, by their share of the paths
+            sent = level.join(links, F.col("node") == F.col("target")).select("origin", F.col("source").alias("node"), ((1 + F.col("dependency")) / F.col("paths")).alias("part"))
+            sums = sent.groupBy("origin", "node").agg(F.sum("part").alias("part"))
+            here = paths.filter(F.col("distance") == d - 1)
+            level = written(here.join(sums, ["origin", "node"], "left").select("origin", "node", "paths", F.coalesce(F.col("part") * F.col("paths"), F.lit(0.0)).alias("dependency")))
+    every = origins.select(F.col(node).alias("node"), F.lit(0.0).alias("total")).limit(0)
+    for part in totals:
+        every = every.unionByName(part)
+    return written(every.groupBy("node").agg(F.sum("total").alias("total")))
 
 
 def depth(edges: DataFrame, nodes: DataFrame, node: str = "node") -> DataFrame:
@@ -140,19 +165,52 @@ def depth(edges: DataFrame, nodes: DataFrame, node: str = "node") -> DataFrame:
     return shortest_paths(edges, roots, node).agg(F.coalesce(F.max("distance"), F.lit(0)).alias("depth"))
 
 
+def _trimmed(links: DataFrame) -> DataFrame:
+    """Edges between nodes that have both incoming and outgoing ones, until none goes."""
+    size = None
+    while size != (now := links.count()):
+        size = now
+        entered, left = links.select(F.col("target").alias("source")).distinct(), links.select(F.col("source").alias("target")).distinct()
+        before, links = links, written(links.join(entered, "source", "left_semi").join(left, "target", "left_semi"))
+        forget(before)
+    return links
+
+
 def strong_components(edges: DataFrame, node: str = "node") -> DataFrame:
     """node and component (its smallest node) of strongly connected components of two nodes and more.
 
-    Nodes without an incoming or outgoing edge are trimmed first; the rest is labelled by mutual reach.
+    By colouring: each node takes the smallest node that reaches it as its colour; what reaches that
+    node within the colour is its component.  Components found go, and the rest is coloured anew.
+    Each round is joins over the edges; reachability of all pairs is never made.
     """
-    links = written(simple_edges(edges))
-    size = None
-    while size != (now := links.count()):
-        size = now
-        links = written(links.join(links.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(links.select(F.col("source").alias("target")).distinct(), "target", "left_semi"))
-    reach = written(shortest_paths(links, links.select(F.col("source").alias("node")).distinct()).filter("distance > 0").select("origin", "node"))
-    mutual = reach.join(reach.select(F.col("node").alias("origin"), F.col("origin").alias("node")), ["origin", "node"], "left_semi")
-    return mutual.groupBy(F.col("origin").alias(node)).agg(F.least(F.min("node"), F.col("origin")).alias("component"))
+    links = _trimmed(written(simple_edges(edges)))
+    found = []
+    while not links.isEmpty():
+        nodes = links.select(F.col("source").alias("node")).union(links.select("target")).distinct()
+        colours = written(nodes.withColumn("colour", F.col("node")))
+        changed = True
+        while changed:
+            sent = links.join(colours, F.col("source") == F.col("node")).groupBy(F.col("target").alias("node")).agg(F.min("colour").alias("sent"))
+            step = written(colours.join(sent, "node", "left").select("node", F.least("colour", "sent").alias("colour"), (F.col("sent") < F.col("colour")).alias("moved")))
+            changed = not step.filter("moved").isEmpty()
+            forget(colours)
+            colours = step
+        ends = [colours.select(F.col("node").alias(side), F.col("colour").alias(f"{side}_colour")) for side in ("source", "target")]
+        inner = written(links.join(ends[0], "source").join(ends[1], "target").filter("source_colour = target_colour").select("source", "target"))
+        front = marked = written(colours.filter("node = colour").select("node", "colour"))
+        while not front.isEmpty():
+            sources = inner.join(front, F.col("target") == F.col("node")).select(F.col("source").alias("node"), "colour").distinct()
+            front = written(sources.join(marked, "node", "left_anti"))
+            marked = written(marked.unionByName(front))
+        found.append(marked)
+        gone = marked.select("node")
+        rest = links.join(gone, F.col("source") == F.col("node"), "left_anti").join(gone, F.col("target") == F.col("node"), "left_anti")
+        links = _trimmed(written(rest))
+    every = found[0] if found else simple_edges(edges).limit(0).select(F.col("source").alias("node"), F.col("source").alias("colour"))
+    for part in found[1:]:
+        every = every.unionByName(part)
+    sizes = every.groupBy("colour").agg(F.count("*").alias("size")).filter("size > 1")
+    return every.join(sizes, "colour").select(F.col("node").alias(node), F.col("colour").alias("component"))
 
 
 def simple_cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
