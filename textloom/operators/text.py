@@ -44,14 +44,6 @@ def prefixed_number(value: Column, prefix: str) -> Column:
     return F.when(digits != "", digits).otherwise(value)
 
 
-def references(docs: DataFrame, label: str, most: int = 999_999) -> DataFrame:
-    """id, target and n: references by LABEL followed by one id or a list (commas, slashes, and, or)."""
-    lists = rf"(?i)\b{label}s?[-#\s]*(\d+(?:(?:\s*,\s*(?:and\s+|or\s+)?|\s+and\s+|\s+or\s+|/)\d+(?![-\w]|\.\w))*)"
-    hits = docs.select("id", F.explode(F.regexp_extract_all("text", F.lit(lists), 1)).alias("hit"))
-    ids = hits.select("id", F.explode(F.regexp_extract_all("hit", F.lit(r"(\d{1,6})"), 1)).alias("target"))
-    return ids.withColumn("target", reference_id(F.col("target"), most)).filter("target is not null").groupBy("id", "target").agg(F.count("*").alias("n"))
-
-
 def without_self(references_: DataFrame) -> DataFrame:
     """References of documents to others."""
     return references_.filter(F.col("id").cast("string") != F.col("target"))
@@ -66,16 +58,23 @@ def header_block(text: Column) -> Column:
 
 
 def header_fields(docs: DataFrame, block: str = "block") -> DataFrame:
-    """id, key and value of header lines; indented lines continue a value, a later key replaces an earlier one."""
-    key = r"^\s{0,2}(\w+(?:-\w+)*):\s*(.*)"
+    """id, key and value of header lines; indented lines continue a value, a later key replaces an earlier one.
+
+    A key is words joined by hyphens before the first colon, indented by two characters at most.
+    """
     lines = docs.select("id", F.posexplode(F.split(block, "\n")).alias("pos", "line"))
-    is_key = F.col("line").rlike(key) & ~F.col("line").rlike(r"^(?:    |\t)")
+    before = F.substring_index("line", ":", 1)
+    name = F.ltrim(before)
+    worded = F.contains("line", F.lit(":")) & F.forall(F.split(name, "-"), lambda w: w.rlike(r"^\w+$"))
+    indented = F.startswith("line", F.lit("    ")) | F.startswith("line", F.lit("\t"))
+    split = lines.select("id", "pos", "line", name.alias("name"), (worded & ~indented & (F.length(before) - F.length(name) <= 2)).alias("is_key"), indented.alias("indented"))
     order = Window.partitionBy("id").orderBy("pos")
-    grouped = lines.withColumn("is_key", is_key).withColumn("field", F.sum(F.col("is_key").cast("int")).over(order)).filter((F.col("field") > 0) & (F.col("is_key") | F.col("line").rlike(r"^(?:    |\t)\s*\S")))
-    part = F.when(F.col("is_key"), F.regexp_extract("line", key, 2)).otherwise(F.trim("line"))
+    grouped = split.withColumn("field", F.count_if("is_key").over(order)).filter((F.col("field") > 0) & (F.col("is_key") | (F.col("indented") & (F.regexp_replace("line", r"\s", "") != ""))))
+    value = F.substring("line", F.instr("line", ":") + 1, F.length("line"))
+    part = F.when(F.col("is_key"), value).otherwise(F.col("line"))
     fields = grouped.groupBy("id", "field").agg(
-        F.lower(F.regexp_replace(F.max(F.when(F.col("is_key"), F.regexp_extract("line", key, 1))), "-", "_")).alias("key"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.trim(part).alias("part")))), lambda x: x["part"]), "\n").alias("value"),
+        F.lower(F.regexp_replace(F.max(F.when(F.col("is_key"), F.col("name"))), "-", "_")).alias("key"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.trim(F.regexp_replace(part, "\t", " ")).alias("part")))), lambda x: x["part"]), "\n").alias("value"),
     )
     return fields.groupBy("id", "key").agg(F.max_by("value", "field").alias("value"))
 

@@ -4,14 +4,14 @@ from pyspark.sql import functions as F
 
 from textloom.operators import agreement as g
 from textloom.operators import ranking as r
-from textloom.plans.bindings import EDGES, Tables, links
+from textloom.plans.bindings import EDGES, Tables, items, links
 
 _A = "a AS (SELECT DISTINCT source, target FROM links WHERE method = 'A')"
 _N = "n AS (SELECT DISTINCT source, target FROM links WHERE method = 'N')"
 _DEGREES = """found AS (SELECT DISTINCT method, source, target FROM links), degrees AS (
   SELECT method, 'in' AS metric, target AS item, count(*) AS score FROM found GROUP BY method, target UNION ALL SELECT method, 'out', source, count(*) FROM found GROUP BY method, source)"""
-_GRID = """grid AS (SELECT m.method, m.metric, n_name AS item, coalesce(score, 0) AS score FROM nation CROSS JOIN (SELECT DISTINCT method, metric FROM degrees) m
-  LEFT JOIN degrees d ON d.method = m.method AND d.metric = m.metric AND d.item = n_name)"""
+_GRID = """grid AS (SELECT m.method, m.metric, i.item, coalesce(score, 0) AS score FROM items i CROSS JOIN (SELECT DISTINCT method, metric FROM degrees) m
+  LEFT JOIN degrees d ON d.method = m.method AND d.metric = m.metric AND d.item = i.item)"""
 
 
 def _degrees(t: Tables):
@@ -21,14 +21,14 @@ def _degrees(t: Tables):
 
 
 def _grid(t: Tables):
-    return r.score_grid(t.nation.select(F.col("n_name").alias("item")), _degrees(t), ["method", "metric"])
+    return r.score_grid(items(t).select("item"), _degrees(t), ["method", "metric"])
 
 
 def _agreement_sql(by: str, types: int) -> str:
     on = " AND ".join(f"x.{c} = y.{c}" for c in by.split(", "))
     return f"""WITH {EDGES}, s AS (SELECT DISTINCT method, {by} FROM links), z AS (SELECT method, count(*) AS size FROM s GROUP BY method),
       o AS (SELECT x.method AS approach, y.method AS baseline, count(*) AS k FROM s x JOIN s y ON {on} GROUP BY ALL),
-      f AS (SELECT p.method AS approach, q.method AS baseline, coalesce(k, 0) AS overlap, p.size AS pa, q.size AS pb, (SELECT count(*) * (count(*) - 1) * {types} FROM nation)::DOUBLE AS u
+      f AS (SELECT p.method AS approach, q.method AS baseline, coalesce(k, 0) AS overlap, p.size AS pa, q.size AS pb, (SELECT count(*) * (count(*) - 1) * {types} FROM items)::DOUBLE AS u
         FROM z p CROSS JOIN z q LEFT JOIN o ON o.approach = p.method AND o.baseline = q.method),
       k AS (SELECT *, (u - pa - pb + 2 * overlap) / u AS po, pa / u * (pb / u) + (u - pa) / u * ((u - pb) / u) AS pe FROM f)
       SELECT approach, baseline, overlap, pa - overlap AS approach_only, pb - overlap AS baseline_only, pa + pb - overlap AS "union", overlap / pb AS hit_rate, (po - pe) / (1 - pe) AS kappa FROM k"""
@@ -46,11 +46,11 @@ QUERIES = {
           SELECT a.source, a.target, rel FROM a JOIN typed USING (source, target) UNION ALL
           SELECT source, target, rel FROM (SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM typed t WHERE t.source = a.source AND t.target = a.target)) CROSS JOIN (VALUES ('F'), ('O')) v(rel)""",
     ),
-    "agg33_pairwise_agreement": (lambda t: g.pairwise_agreement(links(t), t.nation), _agreement_sql("source, target", 1)),
-    "agg33_typed_agreement": (lambda t: g.pairwise_agreement(links(t), t.nation, ["source", "target", "rel"], 2), _agreement_sql("source, target, rel", 2)),
+    "agg33_pairwise_agreement": (lambda t: g.pairwise_agreement(links(t), items(t)), _agreement_sql("source, target", 1)),
+    "agg33_typed_agreement": (lambda t: g.pairwise_agreement(links(t), items(t), ["source", "target", "rel"], 2), _agreement_sql("source, target, rel", 2)),
     "set01_first_wins_union": (
-        lambda t: g.first_wins_union([t.nation.filter("n_nationkey < 9").select("n_nationkey", "n_name"), t.nation.select("n_nationkey", F.lower("n_name").alias("n_name"))], "n_nationkey"),
-        "SELECT n_nationkey, CASE WHEN n_nationkey < 9 THEN n_name ELSE lower(n_name) END AS n_name FROM nation",
+        lambda t: g.first_wins_union([t.supplier.select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name")), t.customer.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))], "key"),
+        "SELECT coalesce(s_suppkey, c_custkey) AS key, coalesce(s_name, c_name) AS name FROM supplier FULL JOIN customer ON s_suppkey = c_custkey",
     ),
     "set03_edge_difference": (
         lambda t: g.edges_of(links(t), "A").subtract(g.edges_of(links(t), "N")),
@@ -70,20 +70,20 @@ QUERIES = {
     ),
     "flt04_referential_edges": (
         lambda t: g.referential(
-            links(t).select(F.right("source", F.lit(1)).alias("slug"), "source", F.right("target", F.lit(1)).alias("target_slug"), "target").distinct(),
-            t.nation.filter("n_nationkey % 2 = 0 and n_nationkey < 15").select(F.right("n_name", F.lit(1)).alias("slug"), F.col("n_name").alias("id")),
+            links(t).select(F.right("source", F.lit(2)).alias("slug"), "source", F.right("target", F.lit(2)).alias("target_slug"), "target").distinct(),
+            items(t).filter("size > 25").select(F.right("item", F.lit(2)).alias("slug"), F.col("item").alias("id")),
         ),
-        f"""WITH {EDGES}, e AS (SELECT DISTINCT right(source, 1) AS slug, source, right(target, 1) AS target_slug, target FROM links), k AS (SELECT right(n_name, 1) AS slug, n_name AS id FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey < 15)
+        f"""WITH {EDGES}, e AS (SELECT DISTINCT right(source, 2) AS slug, source, right(target, 2) AS target_slug, target FROM links), k AS (SELECT right(item, 2) AS slug, item AS id FROM items WHERE size > 25)
           SELECT * FROM e WHERE NOT (slug = target_slug AND source = target) AND (target IN (SELECT id FROM k) OR target_slug NOT IN (SELECT slug FROM k))""",
     ),
     "flt05_catalogue_edges": (
-        lambda t: g.in_catalogue(links(t), t.nation.filter("n_regionkey <> 2"), "n_name").groupBy("method").count(),
-        f"WITH {EDGES}, k AS (SELECT n_name FROM nation WHERE n_regionkey <> 2) SELECT method, count(*) AS count FROM links WHERE source IN (FROM k) AND target IN (FROM k) GROUP BY method",
+        lambda t: g.in_catalogue(links(t), items(t).filter("size <> 2"), "item").groupBy("method").count(),
+        f"WITH {EDGES}, k AS (SELECT item FROM items WHERE size <> 2) SELECT method, count(*) AS count FROM links WHERE source IN (FROM k) AND target IN (FROM k) GROUP BY method",
     ),
     "flt06_edges_by_type": (lambda t: g.edges_of(links(t), "A", "F"), f"WITH {EDGES} SELECT DISTINCT source, target FROM links WHERE method = 'A' AND rel = 'F'"),
     "flt07_null_key_filter": (
-        lambda t: g.without_null_keys(links(t).withColumn("target", F.nullif("target", F.lit("NATION_7")))).groupBy("method").count(),
-        f"WITH {EDGES} SELECT method, count(*) AS count FROM links WHERE target <> 'NATION_7' GROUP BY method",
+        lambda t: g.without_null_keys(links(t).withColumn("target", F.nullif("target", F.lit("PART_7")))).groupBy("method").count(),
+        f"WITH {EDGES} SELECT method, count(*) AS count FROM links WHERE target <> 'PART_7' GROUP BY method",
     ),
     "jon12_reciprocal_facts": (
         lambda t: g.reciprocal_facts(links(t).select("source", "target", F.when(F.col("rel") == "F", "supersedes").otherwise("superseded_by").alias("rel"))),
@@ -115,8 +115,8 @@ QUERIES = {
         f"WITH {EDGES} SELECT method, rel, count(DISTINCT (source, target)) AS pairs FROM links GROUP BY ROLLUP (method, rel)",
     ),
     "flt09_reviewed_scope": (
-        lambda t: links(t).join(t.nation.filter("n_regionkey = 1").select(F.col("n_name").alias("source")), "source", "left_semi").groupBy("method", "source").count(),
-        f"WITH {EDGES} SELECT method, source, count(*) AS count FROM links WHERE source IN (SELECT n_name FROM nation WHERE n_regionkey = 1) GROUP BY ALL",
+        lambda t: links(t).join(items(t).filter("size = 1").select(F.col("item").alias("source")), "source", "left_semi").groupBy("method", "source").count(),
+        f"WITH {EDGES} SELECT method, source, count(*) AS count FROM links WHERE source IN (SELECT item FROM items WHERE size = 1) GROUP BY ALL",
     ),
     "win01_competition_rank": (
         lambda t: r.competition_rank(_degrees(t), ["method", "metric"]),

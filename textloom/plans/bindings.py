@@ -1,14 +1,15 @@
 """The operators' inputs, bound to the driver's tables, and the same as SQL.
 
 An order is a document: its status and priority are status and type, its customer's region
-the layer, the suppliers of its lines the authors.  Shipments between nations are relations
-found by three methods (the return flag); parts that follow each other in an order are a
-sparse relation network.  A customer's orders are the status events of one entity.
+the layer, the suppliers of its lines the authors.  A part and the part after it in an order
+are a relation, its line's return flag the method that found it, the line status its type:
+a network as sparse as the table is long.  Nations with a surplus in their shipments to
+another are a small dense network.  A customer's orders are the status events of one entity.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -54,39 +55,50 @@ def authored(t: Tables) -> DataFrame:
 
 
 EDGES = """links AS (
-  SELECT s.n_name AS source, c.n_name AS target, l_returnflag AS method, l_linestatus AS rel
+  SELECT 'PART_' || l_partkey AS source, 'PART_' || next AS target, l_returnflag AS method, l_linestatus AS rel FROM (
+    SELECT l_partkey, l_returnflag, l_linestatus, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS next FROM lineitem)
+  WHERE next <> l_partkey),
+  items AS (SELECT 'PART_' || p_partkey AS item, p_size AS size FROM part)"""
+
+
+def links(t: Tables) -> DataFrame:
+    """source, target, method and rel of each relation between parts, repeats included."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    lines = t.lineitem.withColumn("next", F.lead("l_partkey").over(order)).filter("next <> l_partkey")
+    named = [F.concat(F.lit("PART_"), c).alias(n) for c, n in (("l_partkey", "source"), ("next", "target"))]
+    return lines.select(*named, F.col("l_returnflag").alias("method"), F.col("l_linestatus").alias("rel"))
+
+
+def items(t: Tables) -> DataFrame:
+    """item and size: the parts that relations are between."""
+    return t.part.select(F.concat(F.lit("PART_"), "p_partkey").alias("item"), F.col("p_size").alias("size"))
+
+
+FLOWS = """sold AS (
+  SELECT s.n_name AS source, c.n_name AS target, l_returnflag AS method, sum(l_quantity) AS quantity
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation s ON s_nationkey = s.n_nationkey
     JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation c ON c_nationkey = c.n_nationkey
-  WHERE l_quantity = 50 AND l_linenumber = 1 AND s.n_name <> c.n_name)"""
+  WHERE s.n_name <> c.n_name GROUP BY ALL),
+  flows AS (SELECT x.source, x.target, x.method, x.quantity - coalesce(y.quantity, 0) AS surplus FROM sold x LEFT JOIN sold y ON y.source = x.target AND y.target = x.source AND y.method = x.method
+    WHERE x.quantity > coalesce(y.quantity, 0))"""
 
 
-def links(t: Tables) -> DataFrame:
-    """source, target, method and rel of each relation found between nations, repeats included."""
+def flows(t: Tables) -> DataFrame:
+    """source, target, method and surplus: nations that ship more to another than they get from it."""
     seller = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("source"))
     buyer = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("target"))
-    lines = t.lineitem.filter("l_quantity = 50 and l_linenumber = 1")
-    return (
-        lines.join(seller, F.col("l_suppkey") == F.col("s_suppkey"))
+    shipped = (
+        t.lineitem.join(seller, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(buyer, F.col("o_custkey") == F.col("c_custkey"))
         .filter("source <> target")
-        .select("source", "target", F.col("l_returnflag").alias("method"), F.col("l_linestatus").alias("rel"))
     )
-
-
-SPARSE = """sparse AS (
-  SELECT DISTINCT l_partkey AS source, next AS target FROM (
-    SELECT l_returnflag, l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS next FROM lineitem)
-  WHERE next <> l_partkey AND l_returnflag = 'A')"""
-
-
-def sparse_edges(t: Tables) -> DataFrame:
-    """source and target: each part and the part after it in an order, for one method."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    following = t.lineitem.select("l_returnflag", "l_partkey", F.lead("l_partkey").over(order).alias("next"))
-    return following.filter("next <> l_partkey and l_returnflag = 'A'").select(F.col("l_partkey").alias("source"), F.col("next").alias("target")).distinct()
+    # both directions of a pair meet in one group
+    one, other = F.least("source", "target"), F.greatest("source", "target")
+    signed = F.when(F.col("source") == one, F.col("l_quantity")).otherwise(-F.col("l_quantity"))
+    net = shipped.groupBy(one.alias("one"), other.alias("other"), F.col("l_returnflag").alias("method")).agg(F.sum(signed).alias("net")).filter("net <> 0")
+    ahead = F.col("net") > 0
+    return net.select(F.when(ahead, F.col("one")).otherwise(F.col("other")).alias("source"), F.when(ahead, F.col("other")).otherwise(F.col("one")).alias("target"), "method", F.abs("net").alias("surplus"))
 
 
 EVENTS = "timeline AS (SELECT o_custkey AS entity, CAST(o_orderdate AS DATE) AS date, o_orderkey AS seq, o_orderstatus AS status FROM orders)"

@@ -58,6 +58,7 @@ QUERIES = {
     ),
     "chk03_header_order": (
         lambda t: t.part.select("p_partkey", c.in_header_order(F.split(F.col("p_type"), " "), ["STANDARD", "LARGE", "BRUSHED", "STEEL"]).alias("ok")),
-        None,
+        """WITH p AS (SELECT p_partkey, list_filter(list_transform(string_split(p_type, ' '), lambda n: list_position(['STANDARD', 'LARGE', 'BRUSHED', 'STEEL'], n)), lambda p: coalesce(p, 0) > 0) AS places FROM part)
+          SELECT p_partkey, places = list_sort(places) AND len(list_distinct(places)) = len(places) AS ok FROM p""",
     ),
 }

@@ -5,15 +5,15 @@ from pyspark.sql import functions as F
 from textloom.operators import graph as gr
 from textloom.operators import review as rv
 from textloom.operators.components import connected_components
-from textloom.plans.bindings import EDGES, NODES, SPARSE, Tables, links, nodes, sparse_edges
+from textloom.plans.bindings import EDGES, FLOWS, NODES, Tables, flows, items, links, nodes
 
-_G = "g AS (SELECT DISTINCT source, target FROM links WHERE method = 'A')"
-_ALL = "g AS (SELECT DISTINCT source, target FROM links)"
+_G = "g AS (SELECT DISTINCT source, target FROM flows WHERE method = 'A')"
+_ALL = "g AS (SELECT DISTINCT source, target FROM flows)"
 _U = "u AS (SELECT source, target FROM g UNION SELECT target, source FROM g)"
 
 
 def _dense(t: Tables, method: str | None = "A"):
-    found = links(t)
+    found = flows(t)
     return (found if method is None else found.filter(F.col("method") == method)).select("source", "target").distinct()
 
 
@@ -21,14 +21,30 @@ def _names(t: Tables):
     return t.nation.select(F.col("n_name").alias("node"))
 
 
-def _rank_sql(rounds: int) -> str:
-    out = f"WITH {EDGES}, {_G}, n AS (SELECT n_name AS node, count(target) AS o FROM nation LEFT JOIN g ON source = n_name GROUP BY n_name), r0 AS (SELECT node, o, 1.0::DOUBLE / 25 AS s FROM n)"
+def _rank_sql(rounds: int, edges: str = "SELECT source, target, 1 AS w FROM g") -> str:
+    out = f"WITH {FLOWS}, {_G}, e AS ({edges}), n AS (SELECT n_name AS node, sum(w) AS o FROM nation LEFT JOIN e ON source = n_name GROUP BY n_name), r0 AS (SELECT node, o, 1.0::DOUBLE / 25 AS s FROM n)"
     for k in range(rounds):
-        out += f""", r{k + 1} AS (SELECT r.node, r.o, 0.85::DOUBLE * (coalesce(f.s, 0) + (SELECT coalesce(sum(s), 0) FROM r{k} WHERE o = 0) / 25) + 0.15::DOUBLE / 25 AS s FROM r{k} r
-          LEFT JOIN (SELECT target, sum(x.s / x.o) AS s FROM g JOIN r{k} x ON x.node = g.source GROUP BY target) f ON f.target = r.node)"""
+        out += f""", r{k + 1} AS MATERIALIZED (SELECT r.node, r.o, 0.85::DOUBLE * (coalesce(f.s, 0) + (SELECT coalesce(sum(s), 0) FROM r{k} WHERE o IS NULL) / 25) + 0.15::DOUBLE / 25 AS s FROM r{k} r
+          LEFT JOIN (SELECT target, sum(x.s * e.w / x.o) AS s FROM e JOIN r{k} x ON x.node = e.source GROUP BY target) f ON f.target = r.node)"""
     return out + f" SELECT node, round(s, 9) AS score FROM r{rounds}"
 
 
+#: Both directions of each pair of nations, with what one has shipped more.
+_PAIRED = "SELECT source, target, sum(surplus) AS w FROM (SELECT source, target, surplus FROM flows UNION ALL SELECT target, source, surplus FROM flows) GROUP BY ALL"
+
+
+def _paired(t: Tables):
+    return gr.both_ways(flows(t), "surplus").groupBy("source", "target").agg(F.sum("surplus").alias("surplus"))
+
+
+def _power_sql(rounds: int) -> str:
+    """Power iteration, scaled to length 1 at the end only."""
+    out = f"WITH {FLOWS}, {_ALL}, {_U}, r0 AS (SELECT n_name AS node, 0.2::DOUBLE AS s FROM nation)"
+    for k in range(rounds):
+        out += f", r{k + 1} AS MATERIALIZED (SELECT r.node, r.s + coalesce(f.s, 0) AS s FROM r{k} r LEFT JOIN (SELECT target, sum(x.s) AS s FROM u JOIN r{k} x ON x.node = u.source GROUP BY target) f ON f.target = r.node)"
+    return out + f" SELECT node, round(s / (SELECT sqrt(sum(s * s)) FROM r{rounds}), 6) AS score FROM r{rounds}"
+
+
 def _paths_sql(edges: str) -> str:
     return f"""walk AS (SELECT n_name AS origin, n_name AS node, 0 AS d FROM nation UNION SELECT w.origin, e.target, w.d + 1 FROM walk w JOIN {edges} e ON e.source = w.node WHERE w.d < 12),
       dist AS (SELECT origin, node, min(d) AS d FROM walk GROUP BY ALL),
@@ -39,65 +55,65 @@ def _paths_sql(edges: str) -> str:
 QUERIES = {
     "grf03_degrees": (
         lambda t: gr.degrees(_dense(t), _names(t)),
-        f"""WITH {EDGES}, {_G} SELECT n_name AS node, (SELECT count(*) FROM g WHERE target = n_name) AS in_degree, (SELECT count(*) FROM g WHERE source = n_name) AS out_degree FROM nation""",
+        f"""WITH {FLOWS}, {_G} SELECT n_name AS node, (SELECT count(*) FROM g WHERE target = n_name) AS in_degree, (SELECT count(*) FROM g WHERE source = n_name) AS out_degree FROM nation""",
     ),
     "grf03_summary": (
-        lambda t: gr.summary(sparse_edges(t), t.part.select(F.col("p_partkey").alias("node"))),
-        f"""WITH {SPARSE} SELECT (SELECT count(*) FROM part) AS nodes, (SELECT count(*) FROM sparse) AS edges,
-          (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT source FROM sparse UNION SELECT target FROM sparse)) AS isolated,
-          (SELECT count(*) FROM sparse) / ((SELECT count(*) FROM part) * ((SELECT count(*) FROM part) - 1)) AS density""",
+        lambda t: gr.summary(links(t).select("source", "target").distinct(), items(t), "item"),
+        f"""WITH {EDGES}, e AS (SELECT DISTINCT source, target FROM links) SELECT (SELECT count(*) FROM items) AS nodes, (SELECT count(*) FROM e) AS edges,
+          (SELECT count(*) FROM items WHERE item NOT IN (SELECT source FROM e UNION SELECT target FROM e)) AS isolated,
+          (SELECT count(*) FROM e) / ((SELECT count(*) FROM items) * ((SELECT count(*) FROM items) - 1)) AS density""",
     ),
     "grf04_page_rank_5_rounds": (
         lambda t: gr.page_rank(_dense(t), _names(t), rounds=5, tolerance=0).select("node", F.round("score", 9).alias("score")),
         _rank_sql(5),
     ),
     "grf05_weighted_page_rank": (
-        lambda t: gr.page_rank(gr.both_ways(links(t).filter("source < target").groupBy("source", "target").agg(F.count("*").alias("weight")), "weight"), _names(t), weight="weight", scaled=False, rounds=60).select("node", F.round("score", 4).alias("score")),
-        None,
+        lambda t: gr.page_rank(_paired(t), _names(t), weight="surplus", scaled=False, rounds=12, tolerance=0).select("node", F.round("score", 9).alias("score")),
+        _rank_sql(12, _PAIRED),
     ),
     "grf07_eigenvector": (
-        lambda t: gr.eigenvector(gr.both_ways(_dense(t, None)).distinct(), _names(t), shifted=True, rounds=60).select("node", F.round("score", 4).alias("score")),
-        None,
+        lambda t: gr.eigenvector(gr.both_ways(_dense(t, None)).distinct(), _names(t), shifted=True, rounds=12, tolerance=0).select("node", F.round("score", 6).alias("score")),
+        _power_sql(12),
     ),
     "grf09_betweenness": (
         lambda t: gr.betweenness(_dense(t), _names(t)).select("node", F.round("score", 9).alias("score")),
-        f"""WITH RECURSIVE {EDGES}, {_G}, {_paths_sql("g")}, b AS (SELECT v.node, sum(v.paths * w.paths / st.paths) AS s FROM steps st JOIN steps v ON v.origin = st.origin JOIN steps w ON w.origin = v.node AND w.node = st.node
+        f"""WITH RECURSIVE {FLOWS}, {_G}, {_paths_sql("g")}, b AS (SELECT v.node, sum(v.paths * w.paths / st.paths) AS s FROM steps st JOIN steps v ON v.origin = st.origin JOIN steps w ON w.origin = v.node AND w.node = st.node
           WHERE st.d > 1 AND v.d > 0 AND w.d > 0 AND v.d + w.d = st.d GROUP BY v.node)
           SELECT n_name AS node, round(coalesce(s, 0) / (24 * 23), 9) AS score FROM nation LEFT JOIN b ON node = n_name""",
     ),
     "grf11_closeness": (
         lambda t: gr.closeness(gr.shortest_paths(_dense(t), _names(t)), _names(t)).select("node", F.round("score", 9).alias("score")),
-        f"""WITH RECURSIVE {EDGES}, {_G}, {_paths_sql("g")} SELECT origin AS node, round(coalesce(CASE WHEN sum(d) > 0 THEN (count(*) - 1) / sum(d) * ((count(*) - 1) / 24) END, 0), 9) AS score FROM dist GROUP BY origin""",
+        f"""WITH RECURSIVE {FLOWS}, {_G}, {_paths_sql("g")} SELECT origin AS node, round(coalesce(CASE WHEN sum(d) > 0 THEN (count(*) - 1) / sum(d) * ((count(*) - 1) / 24) END, 0), 9) AS score FROM dist GROUP BY origin""",
     ),
     "grf12_components": (
-        lambda t: connected_components(_dense(t, "R").filter("source < 'NATION_2' and target < 'NATION_2'"), "source", "target"),
-        f"""WITH RECURSIVE {EDGES}, g AS (SELECT DISTINCT source, target FROM links WHERE method = 'R' AND source < 'NATION_2' AND target < 'NATION_2'), {_U},
+        lambda t: connected_components(_dense(t, "R"), "source", "target"),
+        f"""WITH RECURSIVE {FLOWS}, g AS (SELECT DISTINCT source, target FROM flows WHERE method = 'R'), {_U},
           reach AS (SELECT source AS node, source AS other FROM u UNION SELECT r.node, u.target FROM reach r JOIN u ON u.source = r.other) SELECT node, min(other) AS component FROM reach GROUP BY node""",
     ),
     "grf13_strong_components": (
         lambda t: gr.strong_components(_dense(t, "N")),
-        f"""WITH RECURSIVE {EDGES}, g AS (SELECT DISTINCT source, target FROM links WHERE method = 'N'), reach AS (SELECT source, target FROM g UNION SELECT r.source, g.target FROM reach r JOIN g ON g.source = r.target)
+        f"""WITH RECURSIVE {FLOWS}, g AS (SELECT DISTINCT source, target FROM flows WHERE method = 'N'), reach AS (SELECT source, target FROM g UNION SELECT r.source, g.target FROM reach r JOIN g ON g.source = r.target)
           SELECT a.source AS node, least(min(a.target), a.source) AS component FROM reach a JOIN reach b ON b.source = a.target AND b.target = a.source WHERE a.source <> a.target GROUP BY a.source""",
     ),
     "grf14_simple_cycles": (
         lambda t: gr.simple_cycles(_dense(t, None), 3),
-        f"""WITH {EDGES}, {_ALL} SELECT CAST(2 AS INT) AS length, count(*) AS cycles FROM g a JOIN g b ON a.target = b.source AND b.target = a.source WHERE a.source < a.target
+        f"""WITH {FLOWS}, {_ALL} SELECT CAST(2 AS INT) AS length, count(*) AS cycles FROM g a JOIN g b ON a.target = b.source AND b.target = a.source WHERE a.source < a.target
           UNION ALL SELECT 3, count(*) FROM g a JOIN g b ON a.target = b.source JOIN g c ON b.target = c.source AND c.target = a.source WHERE a.source < a.target AND a.source < b.target AND a.target <> b.target""",
     ),
     "grf15_depth": (
         lambda t: gr.depth(_dense(t, "R"), _names(t)),
-        f"""WITH RECURSIVE {EDGES}, g AS (SELECT DISTINCT source, target FROM links WHERE method = 'R'), {_paths_sql("g")}
+        f"""WITH RECURSIVE {FLOWS}, g AS (SELECT DISTINCT source, target FROM flows WHERE method = 'R'), {_paths_sql("g")}
           SELECT CAST(coalesce(max(d), 0) AS INT) AS depth FROM dist WHERE origin NOT IN (SELECT target FROM g)""",
     ),
     "flt13_neighbourhood": (
         lambda t: gr.neighbourhood(_dense(t), _names(t).filter("node < 'NATION_12'")),
-        f"WITH {EDGES}, {_G} SELECT * FROM g WHERE source < 'NATION_12' OR target < 'NATION_12'",
+        f"WITH {FLOWS}, {_G} SELECT * FROM g WHERE source < 'NATION_12' OR target < 'NATION_12'",
     ),
     "flt14_least_degree": (
         lambda t: gr.least_degree(_dense(t), 5),
-        f"WITH {EDGES}, {_G}, d AS (SELECT n FROM (SELECT source AS n FROM g UNION ALL SELECT target FROM g) GROUP BY n HAVING count(*) >= 5) SELECT * FROM g WHERE source IN (FROM d) AND target IN (FROM d)",
+        f"WITH {FLOWS}, {_G}, d AS (SELECT n FROM (SELECT source AS n FROM g UNION ALL SELECT target FROM g) GROUP BY n HAVING count(*) >= 5) SELECT * FROM g WHERE source IN (FROM d) AND target IN (FROM d)",
     ),
-    "sup17_induced": (lambda t: gr.induced(_dense(t), _names(t).filter("node > 'NATION_2'")), f"WITH {EDGES}, {_G} SELECT * FROM g WHERE source > 'NATION_2' AND target > 'NATION_2'"),
+    "sup17_induced": (lambda t: gr.induced(_dense(t), _names(t).filter("node > 'NATION_2'")), f"WITH {FLOWS}, {_G} SELECT * FROM g WHERE source > 'NATION_2' AND target > 'NATION_2'"),
     "val01_edge_violations": (
         lambda t: rv.edge_violations(_curated(t), ["bips", "slips"], ["F", "O"]),
         f"""WITH {EDGES}, {{curated}}, k AS (SELECT *, count(*) OVER (PARTITION BY source, target, rel) AS same, min(rel) OVER (PARTITION BY source, target) <> max(rel) OVER (PARTITION BY source, target) AS clash FROM c)
@@ -117,7 +133,7 @@ QUERIES = {
     ),
     "top08_density_buckets": (
         lambda t: gr.degrees(_dense(t), _names(t)).select("node", rv.density_bucket(F.col("out_degree"), 3).alias("bucket")),
-        f"WITH {EDGES}, {_G} SELECT n_name AS node, CASE WHEN count(target) = 0 THEN 'none' WHEN count(target) < 3 THEN 'low' ELSE 'high' END AS bucket FROM nation LEFT JOIN g ON source = n_name GROUP BY n_name",
+        f"WITH {FLOWS}, {_G} SELECT n_name AS node, CASE WHEN count(target) = 0 THEN 'none' WHEN count(target) < 3 THEN 'low' ELSE 'high' END AS bucket FROM nation LEFT JOIN g ON source = n_name GROUP BY n_name",
     ),
     "flt01_focus": (lambda t: rv.in_focus(t.part.select(F.col("p_partkey").alias("id")), "1-9,30-44,85,a0"), "SELECT p_partkey AS id FROM part WHERE p_partkey BETWEEN 1 AND 9 OR p_partkey BETWEEN 30 AND 44 OR p_partkey = 85"),
     "flt02_filter_expression": (
@@ -145,13 +161,13 @@ QUERIES = {
 def _curated(t: Tables):
     """Relations as curated edges, some of them wrong."""
     number = F.length("source") * 31 + F.length("target")
-    slug = F.when(F.col("source") < "NATION_10", "nips").when(F.col("source") < "NATION_2", "bips").otherwise("slips")
+    slug = F.when(F.col("source") < "PART_10", "nips").when(F.col("source") < "PART_2", "bips").otherwise("slips")
     return links(t).filter("method = 'A'").select(
-        F.concat_ws(":", slug, F.replace("source", F.lit(" "), F.lit("_"))).alias("source"), F.concat(F.lit("bips:"), F.replace("target", F.lit(" "), F.lit("_"))).alias("target"), "rel",
+        F.concat_ws(":", slug, "source").alias("source"), F.concat(F.lit("bips:"), "target").alias("target"), "rel",
         F.when(number % 4 > 0, "R").otherwise("").alias("reviewer"), F.when(number % 3 > 0, "2024-02-29").otherwise("2024-02-30").alias("reviewed_at"),
     )
 
 
-_CURATED = """c AS (SELECT CASE WHEN source < 'NATION_10' THEN 'nips' WHEN source < 'NATION_2' THEN 'bips' ELSE 'slips' END || ':' || replace(source, ' ', '_') AS source, 'bips:' || replace(target, ' ', '_') AS target, rel,
+_CURATED = """c AS (SELECT CASE WHEN source < 'PART_10' THEN 'nips' WHEN source < 'PART_2' THEN 'bips' ELSE 'slips' END || ':' || source AS source, 'bips:' || target AS target, rel,
   CASE WHEN (length(source) * 31 + length(target)) % 4 > 0 THEN 'R' ELSE '' END AS reviewer, CASE WHEN (length(source) * 31 + length(target)) % 3 > 0 THEN '2024-02-29' ELSE '2024-02-30' END AS reviewed_at FROM links WHERE method = 'A')"""
 QUERIES["val01_edge_violations"] = (QUERIES["val01_edge_violations"][0], QUERIES["val01_edge_violations"][1].replace("{curated}", _CURATED))

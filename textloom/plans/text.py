@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from textloom.operators import references as r
 from textloom.operators import text as x
 from textloom.plans.bindings import Tables
 
@@ -28,11 +29,12 @@ def _noted(t: Tables):
     )
 
 
-_HEADED = """'<pre>\n  BIP: ' || o_orderkey || '\n  Title: One ' || o_orderpriority || '\n  Author: A <a@x>\n    B <b@x>\n  Status: ' || o_orderstatus || '\n  Status: Final\n</pre>\n==Abstract==\ntext\n=== Sub  part ===\n==Abstract==\nmore'"""
+#: A document with a header made from its columns before its text, the same expression in Spark and DuckDB.
+_HEADED = """'<pre>\n  BIP: ' || doc_id || '\n  Title: One ' || coalesce(source, '') || '\n  Author: A <a@x>\n    B <b@x>\n  Status: ' || coalesce(lang, '') || '\n  Status: Final\n</pre>\n' || coalesce(text, '') || '\n==Abstract==\ntext\n=== Sub  part ===\n==Abstract==\nmore'"""
 
 
 def _headed(t: Tables):
-    return t.orders.select(F.col("o_orderkey").alias("id"), F.expr(_HEADED.replace("\n", "\\n")).alias("text")).filter("id % 5 = 0")
+    return t.documents.select(F.col("doc_id").alias("id"), F.expr(_HEADED.replace("\n", "\\n")).alias("text"))
 
 
 QUERIES = {
@@ -49,27 +51,26 @@ QUERIES = {
         f"WITH {_WORDS} SELECT id, count(*) AS unique_terms, CAST(sum(n) AS BIGINT) AS total_terms FROM counts GROUP BY id",
     ),
     "agg03_word_cloud": (
-        lambda t: x.corpus_words(x.word_counts(_docs(t).filter("source = 'src3'"), _stop(t)), 100),
-        f"""WITH {_WORDS} SELECT word, CAST(sum(n) AS BIGINT) AS n FROM counts WHERE word NOT IN ({', '.join(repr(w) for w in _STOP)})
-          AND id IN (SELECT doc_id FROM documents WHERE source = 'src3') GROUP BY word ORDER BY n DESC, word LIMIT 100""",
+        lambda t: x.corpus_words(x.word_counts(_docs(t), _stop(t)), 100),
+        f"""WITH {_WORDS} SELECT word, CAST(sum(n) AS BIGINT) AS n FROM counts WHERE word NOT IN ({', '.join(repr(w) for w in _STOP)}) GROUP BY word ORDER BY n DESC, word LIMIT 100""",
     ),
     "agg24_reference_counts": (
-        lambda t: x.without_self(x.references(_noted(t), "BIP")),
+        lambda t: x.without_self(r.find_references(_noted(t), [r.Source("bips", "BIP")]).drop("slug")),
         """WITH hits AS (SELECT o_orderkey AS id, unnest([o_orderkey % 40, o_custkey % 7, 9, o_orderkey % 5]) AS target FROM orders)
           SELECT id, CAST(target AS VARCHAR) AS target, count(*) AS n FROM hits WHERE id <> target GROUP BY ALL""",
     ),
     "prj01_header_blocks": (
         lambda t: _headed(t).select("id", F.length(x.header_block(F.col("text"))).alias("length")),
-        f"WITH d AS (SELECT o_orderkey AS id, {_HEADED} AS text FROM orders WHERE o_orderkey % 5 = 0) SELECT id, CAST(strpos(text, '</pre>') - 6 AS INT) AS length FROM d",
+        f"WITH d AS (SELECT doc_id AS id, {_HEADED} AS text FROM documents) SELECT id, CAST(strpos(text, '</pre>') - 6 AS INT) AS length FROM d",
     ),
     "prj02_header_fields": (
         lambda t: x.header_fields(_headed(t).select("id", x.header_block(F.col("text")).alias("block"))),
-        """WITH o AS (SELECT * FROM orders WHERE o_orderkey % 5 = 0) SELECT o_orderkey AS id, 'bip' AS key, CAST(o_orderkey AS VARCHAR) AS value FROM o
-          UNION ALL SELECT o_orderkey, 'title', 'One ' || o_orderpriority FROM o UNION ALL SELECT o_orderkey, 'author', 'A <a@x>' || chr(10) || 'B <b@x>' FROM o UNION ALL SELECT o_orderkey, 'status', 'Final' FROM o""",
+        """WITH o AS (SELECT * FROM documents) SELECT doc_id AS id, 'bip' AS key, CAST(doc_id AS VARCHAR) AS value FROM o
+          UNION ALL SELECT doc_id, 'title', trim('One ' || coalesce(source, '')) FROM o UNION ALL SELECT doc_id, 'author', 'A <a@x>' || chr(10) || 'B <b@x>' FROM o UNION ALL SELECT doc_id, 'status', 'Final' FROM o""",
     ),
     "prj03_list_fields": (
         lambda t: x.header_fields(_headed(t).select("id", x.header_block(F.col("text")).alias("block"))).filter("key = 'author'").select("id", F.posexplode(x.list_field(F.col("value"))).alias("pos", "author")),
-        "SELECT o_orderkey AS id, CAST(unnest([0, 1]) AS INT) AS pos, unnest(['A <a@x>', 'B <b@x>']) AS author FROM orders WHERE o_orderkey % 5 = 0",
+        "SELECT doc_id AS id, CAST(unnest([0, 1]) AS INT) AS pos, unnest(['A <a@x>', 'B <b@x>']) AS author FROM documents",
     ),
     "prj05_prefixed_ids": (
         lambda t: t.part.select("p_partkey", x.prefixed_number(F.concat(F.lit("PART-000"), "p_partkey"), "part").alias("number"), x.prefixed_number(F.col("p_brand"), "part").alias("same")),
@@ -89,11 +90,11 @@ QUERIES = {
     ),
     "prj16_body_text": (
         lambda t: _headed(t).select("id", x.body_text(F.col("text")).alias("body")),
-        f"WITH d AS (SELECT o_orderkey AS id, {_HEADED} AS text FROM orders WHERE o_orderkey % 5 = 0) SELECT id, substr(text, strpos(text, '</pre>') + 7) AS body FROM d",
+        f"WITH d AS (SELECT doc_id AS id, {_HEADED} AS text FROM documents) SELECT id, regexp_replace(regexp_replace(substr(text, strpos(text, '</pre>') + 6), '\\r\\n?', chr(10), 'g'), '^\\s+', '') AS body FROM d",
     ),
     "prj17_sections": (
         lambda t: x.sections(_headed(t)),
-        "WITH o AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 5 = 0) SELECT id, 'abstract' AS name, CAST(2 AS INT) AS level FROM o UNION ALL SELECT id, 'sub part', 3 FROM o",
+        "WITH o AS (SELECT doc_id AS id FROM documents) SELECT id, 'abstract' AS name, CAST(2 AS INT) AS level FROM o UNION ALL SELECT id, 'sub part', 3 FROM o",
     ),
     "prj17_html_headings": (
         lambda t: x.html_headings(t.pages.select(F.col("page_id").alias("id"), "html")),

@@ -7,24 +7,23 @@ from textloom.operators import views as v
 from textloom.operators.components import connected_components
 from textloom.plans.bindings import AUTHORED, EDGES, NODES, Tables, authored, links, nodes
 
-_KEYED = "k AS (SELECT source[8] || ':' || source AS source, target[8] || ':' || target AS target FROM links)"
-_BY_LAYER = f"{NODES}, {AUTHORED}, w AS (SELECT layer AS source, id, author FROM authored JOIN nodes USING (id) WHERE id % 50 = 0)"
-_FEW = "authored AS (SELECT DISTINCT l_orderkey AS id, l_suppkey AS author FROM lineitem WHERE l_orderkey < 40 AND l_suppkey > 60)"
+_KEYED = "k AS (SELECT source[6] || ':' || source AS source, target[6] || ':' || target AS target FROM links)"
+_BY_LAYER = f"{NODES}, {AUTHORED}, w AS (SELECT layer AS source, id, author FROM authored JOIN nodes USING (id))"
 _PAIRS = "pairs AS (SELECT x.author AS a, y.author AS b, count(*) AS weight FROM authored x JOIN authored y ON x.id = y.id AND x.author < y.author GROUP BY ALL)"
 _REACH = """u AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT a AS node, a AS other FROM u UNION SELECT r.node, u.b FROM reach r JOIN u ON u.a = r.other),
   parts AS (SELECT node, min(other) AS component FROM reach GROUP BY node)"""
 
 
 def _keyed(t: Tables):
-    return links(t).select(*[F.concat_ws(":", F.substring(c, 8, 1), c).alias(c) for c in ("source", "target")])
+    return links(t).select(*[F.concat_ws(":", F.substring(c, 6, 1), c).alias(c) for c in ("source", "target")])
 
 
 def _by_layer(t: Tables):
-    return authored(t).join(nodes(t), "id").filter("id % 50 = 0").select(F.col("layer").alias("source"), "id", "author")
+    return authored(t).join(nodes(t), "id").select(F.col("layer").alias("source"), "id", "author")
 
 
-def _few(t: Tables):
-    return a.collaboration_edges(t.lineitem.filter("l_orderkey < 40 and l_suppkey > 60").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("author")).distinct())
+def _together(t: Tables):
+    return a.collaboration_edges(authored(t))
 
 
 QUERIES = {
@@ -37,16 +36,16 @@ QUERIES = {
         f"WITH {_BY_LAYER} SELECT * FROM w WHERE author IN (SELECT author FROM w GROUP BY author HAVING count(DISTINCT source) > 1)",
     ),
     "flt15_busy_authors": (
-        lambda t: v.at_least_authored(_by_layer(t), 14),
-        f"WITH {_BY_LAYER} SELECT * FROM w WHERE author IN (SELECT author FROM w GROUP BY author HAVING count(DISTINCT id) >= 14)",
+        lambda t: v.at_least_authored(_by_layer(t), 600),
+        f"WITH {_BY_LAYER} SELECT * FROM w WHERE author IN (SELECT author FROM w GROUP BY author HAVING count(DISTINCT id) >= 600)",
     ),
     "flt16_clusters": (
-        lambda t: v.cluster_edges(_few(t), connected_components(_few(t)), 2),
-        f"WITH RECURSIVE {_FEW}, {_PAIRS}, {_REACH} SELECT component, count(DISTINCT node) AS nodes, (SELECT count(*) FROM pairs JOIN parts p ON p.node = pairs.a WHERE p.component = parts.component) AS edges FROM parts GROUP BY component HAVING edges >= 2",
+        lambda t: v.cluster_edges(_together(t), connected_components(_together(t)), 2),
+        f"WITH RECURSIVE {AUTHORED}, {_PAIRS}, {_REACH} SELECT component, count(DISTINCT node) AS nodes, (SELECT count(*) FROM pairs JOIN parts p ON p.node = pairs.a WHERE p.component = parts.component) AS edges FROM parts GROUP BY component HAVING edges >= 2",
     ),
     "agg19_component_sizes": (
-        lambda t: v.component_sizes(connected_components(_few(t))),
-        f"WITH RECURSIVE {_FEW}, {_PAIRS}, {_REACH}, s AS (SELECT component, count(*) AS size FROM parts GROUP BY component) SELECT size, count(*) AS components FROM s GROUP BY size",
+        lambda t: v.component_sizes(connected_components(_together(t))),
+        f"WITH RECURSIVE {AUTHORED}, {_PAIRS}, {_REACH}, s AS (SELECT component, count(*) AS size FROM parts GROUP BY component) SELECT size, count(*) AS components FROM s GROUP BY size",
     ),
     "agg40_merged_counts": (
         lambda t: v.merge_sums([a.author_counts(authored(t).filter("id % 2 = 0")), a.author_counts(authored(t).filter("id % 2 = 1"))], "author", "documents"),
@@ -61,8 +60,8 @@ QUERIES = {
         "SELECT event_type AS model, count(DISTINCT user_id) AS documents, count(*) AS edges FROM events GROUP BY event_type",
     ),
     "sup19_review_days": (
-        lambda t: v.review_days(t.orders.filter("o_orderkey < 50").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("reviewed_at")), t.orders.filter("o_orderkey between 40 and 90").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("reviewed_at"))),
-        "SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS reviewed_at FROM orders WHERE o_orderkey <= 90",
+        lambda t: v.review_days(t.orders.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("reviewed_at")), t.lineitem.select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("reviewed_at"))),
+        "SELECT strftime(o_orderdate, '%Y-%m-%d') AS reviewed_at FROM orders UNION SELECT strftime(l_shipdate, '%Y-%m-%d') FROM lineitem",
     ),
     "num02_scaled_sizes": (
         lambda t: v.scaled_sizes(a.author_counts(authored(t)), "documents", 4.0, 20.0).select("author", F.round("size", 9).alias("size")),
