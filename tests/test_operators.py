@@ -12,6 +12,7 @@ from textloom.operators import conformity as co
 from textloom.operators import evolution as ev
 from textloom.operators import graph as gr
 from textloom.operators import ranking as rk
+from textloom.operators import references as rf
 from textloom.operators import review as rv
 from textloom.operators import text as tx
 from textloom.operators.components import connected_components
@@ -100,7 +101,7 @@ def test_transitions_and_periods(spark):
 
 def test_texts(spark):
     docs = spark.createDataFrame([(1, "BIPs 33/99, BIP-0053/2-x.pdf and BIP 32, 39 and 44; bip#7")], "id int, text string")
-    assert [t for _, t, _ in rows(tx.references(docs, "BIP").orderBy(F.col("target").cast("int")))] == sorted(["33", "99", "53", "32", "39", "44", "7"])
+    assert [t for _, _, t, _ in rows(rf.find_references(docs, [rf.Source("bips", "BIP")]).orderBy(F.col("target").cast("int")))] == sorted(["33", "99", "53", "32", "39", "44", "7"])
     one = spark.createDataFrame([("5a", "0007", "Mon Mar 3 10:00:00 2014 +0100", "2020-1-5", "ABCDEFGHIJK")], "hex string, dec string, git string, day string, title string")
     got = one.select(tx.reference_id(F.col("hex"), 255, True), tx.reference_id(F.col("dec"), 5), tx.git_day(F.col("git")), ev.strict_day(F.col("day")), tx.short_title(F.col("title"))).first()
     assert tuple(got) == ("5A", None, "2014-03-03", date(2020, 1, 5), "ABCDEFG")
