@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, embeddings, fingerprints, licenses, line_templates, ngrams, packing, pages, simhash, toxicity
+from textloom.llm import bpe, divergence, embeddings, filter_audit, fingerprints, licenses, line_templates, ngrams, packing, pages, simhash, stable_search, toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -71,6 +71,21 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.drop_recurring_lines(docs)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each filter removes at each step of all 120 orders, by source."""
+    return filter_audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergences between the sources of each language, and the terms that set each apart."""
+    return divergence.audit_sources(_table(spark, sf_dir, "documents"))
+
+
+def op13_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for each vector whose id is divisible by 100."""
+    return stable_search.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     numbered = (
         op1_fingerprints,
@@ -83,6 +98,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_toxicity,
         op9_embedding_groups,
         op10_line_templates,
+        op11_filter_audit,
+        op12_source_divergence,
+        op13_nearest_vectors,
     )
     return {f.__name__: f for f in numbered}
 
@@ -92,4 +110,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_license_scan": licenses.ORACLE_SQL,
         "op9_embedding_groups": embeddings.ORACLE_SQL,
         "op10_line_templates": line_templates.ORACLE_SQL.format(docs="documents"),
+        "op11_filter_audit": filter_audit.ORACLE_SQL,
+        "op12_source_divergence": divergence.ORACLE_SQL,
+        "op13_nearest_vectors": stable_search.ORACLE_SQL,
     }
