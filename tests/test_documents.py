@@ -12,6 +12,7 @@ from textloom.operators import parsers as p
 from textloom.operators import payloads as y
 from textloom.operators import references as r
 from textloom.operators import standards as s
+from textloom.operators import text as t
 from textloom.operators import validation as v
 
 GOOD = """﻿BIP: 7
@@ -72,6 +73,42 @@ def test_each_fault_fails_its_check(spark, old, new, failed):
     assert {k for k, passed in checks(spark, GOOD.replace(old, new)).items() if passed is False} == failed
 
 
+@pytest.mark.parametrize("log, latest", [("1.2.9, then 1.2.10", "1.2.10"), ("2.0.12 of 2.0.9", "2.0.12"), ("1.2.34x and v1.9.9, 1.0.1", "1.0.1"), ("99999999999.0.1", "99999999999.0.1"), ("1.2.3.4", "1.2.3"), ("none", None), ("", None)])
+def test_latest_version(spark, log, latest):
+    assert spark.range(1).select(c.latest_version(F.lit(log))).first()[0] == latest
+
+
+def test_headings(spark):
+    lines = {"== A ==": (2, "a"), "===  B  c ===  ": (3, "b c"), "=== D ==": (2, "d"), "= E =": (0, ""), "========G========": (6, "g"), "======": (0, ""), "text == x ==": (0, ""), "==H== z": (0, ""), "": (0, "")}
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select("line", t.heading_level(F.col("line")), t.heading_name(F.col("line"))).collect()
+    for line, level, name in got:
+        assert level == lines[line][0] and (not level or name == lines[line][1]), line
+    text = "x\n== A ==\none\n\ntwo\n=== B ===\n== A ==\n"
+    entries = spark.range(1).select(s.section_entries(F.lit(text)).alias("e")).first().e
+    assert [tuple(e) for e in entries] == [("a", 2, "one\n\ntwo"), ("b", 3, ""), ("a", 2, "")]
+
+
+def test_contacts(spark):
+    lines = {"A B <a@b>": True, "A <x> <a@b>": True, "<a@b>": False, " <a@b>": False, "A <a@b": False, "A <a>": False, "A <a@b@c>": False, "A <a @b>": False, "A<a@b>": False, "A <@b>": False, "A": False}
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select("line", s._is_contact(F.col("line"))).collect()
+    assert {line: ok for line, ok in got} == lines
+
+
+LISTS = {
+    "BIP 1, 2 and 3 or 4": ["1", "2", "3", "4"], "BIPs 33/99": ["33", "99"], "bip-0053/2-Merkle.pdf": ["53"], "BIP 1/2.pdf": ["1"], "BIP 1/2. Then": ["1", "2"], "BIP 1/2/x": ["1"], "BIP 1/2/ 3": ["1", "2", "3"],
+    "BIP 1/2and 3": ["1"], "BIP 1/2 and 3": ["1", "2", "3"], "BIP 12abc, 3": ["12"], "BIP 1, 23x and 4": ["1", "23"], "BIP 1234567": [], "BIP 1, 1234567, 2": ["1"], "BIP 1 sandbox 5": ["1"], "BIP 1 and roid": ["1"], "BIP and 5": [],
+    "xBIP 1": [], "BIP#7 BIPS-8": ["7", "8"], "BIP 1,2BIP 3": ["1", "2"], "BIP 007": ["7"], "": [], "BIP": [],
+}
+
+
+def test_lists_of_references(spark):
+    frame = spark.createDataFrame([(x,) for x in [*LISTS, None]], "text string").select("text", r.hits(F.col("text"), r.Source("bips", "BIP")).alias("ids"))
+    assert {x.text: x.ids for x in frame.collect()} == {**LISTS, None: None}
+    coded = {"NIP 5 and 0a, FF": ["05", "0A", "FF"], "NIP 01 for 02": ["01"], "nips 1/2": ["01", "02"], "NIP zz": []}
+    frame = spark.createDataFrame([(x,) for x in coded], "text string").select("text", r.hits(F.col("text"), r.Source("nips", "NIP", hexadecimal=True)).alias("ids"))
+    assert {x.text: x.ids for x in frame.collect()} == coded
+
+
 def test_header_blocks(spark):
     texts = [None, "", "no header\nTitle: x", "<pre>\nTitle: x\n more\nbad line\n</pre>", "\n\nTitle: x\r\nno colon\nOther: y"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").select("id", s.top_headers(F.col("text")).alias("t")).orderBy("id").collect()
@@ -103,13 +140,13 @@ def test_tag_lines(spark):
 
 
 def test_identities(spark):
-    rows = [("0012", "A  Title!", "2024-01-02 x", "X\nY", "bip-0001.md"), (None, None, None, None, "docs/bip-0034.mediawiki"), ("xxx", "t", "?", "", "bip-xx.md"), (None, "t", None, "y", "bip-draft.md"), (None, None, None, None, "a2b.txt")]
+    rows = [("0012", "A  Title!", "2024-01-02 x", "X\nY", "bip-0001.md"), (None, None, None, None, "docs/bip-0034.mediawiki"), ("xxx", "t", "?", "", "bip-xx.md"), (None, "t", None, "y", "bip-draft.md"), (None, None, None, None, "a2b.txt"), (None, "t", None, None, "x/bip-wallet-XXXX.md"), (None, None, None, None, "bip-0322-draft.md"), (None, None, None, None, "bip-????")]
     frame = spark.createDataFrame(rows, "n string, t string, d string, a string, f string")
     got = frame.select(p.identity(*map(F.col, "ntdaf"), "bip").alias("i")).collect()
-    assert [(x.i.number, x.i.title, x.i.created, x.i.authors) for x in got] == [("12", "a title", "2024-01-02", ["x", "y"]), ("34", "", "", []), ("", "t", "", []), ("", "t", "", ["y"]), ("a2b", "", "", [])]
+    assert [(x.i.number, x.i.title, x.i.created, x.i.authors) for x in got] == [("12", "a title", "2024-01-02", ["x", "y"]), ("34", "", "", []), ("", "t", "", []), ("draft", "t", "", ["y"]), ("a2b", "", "", []), ("", "t", "", []), ("322", "", "", []), ("", "", "", [])]
     both = frame.limit(1).select(p.identity(*map(F.col, "ntdaf"), "bip").alias("target")).crossJoin(frame.select(p.identity(*map(F.col, "ntdaf"), "bip").alias("c"), "f"))
     same = {x.f: x.same for x in both.select("f", p.same_document(F.col("c"), F.col("target"), F.col("f")).alias("same")).collect()}
-    assert same == {"bip-0001.md": True, "docs/bip-0034.mediawiki": False, "bip-xx.md": False, "bip-draft.md": False, "a2b.txt": False}
+    assert same == {"bip-0001.md": True, "docs/bip-0034.mediawiki": False, "bip-xx.md": True, "bip-draft.md": False, "a2b.txt": False, "x/bip-wallet-XXXX.md": False, "bip-0322-draft.md": False, "bip-????": False}
     fields = spark.range(1).select(p.with_aliases(F.create_map(*map(F.lit, ("a", "1", "b", "2", "c", "3"))), {"a": "x", "b": "c"}).alias("m")).first().m
     assert fields == {"x": "1", "c": "3"}
 

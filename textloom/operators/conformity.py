@@ -82,9 +82,10 @@ def valid_number_list(value: Column) -> Column:
 
 
 def latest_version(text: Column) -> Column:
-    """The largest x.y.z in the text, by number."""
-    versions = F.transform(F.regexp_extract_all(text, F.lit(r"(\d+\.\d+\.\d+)"), 1), lambda v: F.transform(F.split(v, r"\."), lambda x: x.cast("int")))
-    return F.array_join(F.array_max(versions), ".")
+    """The largest x.y.z in the text, by number; a version has no letter, digit or underscore on either side."""
+    found = F.regexp_extract_all(text, F.lit(r"(?<!\w)\d+\.\d+\.\d+(?!\w)"), F.lit(0))
+    versions = F.transform(found, lambda v: F.transform(F.split(v, r"\."), lambda x: x.try_cast("decimal(38,0)")))
+    return F.array_join(F.transform(F.array_max(versions), lambda x: x.cast("string")), ".")
 
 
 def in_header_order(names: Column, order: list[str]) -> Column:

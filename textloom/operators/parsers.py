@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A file name that stands for a document without a number yet.
-PLACEHOLDER = r"(?i)(?:x{2,}|\?{2,}|draft|template)"
-
 
 def tag_line_headers(docs: DataFrame, aliases: dict[str, dict[str, str]], dimensions: tuple[str, ...] = ("status", "type", "layer")) -> DataFrame:
     """id, title, a column for each dimension, and kind, of documents (id, text) that name their properties in a line of tokens.
@@ -73,7 +70,10 @@ def document_number(value: Column) -> Column:
 
 
 def is_placeholder(path: Column) -> Column:
-    return F.substring_index(path, "/", -1).rlike(PLACEHOLDER)
+    """Whether a file name stands for a document without a number yet: a part after a hyphen, its ending aside, is nothing but three or more x's or question marks."""
+    parts = F.split(F.lower(F.substring_index(path, "/", -1)), "-")
+    later = F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.substring_index(p, ".", 1))
+    return F.exists(later, lambda p: (F.length(p) >= 3) & ((F.translate(p, "x", "") == "") | (F.translate(p, "?", "") == "")))
 
 
 def path_number(path: Column, prefix: str) -> Column:

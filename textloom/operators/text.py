@@ -84,12 +84,25 @@ def list_field(value: Column) -> Column:
     return F.filter(F.transform(F.split(value, "\n"), lambda v: F.trim(v)), lambda v: v != "")
 
 
-def sections(docs: DataFrame, heading: str = r"(?m)^(={2,6})[ \t]*(.+?)[ \t]*\1[ \t]*$") -> DataFrame:
-    """id, name and level of each section, by headings with the same marks on both sides; the first of a name stays."""
-    found = docs.select("id", F.posexplode(F.regexp_extract_all("text", F.lit(heading), 0)).alias("pos", "line"))
-    name = F.lower(F.regexp_replace(F.trim(F.regexp_replace("line", "^=+|=+[ \t]*$", "")), r"\s+", " "))
-    level = F.length(F.regexp_extract("line", "^=+", 0))
-    return found.groupBy("id", name.alias("name")).agg(F.min_by(level, "pos").alias("level"))
+def heading_level(line: Column) -> Column:
+    """The level of a heading, a line of text between two marks at least on either side: the smaller number of marks, six at most; 0 for other lines."""
+    text = F.rtrim(F.regexp_replace(line, r"\s+$", ""))
+    marks = [F.length(F.regexp_extract(text, end, 0)) for end in ("^=*", "=*$")]
+    level = F.least(*marks, F.lit(6))
+    return F.when((level >= 2) & (heading_name(text) != ""), level).otherwise(0)
+
+
+def heading_name(line: Column) -> Column:
+    """The text between the marks of a heading: lower case, white space made one space."""
+    bare = F.btrim(F.btrim(F.regexp_replace(line, r"\s+", " ")), F.lit("="))
+    return F.lower(F.trim(bare))
+
+
+def sections(docs: DataFrame) -> DataFrame:
+    """id, name and level of each section, by headings with marks on both sides; the first of a name stays."""
+    lines = docs.select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    found = lines.select("id", "pos", heading_name(F.col("line")).alias("name"), heading_level(F.col("line")).alias("level")).filter("level > 0")
+    return found.groupBy("id", "name").agg(F.min_by("level", "pos").alias("level"))
 
 
 def html_headings(pages: DataFrame) -> DataFrame:

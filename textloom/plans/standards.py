@@ -15,11 +15,11 @@ _HEADER = """'BIP: ' || doc_id || '\n' || CASE WHEN doc_id % 7 > 0 THEN 'Title:
   || 'Assigned: ' || CASE doc_id % 6 WHEN 0 THEN '?' WHEN 1 THEN '2024-02-30' ELSE '2024-02-29' END || '\n'
   || CASE WHEN doc_id % 8 > 0 THEN 'License: MIT\n' ELSE '' END
   || CASE doc_id % 9 WHEN 0 THEN '' WHEN 1 THEN 'Discussion: 2024-01-02: http://x y\n' ELSE 'Discussion: 2024-01-02: http://x\n' END
-  || CASE WHEN doc_id % 2 = 0 THEN 'Version: 1.2.' || doc_id % 4 || '\n' WHEN doc_id % 10 = 1 THEN 'Version: one\n' ELSE '' END
+  || CASE WHEN doc_id % 2 = 0 THEN 'Version: 1.2.' || doc_id % 4 * 5 || '\n' WHEN doc_id % 10 = 1 THEN 'Version: one\n' ELSE '' END
   || CASE doc_id % 3 WHEN 1 THEN 'Requires: 1, 22\n' WHEN 2 THEN 'Requires: 1,22\n' ELSE '' END || CASE WHEN doc_id % 13 = 0 THEN 'Layer: x\n' ELSE '' END"""
 _TEXT = f"""CASE WHEN doc_id % 11 = 0 THEN '<pre>\n' || {_HEADER} || 'no header\n</pre>\n' ELSE {_HEADER} || '\n' END || '== Abstract ==\n' || coalesce(text, '')
   || CASE WHEN doc_id % 3 > 0 THEN '\n==Motivation==\nwhy' ELSE '' END || CASE WHEN doc_id % 4 > 0 THEN '\n=== Copyright ===\nnone' ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN '\n== Specification ==\nall' ELSE '' END
-  || CASE WHEN doc_id % 6 < 4 THEN '\n==  Change  Log ==\n1.2.0 first, then 1.2.' || doc_id % 3 ELSE '' END"""
+  || CASE WHEN doc_id % 6 < 4 THEN '\n==  Change  Log ==\n1.2.0 first, never 1.2.77x or x1.3.0, then 1.2.' || doc_id % 3 * 5 ELSE '' END"""
 
 _DONE = "doc_id % 5 IN (1, 2)"
 _VERSIONED = "(doc_id % 2 = 0 OR doc_id % 10 = 1)"
@@ -93,7 +93,15 @@ def _identities(t: Tables):
     def version(number, title, role, path):
         return p.identity(number, F.col(title), F.lit("2024-01-05T10:00"), F.col(role), path, "bip")
 
-    candidate = F.when(F.col("turn") % 2 == 0, F.format_string("docs/bip-%04d.md", F.col("conv_id"))).otherwise("docs/bip-xxxx.md")
+    # a number, a placeholder, a draft with a number, and letters that are no placeholder
+    conv = F.col("conv_id")
+    candidate = (
+        F.when(F.col("turn") % 2 == 0, F.format_string("docs/bip-%04d.md", conv))
+        .when(F.col("turn") % 4 == 1, "docs/bip-XXXX.md")
+        .when(conv % 3 == 0, F.format_string("docs/bip-%04d-draft.md", conv))
+        .when(conv % 3 == 1, F.format_string("docs/bip-template-%04d.md", conv))
+        .otherwise(F.format_string("docs/bip-exx%d.md", conv))
+    )
     mine = version(F.lit(None).cast("string"), "title", "role", candidate)
     other = version(F.concat(F.lit("00"), "conv_id"), "first_title", "first_role", F.lit("bip.md"))
     return both.select("conv_id", "turn", mine["number"].alias("number"), p.same_document(mine, other, candidate).alias("same"))
@@ -130,7 +138,7 @@ QUERIES = {
     "flt18_same_document": (
         _identities,
         r"""WITH f AS (SELECT conv_id, turn, role, trim(regexp_replace(lower(trim(regexp_replace(regexp_extract(text, '^[^.]*'), '\s+', ' ', 'g'))), '[^a-z0-9]+', ' ', 'g')) AS title FROM conversations)
-          SELECT a.conv_id, a.turn, CASE WHEN a.turn % 2 = 0 THEN CAST(a.conv_id AS VARCHAR) ELSE '' END AS number,
-            a.turn % 2 = 0 OR (a.title <> '' AND a.title = b.title) OR (lower(trim(a.role)) = lower(trim(b.role)) AND trim(a.role) <> '') AS same FROM f a JOIN f b ON a.conv_id = b.conv_id AND b.turn = 0""",
+          SELECT a.conv_id, a.turn, CASE WHEN a.turn % 4 = 1 THEN '' WHEN a.turn % 4 = 3 AND a.conv_id % 3 = 2 THEN 'exx' || a.conv_id ELSE CAST(a.conv_id AS VARCHAR) END AS number,
+            CASE a.turn % 4 WHEN 1 THEN (a.title <> '' AND a.title = b.title) OR (lower(trim(a.role)) = lower(trim(b.role)) AND trim(a.role) <> '') WHEN 3 THEN a.conv_id % 3 < 2 ELSE true END AS same FROM f a JOIN f b ON a.conv_id = b.conv_id AND b.turn = 0""",
     ),
 }
