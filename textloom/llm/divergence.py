@@ -36,8 +36,9 @@ SCALE = 1_000_000_000
 LEAST_DOCS = 3
 #: Ranks of part `term`.
 TOP = 200
-#: Postings of a block, about.
-BLOCK = 1 << 16
+#: Postings of a block, about; a language of many groups has larger blocks, as each gives a row for each pair.
+BLOCK = 1 << 14
+BLOCK_MAX = 1 << 21
 #: Postings that a row meets in the index at once.
 REACH = 1 << 20
 #: Terms that a task counts before it hands them on, once for each document that they are in.
@@ -183,20 +184,22 @@ def audit_sources(documents: DataFrame, least_docs: int = LEAST_DOCS, top: int =
     # rows without a term are read for the groups alone
     counts = written(counts.filter(kept | F.col("term").isNull()).drop("docs", "term_docs"))
     named = F.col("term").isNotNull()
-    groups = counts.groupBy("lang", "source").agg(F.sum("n").alias("kept_n"), F.sum(F.when(named & (F.col("nth") == 1), 1).otherwise(0)).alias("new_terms"))
-    langs = groups.groupBy("lang").agg(F.sum("new_terms").alias("vocabulary"), F.sum("kept_n").alias("lang_n"))
-    groups = written(groups.drop("new_terms").join(langs, "lang"))
+    groups = counts.groupBy("lang", "source").agg(F.sum("n").alias("kept_n"), F.sum(F.when(named & (F.col("nth") == 1), 1).otherwise(0)).alias("new_terms"), F.count("term").alias("postings"))
+    # enough blocks for a language's postings, but no more than its rows by pair are worth
+    size = F.least(F.greatest(F.lit(block), F.count("*") * F.count("*")), F.lit(BLOCK_MAX))
+    langs = groups.groupBy("lang").agg(F.sum("new_terms").alias("vocabulary"), F.sum("kept_n").alias("lang_n"), F.ceil((F.sum("postings") + 1) / size).alias("blocks"))
+    groups = written(groups.drop("new_terms", "postings").join(langs, "lang"))
     postings = counts.filter(named)
-    n_groups, n_postings = groups.count(), postings.count()
+    n_groups = groups.count()
+    sides = F.broadcast(groups) if n_groups <= BROADCAST else groups
+    placed = postings.join(sides, ["lang", "source"])
 
-    blocks = max(1, -(-n_postings // block))
-    dealt = postings.select("lang", F.pmod(F.xxhash64("term"), F.lit(blocks)).alias("block"), "source", "term", "n")
-    everywhere = groups.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    dealt = placed.select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block"), "source", "term", "n")
+    everywhere = groups.withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
     sums = dealt.groupBy("lang", "block").cogroup(everywhere.groupBy("lang", "block")).applyInArrow(_accumulate, "lang string, source string, item string, value long")
     pairs = sums.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
-    sides = F.broadcast(groups) if n_groups <= BROADCAST else groups
-    rated = postings.join(sides, ["lang", "source"]).select(
+    rated = placed.select(
         "lang", "source", F.col("term").alias("item"), share(F.col("n"), F.col("kept_n") + F.col("vocabulary")).alias("p"), share(F.col("lang_count"), F.col("lang_n") + F.col("vocabulary")).alias("q")
     )
     terms = rated.filter("p > q").select("lang", "source", "item", gap(F.col("p"), F.col("q")).alias("value"))

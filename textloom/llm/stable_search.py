@@ -69,8 +69,9 @@ def chi_square_quantile(trust: float, dims: int = DIMS) -> float:
 
 
 def directions(size: int, dims: int = DIMS) -> np.ndarray:
-    """Fixed Gaussian directions for vectors of a length."""
-    return np.random.default_rng((size, dims)).standard_normal((dims, size))
+    """Fixed Gaussian directions for vectors of a length, with the mean square that the law has."""
+    drawn = np.random.default_rng((size, dims)).standard_normal((dims, size))
+    return drawn / np.sqrt((drawn**2).mean())
 
 
 def project(x: np.ndarray, unit: float) -> np.ndarray:
