@@ -1,7 +1,9 @@
 """Network measures as joins and groupings over edge tables (source, target).
 
 Loops write each round's state to the shared folder and remove the round before: plans stay
-short and survive lost executors.  Only counts and one distance for each round reach the driver.
+short and survive lost executors.  Only counts reach the driver.
+Iterated scores (``operators/centrality.py``) work on many graphs at once; ``page_rank`` and
+``eigenvector`` are their forms for one graph.
 Measures over all shortest paths (closeness, betweenness) keep a row for each origin and node
 that it reaches; ``batches`` works on so many parts of the origins one after another, with the
 same result.
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.shared import forget, written
+from textloom.operators import centrality
 
 
 def simple_edges(edges: DataFrame) -> DataFrame:
@@ -46,66 +49,45 @@ def page_rank(edges: DataFrame, nodes: DataFrame, node: str = "node", weight: st
     """PageRank with dangling weight spread evenly.
 
     Stops when the absolute changes add up to less than the tolerance (times the number of nodes if scaled).
+    Where the rounds end before that, the last scores stand; ``centrality.page_ranks`` tells so.
     """
-    n = nodes.select(node).distinct().count()
-    if n == 0:
-        return nodes.select(node, F.lit(0.0).alias("score"))
-    w = F.col(weight) if weight else F.lit(1)
-    out = edges.groupBy("source").agg(F.sum(w).alias("total"))
-    # the share of its source's rank that each edge carries, computed once
-    shares = written(edges.join(out, "source").select("source", "target", (w / F.col("total")).alias("share")))
-    table = state = written(nodes.select(node).distinct().join(out.select(F.col("source").alias(node), F.lit(False).alias("dangling")), node, "left").select(node, F.coalesce("dangling", F.lit(True)).alias("dangling"), F.lit(1.0 / n).alias("score")))
-    for _ in range(rounds):
-        lost = state.filter("dangling").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
-        flows = shares.join(state, F.col("source") == F.col(node)).groupBy(F.col("target").alias(node)).agg(F.sum(F.col("score") * F.col("share")).alias("flow"))
-        new = damping * (F.coalesce("flow", F.lit(0.0)) + lost / n) + (1 - damping) / n
-        step = written(state.join(flows, node, "left").select(node, "dangling", new.alias("score"), F.abs(new - F.col("score")).alias("change")))
-        change = step.agg(F.sum("change")).first()[0]
-        forget(table)
-        table, state = step, step.drop("change")
-        if change < tolerance * (n if scaled else 1):
-            break
-    return state.select(node, "score")
+    found = centrality.page_ranks(_one_graph(edges), _one_graph(nodes), node, weight, damping, rounds, tolerance, scaled)
+    return found.scores.select(node, "score")
 
 
-def eigenvector(edges: DataFrame, nodes: DataFrame, node: str = "node", weight: str | None = None, shifted: bool = False, rounds: int = 1000, tolerance: float = 1e-6) -> DataFrame:
+def eigenvector(edges: DataFrame, nodes: DataFrame, node: str = "node", weight: str | None = None, shifted: bool = False, rounds: int = 1000, tolerance: float = 1e-6, zero_on_failure: bool = False) -> DataFrame:
     """Power iteration over incoming edges (give both directions of undirected ones).
 
     Starts from equal scores, scales to length 1; all zero if the length becomes 0.
     Shifted adds each node's own score, which converges on bipartite networks too.
+    Where the rounds end before convergence the last scores stand, or zeros if asked for.
     """
-    n = nodes.select(node).distinct().count()
-    state = written(nodes.select(node).distinct().withColumn("score", F.lit(1.0 / max(n, 1) ** 0.5)))
-    w = F.col(weight) if weight else F.lit(1.0)
-    for _ in range(rounds):
-        flows = edges.join(state, F.col("source") == F.col(node)).groupBy(F.col("target").alias("_to")).agg(F.sum(F.col("score") * w).alias("flow"))
-        raw = state.join(flows, F.col(node) == F.col("_to"), "left").select(node, F.col("score").alias("old"), (F.coalesce("flow", F.lit(0.0)) + (F.col("score") if shifted else F.lit(0.0))).alias("raw"))
-        raw = written(raw)
-        norm = raw.agg(F.sqrt(F.sum(F.col("raw") * F.col("raw")))).first()[0]
-        if not norm:
-            return nodes.select(node).distinct().withColumn("score", F.lit(0.0))
-        change = raw.agg(F.sum(F.abs(F.col("raw") / norm - F.col("old")))).first()[0]
-        state = raw.select(node, (F.col("raw") / norm).alias("score"))
-        if change < n * tolerance:
-            break
-    return state
+    found = centrality.eigenvectors(_one_graph(edges), _one_graph(nodes), node, weight, shifted, rounds, tolerance, zero_on_failure)
+    return found.scores.select(node, "score")
+
+
+def _one_graph(table: DataFrame) -> DataFrame:
+    return table.withColumn("graph", F.lit(0))
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, node: str = "node", longest: int | None = None) -> DataFrame:
     """origin, node, distance and paths (their number), level by level from all sources at once; longer paths than ``longest`` are left out if it is given."""
     links = written(simple_edges(edges))
-    found = written(sources.select(F.col(node).alias("origin"), F.col(node).alias("node"), F.lit(0).alias("distance"), F.lit(1).cast("long").alias("paths")).distinct())
-    frontier = found
+    frontier = written(sources.select(F.col(node).alias("origin"), F.col(node).alias("node"), F.lit(0).alias("distance"), F.lit(1).cast("long").alias("paths")).distinct())
+    found, parts = frontier, [frontier]
     for d in count(1):
         if longest is not None and d > longest:
             break
         reached = frontier.join(links, F.col("node") == F.col("source")).groupBy("origin", F.col("target").alias("node")).agg(F.sum("paths").alias("paths"))
         frontier = written(reached.join(found, ["origin", "node"], "left_anti").select("origin", "node", F.lit(d).alias("distance"), "paths"))
+        parts.append(frontier)
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)
         if d % 8 == 0:  # plans stay short
             found = written(found)
+            forget(*parts[:-1])
+            parts = [found, frontier]
     return found
 
 
@@ -200,8 +182,9 @@ def strong_components(edges: DataFrame, node: str = "node") -> DataFrame:
         front = marked = written(colours.filter("node = colour").select("node", "colour"))
         while not front.isEmpty():
             sources = inner.join(front, F.col("target") == F.col("node")).select(F.col("source").alias("node"), "colour").distinct()
-            front = written(sources.join(marked, "node", "left_anti"))
+            before, front = (front, marked), written(sources.join(marked, "node", "left_anti"))
             marked = written(marked.unionByName(front))
+            forget(*{id(x): x for x in before}.values())
         found.append(marked)
         gone = marked.select("node")
         rest = links.join(gone, F.col("source") == F.col("node"), "left_anti").join(gone, F.col("target") == F.col("node"), "left_anti")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from textloom.operators import centrality as ce
 from textloom.operators import graph as gr
 from textloom.operators import review as rv
 from textloom.operators.components import connected_components
@@ -52,7 +53,69 @@ def _paths_sql(edges: str) -> str:
         SELECT s.origin, e.target, s.d + 1, sum(s.paths)::BIGINT FROM steps s JOIN {edges} e ON e.source = s.node JOIN dist x ON x.origin = s.origin AND x.node = e.target AND x.d = s.d + 1 GROUP BY s.origin, e.target, s.d)"""
 
 
+
+def _graphs(t: Tables):
+    """The network of parts by method, relation type and model: the relation types of method R are its models."""
+    found = links(t).withColumn("model", F.when(F.col("method") == "R", F.concat(F.lit("m"), "rel")))
+    return ce.method_graphs(found, "method", "R", published="mF")
+
+
+_METHOD_GRAPHS = f"""WITH {EDGES}, e AS MATERIALIZED (SELECT DISTINCT graph, source, target FROM (
+  SELECT method AS graph, source, target FROM links WHERE method <> 'R' OR rel = 'F' UNION ALL SELECT method || '/' || rel, source, target FROM links WHERE method <> 'R' UNION ALL SELECT 'R@m' || rel, source, target FROM links WHERE method = 'R')),
+  gn AS MATERIALIZED (SELECT graph, item AS node, (SELECT count(*) FROM items) AS n FROM items, (SELECT DISTINCT graph FROM e))"""
+
+
+def _ranks_sql(rounds: int = 40) -> str:
+    """PageRank of each graph, round by round; a graph that has converged keeps its scores."""
+    out = _METHOD_GRAPHS + ", o AS (SELECT graph, source AS node, count(*) AS o FROM e GROUP BY ALL), r0 AS MATERIALIZED (SELECT graph, node, n, o, 1.0::DOUBLE / n AS s, false AS done, 0 AS k, 0.0::DOUBLE AS change FROM gn LEFT JOIN o USING (graph, node))"
+    for k in range(rounds):
+        out += f""", f{k} AS (SELECT x.graph, e.target AS node, sum(x.s / x.o) AS f FROM e JOIN r{k} x ON x.graph = e.graph AND x.node = e.source WHERE NOT x.done GROUP BY ALL),
+          l{k} AS (SELECT graph, sum(CASE WHEN o IS NULL THEN s ELSE 0 END) AS lost FROM r{k} GROUP BY graph),
+          v{k} AS (SELECT r.*, 0.85::DOUBLE * (coalesce(f, 0) + lost / n) + 0.15::DOUBLE / n AS new FROM r{k} r JOIN l{k} USING (graph) LEFT JOIN f{k} f ON f.graph = r.graph AND f.node = r.node),
+          r{k + 1} AS MATERIALIZED (SELECT graph, node, n, o, CASE WHEN done THEN s ELSE new END AS s, done OR sum(abs(new - s)) OVER (PARTITION BY graph) < n * 1e-6 AS done, CASE WHEN done THEN k ELSE {k + 1} END AS k,
+            CASE WHEN done THEN change ELSE sum(abs(new - s)) OVER (PARTITION BY graph) END AS change FROM v{k})"""
+    return out
+
+
+def _values_sql(rounds: int) -> str:
+    """Eigenvector scores of each graph, round by round."""
+    out = _METHOD_GRAPHS + ", r0 AS MATERIALIZED (SELECT graph, node, n, 1 / sqrt(n) AS s, false AS done, 0 AS k FROM gn)"
+    for k in range(rounds):
+        out += f""", f{k} AS (SELECT x.graph, e.target AS node, sum(x.s) AS f FROM e JOIN r{k} x ON x.graph = e.graph AND x.node = e.source WHERE NOT x.done GROUP BY ALL),
+          w{k} AS (SELECT r.*, coalesce(f, 0) AS raw, sqrt(sum(coalesce(f, 0) * coalesce(f, 0)) OVER (PARTITION BY r.graph)) AS norm FROM r{k} r LEFT JOIN f{k} f ON f.graph = r.graph AND f.node = r.node),
+          v{k} AS (SELECT *, CASE WHEN norm > 0 THEN raw / norm ELSE 0 END AS new FROM w{k}),
+          r{k + 1} AS MATERIALIZED (SELECT graph, node, n, CASE WHEN done THEN s ELSE new END AS s, done OR NOT norm > 0 OR sum(abs(new - s)) OVER (PARTITION BY graph) < n * 1e-6 AS done, CASE WHEN done THEN k ELSE {k + 1} END AS k FROM v{k})"""
+    return out
+
+
+def _grid(t: Tables, edges):
+    return items(t).select(F.col("item").alias("node")).join(edges.select("graph").distinct())
+
+
 QUERIES = {
+    "cmp02_graph_ranks": (
+        lambda t: ce.page_ranks(_graphs(t), _grid(t, _graphs(t))).scores.select("graph", "node", F.round("score", 9).alias("score")),
+        _ranks_sql() + " SELECT graph, node, round(s, 9) AS score FROM r40",
+    ),
+    "grf04_outcomes": (
+        lambda t: ce.page_ranks(_graphs(t), _grid(t, _graphs(t))).outcomes.select("graph", "nodes", "rounds", F.round("change", 9).alias("change"), "outcome"),
+        _ranks_sql() + " SELECT graph, n AS nodes, CAST(k AS INT) AS rounds, round(change, 9) AS change, 'converged' AS outcome FROM r40 GROUP BY ALL",
+    ),
+    "cmp02_graph_values": (
+        lambda t: ce.eigenvectors(_graphs(t), _grid(t, _graphs(t))).scores.select("graph", "node", F.round("score", 6).alias("score")),
+        _values_sql(60) + " SELECT graph, node, round(s, 6) AS score FROM r60",
+    ),
+    "grf08_zeros_on_failure": (
+        lambda t: (lambda found: found.outcomes.join(found.scores.groupBy("graph").agg(F.count_if(F.col("score") != 0).alias("scored")), "graph").select("graph", "rounds", "outcome", "scored"))(
+            ce.eigenvectors(_graphs(t), _grid(t, _graphs(t)), rounds=3, zero_on_failure=True)
+        ),
+        _METHOD_GRAPHS + " SELECT graph, CAST(3 AS INT) AS rounds, 'exhausted' AS outcome, CAST(0 AS BIGINT) AS scored FROM e GROUP BY graph",
+    ),
+    "cmp02_summaries": (
+        lambda t: ce.summaries(ce.degrees(_graphs(t), _grid(t, _graphs(t)))).select("graph", "nodes", "edges", "isolated", F.round("density", 12).alias("density")),
+        _METHOD_GRAPHS + """, x AS (SELECT graph, node, (SELECT count(*) FROM e WHERE e.graph = gn.graph AND e.source = gn.node) AS o, (SELECT count(*) FROM e WHERE e.graph = gn.graph AND e.target = gn.node) AS i FROM gn)
+          SELECT graph, count(*) AS nodes, CAST(sum(o) AS BIGINT) AS edges, count(*) FILTER (o = 0 AND i = 0) AS isolated, round(sum(o) / (count(*) * (count(*) - 1)), 12) AS density FROM x GROUP BY graph""",
+    ),
     "grf03_degrees": (
         lambda t: gr.degrees(_dense(t), _names(t)),
         f"""WITH {FLOWS}, {_G} SELECT n_name AS node, (SELECT count(*) FROM g WHERE target = n_name) AS in_degree, (SELECT count(*) FROM g WHERE source = n_name) AS out_degree FROM nation""",
