@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom.plans.bindings import Tables
 
-FAMILIES = ("classification", "authorship", "agreement", "evolution", "text", "conformity", "networks", "views", "standards", "relations", "histories", "composed")
+FAMILIES = ("classification", "authorship", "agreement", "evolution", "text", "conformity", "networks", "views", "standards", "relations", "histories", "composed", "shapes")
 
 
 def _all() -> dict[str, tuple]:
