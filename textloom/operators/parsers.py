@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.shared import written
+from textloom.operators.standards import top_headers
+from textloom.operators.text import header_block, header_fields
+
 
 def tag_line_headers(docs: DataFrame, aliases: dict[str, dict[str, str]], dimensions: tuple[str, ...] = ("status", "type", "layer")) -> DataFrame:
     """id, title, a column for each dimension, and kind, of documents (id, text) that name their properties in a line of tokens.
@@ -48,6 +52,27 @@ def tag_line_headers(docs: DataFrame, aliases: dict[str, dict[str, str]], dimens
     return out.select("id", F.coalesce("title", F.lit("")).alias("title")).join(sums, "id", "left")
 
 
+def historic_fields(docs: DataFrame, aliases: dict[str, dict[str, str]], dimensions: tuple[str, ...] = ("status", "type", "layer")) -> DataFrame:
+    """id, layout and fields of documents (id, text) from any time: a fenced or <pre> block with fields, else header lines at the top, else a line of tokens.
+
+    Each layout is read only where the ones before gave no field; layout is block, headers, tags, or empty.
+    """
+    of_block = header_fields(docs.select("id", header_block(F.col("text")).alias("block")).filter("block is not null"))
+    blocks = of_block.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("block"))
+    found = docs.select("id", "text").join(blocks, "id", "left")
+    headers = F.when(F.col("block").isNull(), top_headers(F.col("text"))["headers"])
+    names = F.array_distinct(F.transform(headers, lambda h: h["name"]))
+    last = lambda n: F.element_at(F.filter(headers, lambda h: h["name"] == n), -1)["value"]
+    found = written(found.withColumn("top", F.when(F.size(headers) > 0, F.map_from_arrays(names, F.transform(names, last)))))
+    rest = found.filter("block is null and top is null")
+    tags = tag_line_headers(rest.select("id", "text"), aliases, dimensions)
+    members = F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("value")) for c in ("title", *dimensions, "kind")])
+    tags = tags.select("id", F.map_from_entries(F.filter(members, lambda m: F.coalesce(m["value"], F.lit("")) != "")).alias("tags"))
+    full = found.join(tags, "id", "left")
+    layout = F.when(F.col("block").isNotNull(), "block").when(F.col("top").isNotNull(), "headers").when(F.size("tags") > 0, "tags").otherwise("")
+    return full.select("id", layout.alias("layout"), F.coalesce("block", "top", "tags", F.create_map().cast("map<string,string>")).alias("fields"))
+
+
 def with_aliases(fields: Column, aliases: dict[str, str], drop: bool = True) -> Column:
     """A map of fields in which each alias's value stands under its canonical name too, unless that key exists; aliases go where asked."""
     for alias, name in aliases.items():

@@ -8,8 +8,11 @@ from textloom.operators import authorship as au
 from textloom.operators import combinations as co
 from textloom.operators import digests as dg
 from textloom.operators import known_ids as ki
+from textloom.operators import parsers as pa
+from textloom.operators import sections as se
 from textloom.operators import timelines as tl
-from textloom.plans.bindings import AUTHORED, EDGES, EVENTS, Tables, authored, links, timeline
+from textloom.plans.bindings import AUTHORED, EDGES, EVENTS, NODES, Tables, authored, links, nodes, timeline
+from textloom.plans.conformity import _CHECKS, _SCORE, _SCORES, _TALLY, _checks
 from textloom.plans.evolution import _PERIODS, _STANDARD, _STATES, _TRANSITIONS, REGIMES
 
 
@@ -114,6 +117,26 @@ QUERIES = {
 }
 
 
+#: A document of one of four layouts, the same expression in Spark and DuckDB.
+_LAYOUTS = """CASE doc_id % 4 WHEN 0 THEN 'Intro' || chr(10) || '<pre>' || chr(10) || '  Title: One' || chr(10) || '  Status: Draft' || chr(10) || '</pre>' || chr(10) WHEN 1 THEN 'Title: Two' || chr(10) || 'Status: Final' || chr(10) || 'Status: Active' || chr(10) || chr(10)
+  WHEN 2 THEN 'NIP-' || doc_id || chr(10) || '======' || chr(10) || chr(10) || 'Three' || chr(10) || '-----' || chr(10) || chr(10) || '`draft` `extra`' || chr(10) ELSE 'no header' || chr(10) END"""
+
+
+def _historic(t: Tables):
+    found = pa.historic_fields(t.documents.select(F.col("doc_id").alias("id"), F.expr(_LAYOUTS).alias("text")), {"status": {"draft": "Draft"}})
+    return found.select("id", "layout", F.try_element_at("fields", F.lit("title")).alias("title"), F.try_element_at("fields", F.lit("status")).alias("status"), F.try_element_at("fields", F.lit("kind")).alias("kind"))
+
+
+_NUM = "CAST({} AS DOUBLE)"
+_AUTHORSHIP = f"""WITH {NODES}, {AUTHORED}, n AS (SELECT author, count(*) AS documents FROM authored GROUP BY author), pairs AS (SELECT x.author AS a, y.author AS b, count(*) AS weight FROM authored x JOIN authored y ON x.id = y.id AND x.author < y.author GROUP BY ALL),
+  d AS (SELECT author, count(*) AS degree FROM (SELECT a AS author FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY author), top AS (SELECT *, row_number() OVER (ORDER BY documents DESC, lower(CAST(author AS VARCHAR)), CAST(author AS VARCHAR)) AS k FROM n)
+  SELECT 'meta' AS section, 'documents' AS key, NULL AS other, {_NUM.format("(SELECT count(*) FROM nodes)")} AS value UNION ALL SELECT 'meta', 'authors', NULL, count(*) FROM n
+  UNION ALL SELECT 'top_authors', CAST(author AS VARCHAR), NULL, documents FROM top WHERE k <= 15 UNION ALL SELECT 'contribution_histogram', CAST(documents AS VARCHAR), NULL, count(*) FROM n GROUP BY documents
+  UNION ALL SELECT 'authors_per_document', CAST(k AS VARCHAR), NULL, count(*) FROM (SELECT count(*) AS k FROM authored GROUP BY id) GROUP BY k UNION ALL SELECT 'documents_per_year', CAST(year AS VARCHAR), NULL, count(*) FROM nodes GROUP BY year
+  UNION ALL SELECT 'top_share', 'documents', NULL, count(*) FROM nodes UNION ALL SELECT 'top_share', 'by_top', NULL, sum(documents) FROM top WHERE k <= 10 UNION ALL SELECT 'top_share', 'percentage', NULL, round(100.0 * sum(documents) / (SELECT count(*) FROM nodes), 2) FROM top WHERE k <= 10
+  UNION ALL SELECT 'collaboration_network', CAST(a AS VARCHAR), CAST(b AS VARCHAR), weight FROM pairs UNION ALL SELECT 'collaboration_degrees', CAST(author AS VARCHAR), NULL, degree FROM d UNION ALL SELECT 'degree_distribution', CAST(degree AS VARCHAR), NULL, count(*) FROM d GROUP BY degree"""
+
+
 def _snapshot_ids(t: Tables):
     """Customers known to a source in each snapshot, some under names that are no numbers."""
     key = F.col("o_custkey")
@@ -123,3 +146,28 @@ def _snapshot_ids(t: Tables):
 def _references(t: Tables):
     key = F.col("o_orderkey")
     return t.orders.select(F.col("o_orderpriority").alias("source"), F.concat(F.when(key % 3 == 0, "x").otherwise(""), key % 2000).alias("id"))
+
+
+QUERIES |= {
+    "prj19_historic_fields": (
+        _historic,
+        """SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'block' WHEN 1 THEN 'headers' WHEN 2 THEN 'tags' ELSE '' END AS layout, CASE doc_id % 4 WHEN 0 THEN 'One' WHEN 1 THEN 'Two' WHEN 2 THEN 'Three' END AS title,
+          CASE doc_id % 4 WHEN 0 THEN 'Draft' WHEN 1 THEN 'Active' WHEN 2 THEN 'Draft' END AS status, CASE WHEN doc_id % 4 = 2 THEN 'extra' END AS kind FROM documents""",
+    ),
+    "cmp03_authorship_payload": (lambda t: se.authorship_payload(nodes(t), authored(t)).filter("section <> 'cluster_sizes'"), _AUTHORSHIP),
+    "cmp04_classification_payload": (
+        lambda t: se.classification_payload(nodes(t)),
+        f"""WITH {NODES}, k AS (SELECT year, coalesce(nullif(trim(layer), ''), 'Unknown') AS layer, coalesce(nullif(trim(status), ''), 'Unknown') AS status, coalesce(nullif(trim(type), ''), 'Unknown') AS type FROM nodes),
+          f AS (SELECT * FROM k WHERE layer <> 'Unknown' AND status <> 'Unknown' AND type <> 'Unknown')
+          SELECT 'meta' AS section, 'nodes' AS key, NULL AS other, CAST(count(*) AS DOUBLE) AS value FROM nodes UNION ALL SELECT 'sankey_full', layer, status, count(*) FROM f GROUP BY ALL UNION ALL SELECT 'sankey_full', status, type, count(*) FROM f GROUP BY ALL
+          UNION ALL SELECT 'sankey_grouped', layer, status, count(*) FROM k GROUP BY ALL UNION ALL SELECT 'sankey_grouped', status, type, count(*) FROM k GROUP BY ALL
+          UNION ALL SELECT 'status_over_time', CAST(year AS VARCHAR), status, count(*) FROM k WHERE year IS NOT NULL GROUP BY year, status""",
+    ),
+    "cmp06_conformity_payload": (
+        lambda t: se.conformity_payload(_checks(t)),
+        f"""WITH {_CHECKS}, {_SCORES}, c AS (SELECT standard, "check", passed, failed, skipped, {_SCORE} AS pass_rate FROM (SELECT standard, "check", {_TALLY} FROM checks GROUP BY ALL))
+          SELECT 'average_score_by_standard' AS section, standard AS key, NULL AS other, CAST(round(avg(score), 2) AS DOUBLE) AS value FROM scores WHERE standard IS NOT NULL GROUP BY standard
+          UNION ALL SELECT 'check_passed', "check", standard, passed FROM c UNION ALL SELECT 'check_failed', "check", standard, failed FROM c UNION ALL SELECT 'check_skipped', "check", standard, skipped FROM c
+          UNION ALL SELECT 'check_pass_rate', "check", standard, pass_rate FROM c WHERE pass_rate IS NOT NULL UNION ALL SELECT 'per_document', CAST(id AS VARCHAR), standard, score FROM scores""",
+    ),
+}
