@@ -18,6 +18,19 @@ def _dense(t: Tables, method: str | None = "A"):
     return (found if method is None else found.filter(F.col("method") == method)).select("source", "target").distinct()
 
 
+def _parts(t: Tables, method: str | None = "R"):
+    """The network of parts by one method, or by all."""
+    found = links(t)
+    return (found if method is None else found.filter(F.col("method") == method)).select("source", "target").distinct()
+
+
+def _part_names(t: Tables):
+    return items(t).select(F.col("item").alias("node"))
+
+
+_PG = "g AS MATERIALIZED (SELECT DISTINCT source, target FROM links WHERE method = 'R')"
+
+
 def _names(t: Tables):
     return t.nation.select(F.col("n_name").alias("node"))
 
@@ -117,8 +130,9 @@ QUERIES = {
           SELECT graph, count(*) AS nodes, CAST(sum(o) AS BIGINT) AS edges, count(*) FILTER (o = 0 AND i = 0) AS isolated, round(sum(o) / (count(*) * (count(*) - 1)), 12) AS density FROM x GROUP BY graph""",
     ),
     "grf03_degrees": (
-        lambda t: gr.degrees(_dense(t), _names(t)),
-        f"""WITH {FLOWS}, {_G} SELECT n_name AS node, (SELECT count(*) FROM g WHERE target = n_name) AS in_degree, (SELECT count(*) FROM g WHERE source = n_name) AS out_degree FROM nation""",
+        lambda t: gr.degrees(_parts(t), _part_names(t)),
+        f"""WITH {EDGES}, {_PG}, o AS (SELECT source AS node, count(*) AS n FROM g GROUP BY source), i AS (SELECT target AS node, count(*) AS n FROM g GROUP BY target)
+          SELECT item AS node, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree FROM items LEFT JOIN o ON o.node = item LEFT JOIN i ON i.node = item""",
     ),
     "grf03_summary": (
         lambda t: gr.summary(links(t).select("source", "target").distinct(), items(t), "item"),
@@ -149,13 +163,13 @@ QUERIES = {
         f"""WITH RECURSIVE {FLOWS}, {_G}, {_paths_sql("g")} SELECT origin AS node, round(coalesce(CASE WHEN sum(d) > 0 THEN (count(*) - 1) / sum(d) * ((count(*) - 1) / 24) END, 0), 9) AS score FROM dist GROUP BY origin""",
     ),
     "grf12_components": (
-        lambda t: connected_components(_dense(t, "R"), "source", "target"),
-        f"""WITH RECURSIVE {FLOWS}, g AS (SELECT DISTINCT source, target FROM flows WHERE method = 'R'), {_U},
+        lambda t: connected_components(_parts(t), "source", "target"),
+        f"""WITH RECURSIVE {EDGES}, {_PG}, {_U},
           reach AS (SELECT source AS node, source AS other FROM u UNION SELECT r.node, u.target FROM reach r JOIN u ON u.source = r.other) SELECT node, min(other) AS component FROM reach GROUP BY node""",
     ),
     "grf13_strong_components": (
-        lambda t: gr.strong_components(_dense(t, "N")),
-        f"""WITH RECURSIVE {FLOWS}, g AS (SELECT DISTINCT source, target FROM flows WHERE method = 'N'), reach AS (SELECT source, target FROM g UNION SELECT r.source, g.target FROM reach r JOIN g ON g.source = r.target)
+        lambda t: gr.strong_components(_parts(t)),
+        f"""WITH RECURSIVE {EDGES}, {_PG}, reach AS (SELECT source, target FROM g UNION SELECT r.source, g.target FROM reach r JOIN g ON g.source = r.target)
           SELECT a.source AS node, least(min(a.target), a.source) AS component FROM reach a JOIN reach b ON b.source = a.target AND b.target = a.source WHERE a.source <> a.target GROUP BY a.source""",
     ),
     "grf14_simple_cycles": (
@@ -169,14 +183,14 @@ QUERIES = {
           SELECT CAST(coalesce(max(d), 0) AS INT) AS depth FROM dist WHERE origin NOT IN (SELECT target FROM g)""",
     ),
     "flt13_neighbourhood": (
-        lambda t: gr.neighbourhood(_dense(t), _names(t).filter("node < 'NATION_12'")),
-        f"WITH {FLOWS}, {_G} SELECT * FROM g WHERE source < 'NATION_12' OR target < 'NATION_12'",
+        lambda t: gr.neighbourhood(_parts(t, None), _part_names(t).filter("node < 'PART_12'")),
+        f"WITH {EDGES}, g AS (SELECT DISTINCT source, target FROM links) SELECT * FROM g WHERE source < 'PART_12' OR target < 'PART_12'",
     ),
     "flt14_least_degree": (
-        lambda t: gr.least_degree(_dense(t), 5),
-        f"WITH {FLOWS}, {_G}, d AS (SELECT n FROM (SELECT source AS n FROM g UNION ALL SELECT target FROM g) GROUP BY n HAVING count(*) >= 5) SELECT * FROM g WHERE source IN (FROM d) AND target IN (FROM d)",
+        lambda t: gr.least_degree(_parts(t), 9),
+        f"WITH {EDGES}, {_PG}, d AS (SELECT n FROM (SELECT source AS n FROM g UNION ALL SELECT target FROM g) GROUP BY n HAVING count(*) >= 9) SELECT * FROM g WHERE source IN (FROM d) AND target IN (FROM d)",
     ),
-    "sup17_induced": (lambda t: gr.induced(_dense(t), _names(t).filter("node > 'NATION_2'")), f"WITH {FLOWS}, {_G} SELECT * FROM g WHERE source > 'NATION_2' AND target > 'NATION_2'"),
+    "sup17_induced": (lambda t: gr.induced(_parts(t, None), _part_names(t).filter("node > 'PART_2'")), f"WITH {EDGES}, g AS (SELECT DISTINCT source, target FROM links) SELECT * FROM g WHERE source > 'PART_2' AND target > 'PART_2'"),
     "val01_edge_violations": (
         lambda t: rv.edge_violations(_curated(t), ["bips", "slips"], ["F", "O"]),
         f"""WITH {EDGES}, {{curated}}, k AS (SELECT *, count(*) OVER (PARTITION BY source, target, rel) AS same, min(rel) OVER (PARTITION BY source, target) <> max(rel) OVER (PARTITION BY source, target) AS clash FROM c)
@@ -195,8 +209,8 @@ QUERIES = {
           SELECT status, layer, CAST(6 + CASE WHEN k <= 10 THEN 1 ELSE 0 END AS BIGINT) AS count FROM r""",
     ),
     "top08_density_buckets": (
-        lambda t: gr.degrees(_dense(t), _names(t)).select("node", rv.density_bucket(F.col("out_degree"), 3).alias("bucket")),
-        f"WITH {FLOWS}, {_G} SELECT n_name AS node, CASE WHEN count(target) = 0 THEN 'none' WHEN count(target) < 3 THEN 'low' ELSE 'high' END AS bucket FROM nation LEFT JOIN g ON source = n_name GROUP BY n_name",
+        lambda t: gr.degrees(_parts(t), _part_names(t)).select("node", rv.density_bucket(F.col("out_degree"), 3).alias("bucket")),
+        f"WITH {EDGES}, {_PG} SELECT item AS node, CASE WHEN count(target) = 0 THEN 'none' WHEN count(target) < 3 THEN 'low' ELSE 'high' END AS bucket FROM items LEFT JOIN g ON source = item GROUP BY item",
     ),
     "flt01_focus": (lambda t: rv.in_focus(t.part.select(F.col("p_partkey").alias("id")), "1-9,30-44,85,a0"), "SELECT p_partkey AS id FROM part WHERE p_partkey BETWEEN 1 AND 9 OR p_partkey BETWEEN 30 AND 44 OR p_partkey = 85"),
     "flt02_filter_expression": (
