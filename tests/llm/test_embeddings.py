@@ -65,3 +65,19 @@ def test_each_pair_within_budget_meets_once():
             assert once.max() == 1
             met += once
         assert met[near].min() >= 1
+
+
+def test_very_large_and_small_doubles(spark):
+    """Six vectors that point almost the same way, and as many the other way, at lengths whose squares leave the doubles."""
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal(32)
+    rows = [(i, ((1 if i < 6 else -1) * (base + 0.01 * rng.standard_normal(32)) * 10.0 ** (200, -200, 0, 250, -250, 3)[i % 6]).tolist()) for i in range(12)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in em.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (5, 0 if i < 6 else 6) for i in range(12)}
+
+
+def test_vectors_of_one_hash_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(em, "_hash", lambda column: em.F.lit(7).cast("long"))
+    rows = [(i, [float(i % 3), 1.0, float(i % 2)]) for i in range(12)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, em.link_vectors(frame).collect())) == brute(rows)

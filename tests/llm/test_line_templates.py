@@ -116,3 +116,12 @@ def test_passages_inside_other_words_go(spark):
     assert got[1].text == rows[0][1] and got[4].text == rows[3][1]
     assert got[2].text == "Quite different start of it; then comes this." and got[3].text == "The last of them all here."
     assert (got[2].n_dropped, got[2].n_cut) == (0, 5)
+
+
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    line = "one passage of plain words that several rows without any name share among them"
+    rows = [(None, line), (None, line), (None, line + "\nits own words stand here and nowhere else in any other row")]
+    got = lt.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.n_dropped for r in got) == 2 and sum(line in r.text for r in got) == 1 and any("its own words" in r.text for r in got)
+    named = spark.createDataFrame([(5, line), (None, line)], "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in lt.drop_recurring_lines(named).collect()} == {(5, line), (None, "")}

@@ -30,7 +30,7 @@ from typing import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.shared import written
@@ -101,8 +101,14 @@ def _by_length(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBa
         yield rows, np.array(rows.column(column).flatten().to_numpy(zero_copy_only=False)).reshape(-1, size)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision times powers of two, which change no digit, so that no square overflows or vanishes."""
     x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -192,7 +198,7 @@ def _links_of(cosine: float, kind: type):
         turned, norm = np.empty((len(data), part.stop - part.start)), np.empty(len(data))
         for at in range(0, len(data), 1 << 13):
             some = slice(at, at + (1 << 13))
-            x = data[some].astype(np.float64)
+            x = _scaled(data[some])
             norm[some] = np.linalg.norm(x, axis=1)
             turned[some] = (x / norm[some, None]) @ turn[part].T
         names, name = np.unique(key, return_inverse=True)
@@ -202,7 +208,7 @@ def _links_of(cosine: float, kind: type):
             for p, q in _near(turned[left], turned[right], budget, after):
                 for at in range(0, len(p), 1 << 15):
                     a, b = left[p[at : at + (1 << 15)]], right[q[at : at + (1 << 15)]]
-                    x, y = data[a].astype(np.float64), data[b].astype(np.float64)
+                    x, y = _scaled(data[a]), _scaled(data[b])
                     close = (x * y).sum(1) / (norm[a] * norm[b]) >= cosine
                     a, b = a[close], b[close]
                     apart = ((x[close] / norm[a, None] - y[close] / norm[b, None]) @ turn.T) ** 2
@@ -253,15 +259,20 @@ class Forest:
             self.root = self.root[self.root]
 
 
+def _hash(column: str) -> Column:
+    return F.xxhash64(column)
+
+
 def link_vectors(vectors: DataFrame, cosine: float = COSINE, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"))
     kind = np.float32 if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64
     rows = rows if kind is np.float32 else rows.withColumn("vector", F.col("vector").cast("array<double>"))
     sound = F.coalesce(F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0), F.lit(False))
-    rows = rows.withColumn("vector", F.when(sound, F.col("vector"))).withColumn("key", F.xxhash64("vector"))
+    rows = rows.withColumn("vector", F.when(sound, F.col("vector"))).withColumn("hash", _hash("vector"))
     linked = rows.filter("vector is not null")
-    classes = written(linked.groupBy("key", "vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id")))
+    # classes are numbered where they are written, so that vectors of one hash stay apart
+    classes = written(linked.groupBy("hash", "vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id")).withColumn("key", F.monotonically_increasing_id()))
     # each coordinate of the grid about halves a cell
     split = max(1, (classes.count() // tile).bit_length())
     # only cells of several tiles are listed: one row for a tile's worth of visits at most
@@ -271,10 +282,10 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, tile: int = TILE) -
     found = written(dealt.groupBy("cell", "i", "j").applyInArrow(_links_of(cosine, kind), "a long, b long, n long"))
     counts = found.filter("n > 0").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("others"))
     parts = connected_components(found.filter("a <> b")).withColumnRenamed("node", "key")
-    rooted = classes.drop("vector").join(counts, "key", "left").join(parts, "key", "left").withColumn("root", F.coalesce("component", "key"))
+    rooted = classes.join(counts, "key", "left").join(parts, "key", "left").withColumn("root", F.coalesce("component", "key"))
     lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    result = rooted.join(lowest, "root").select("key", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    same = rows.filter("vector is not null").select("vec_id", "key").join(result, "key").select("vec_id", "n_links", "component_id")
+    result = rooted.join(lowest, "root").select("hash", "vector", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    same = linked.join(result, ["hash", "vector"]).select("vec_id", "n_links", "component_id")
     alone = rows.filter("vector is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return same.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

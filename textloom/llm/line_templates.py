@@ -15,7 +15,7 @@ Lines with fewer than ``LEAST`` fixed tokens say little: their exact templates a
 only if ``SHORT_DOCS`` documents have them.  Lines without a fixed token always stay.
 
 Cases: a null or empty text stays as it is, with 0 and 1 lines; rows of one doc_id are one
-document; a null doc_id comes after all others; repeats inside one document stay; a line
+document; a row without an id is a document of its own, after all others (ids below 2^62); repeats inside one document stay; a line
 that loses sentences gets single spaces; columns of docs named like those of the result
 are replaced, others stay whatever their names.
 """
@@ -86,9 +86,19 @@ def _sentence_key(toks: Column) -> Column:
     return F.when(_fixed(toks) >= LEAST_SENTENCE, _exact(toks))
 
 
-def _templates(docs: DataFrame, own: Column) -> tuple[DataFrame, DataFrame]:
-    """Templates (doc, unit, template) of long lines and sentences, and (doc, template) of short lines."""
-    lines = docs.select(own.alias("doc"), F.explode(F.split("text", "\n")).alias("line")).select("doc", _tidy(F.col("line")).alias("tidy"))
+def _owned(docs: DataFrame) -> DataFrame:
+    """row (all columns) and own (the document's number) of docs; rows without an id are numbered where they are written, if there are any."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("own"))
+    nameless = docs.filter("doc_id is null")
+    if nameless.isEmpty():
+        return rows
+    numbered = written(nameless.select(F.struct(*docs.columns).alias("row"), (F.lit(_LAST) - F.monotonically_increasing_id()).alias("own")))
+    return rows.filter("own is not null").unionByName(numbered)
+
+
+def _templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Templates (doc, unit, template) of long lines and sentences, and (doc, template) of short lines, of documents (doc, text)."""
+    lines = docs.select("doc", F.explode(F.split("text", "\n")).alias("line")).select("doc", _tidy(F.col("line")).alias("tidy"))
     split = lines.select("doc", F.transform(_sentences(F.col("tidy")), _tokens).alias("parts")).select("doc", "parts", F.flatten("parts").alias("toks"))
     toks, fixed = F.col("toks"), F.col("fixed")
     several = (F.size("parts") > 1) & (F.size(toks) >= LONG)
@@ -109,8 +119,8 @@ def _templates(docs: DataFrame, own: Column) -> tuple[DataFrame, DataFrame]:
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     """docs with recurring lines and sentences taken out of ``text``, and the columns n_lines, n_dropped and n_cut (sentences taken out of lines that stay)."""
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    members, short = _templates(docs, own)
+    rows = _owned(docs)
+    members, short = _templates(rows.select(F.col("own").alias("doc"), F.col("row.text").alias("text")))
     first = members.groupBy("template").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
     dropped = members.join(first.drop("last"), "template").filter("doc > first").select("doc", "unit")
     short = short.distinct()
@@ -118,7 +128,7 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     dropped = dropped.unionByName(short.join(many, "template").filter("doc > first").select("doc", F.col("template").alias("unit")))
     gone = dropped.groupBy("doc").agg(F.collect_set("unit").alias("gone")).select(F.struct("doc", "gone").alias("found"))
     # docs as one column, so that no name of theirs can clash; lines bound as lambda variables are taken apart once
-    joined = docs.select(F.struct(*docs.columns).alias("row"), own.alias("own")).join(gone, F.col("own") == F.col("found.doc"), "left")
+    joined = rows.join(gone, F.col("own") == F.col("found.doc"), "left")
     text, listed = F.col("row.text"), F.col("found.gone")
     parted = F.transform(F.transform(F.transform(F.split(text, "\n"), _tidy), _sentences), lambda s: F.struct(s.alias("shown"), F.transform(s, _tokens).alias("toks")))
     keyed = F.transform(
