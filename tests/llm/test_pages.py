@@ -138,3 +138,45 @@ def test_deep_nesting_takes_linear_time_and_memory():
     before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
     pages.main_text("<div class=some-name>" * 32000 + "deep", set())
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 60_000  # kB
+
+
+SHOP = "<html><body><div class=line>{head}</div><div class=box><p>{a}</p><p>{b}</p></div><div class=low><p>{legal}</p><div class=inner>{more}</div></div></body></html>"
+
+
+def plain_texts(rows):
+    """Texts of pages whose elements say nothing of what they are: blocks whose branch is unimportant go, by the plain importance of each host."""
+    sites = {}
+    for _, url, html in rows:
+        sites.setdefault(url.split("/")[2], set()).add(html)
+    low = {site: {pages.node_of(n) for n, v in plain_importance(sorted(htmls)).items() if v < pages.IMPORTANT} if len(htmls) >= pages.LEAST_PAGES else set() for site, htmls in sites.items()}
+    out = {}
+    for page_id, url, html in rows:
+        blocks, elements = pages.parse(html)
+        dead = low[url.split("/")[2]]
+        below = {}
+        for e in reversed(elements):
+            below[id(e)] = below.get(id(e), False) or e.node not in dead
+            below[id(e.parent)] = below.get(id(e.parent), False) or below[id(e)]
+        out[page_id] = "\n".join(t for t, e in blocks if below[id(e)])
+    return out
+
+
+def test_texts_of_hosts_with_many_pages_rest_on_the_tree(spark):
+    """Hosts of 24 pages, one with banners, legal lines and boxes that repeat under names that say nothing; and a host of too few pages."""
+    rows = []
+    for h in range(3):
+        for i in range(24):
+            head = "Always the same line" if h < 2 else f"Line {i}"
+            rows.append((len(rows), f"http://h{h}.example/{i}", SHOP.format(head=head, a=f"Story {h} {i}", b=f"Told on day {i}", legal="All rights", more="Part of a group" if h else f"Unlike {i}")))
+    rows += [(len(rows) + i, f"http://few.example/{i}", SHOP.format(head="Same", a=f"x{i}", b="y", legal="z", more="w")) for i in range(3)]
+    got = {r.page_id: r.text for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == plain_texts(rows)
+    off = {i: pages.main_text(html, set()) for i, _, html in rows}
+    assert sum(got[i] != off[i] for i in got) == 72 and all(got[i] == off[i] for i in range(72, 75))
+    assert got[0] == "Story 0 0\nTold on day 0\nUnlike 0" and got[30] == "Story 1 6\nTold on day 6"
+
+
+def test_reasons_add_up():
+    html = "<body><div class=a>Top</div><nav>Menu</nav><article><p>Story told at length</p><div class=b>Repeated</div></article><p>Beside</p></body>"
+    low = {pages.node_of(x) for x in ("/body/div.a", "/body/article/div.b", "/body/nav")}
+    assert pages.removed_by(html, low) == {"kept": 1, "tree": 3, "scope": 1} and pages.removed_by(html, set()) == {"kept": 2, "name": 1, "scope": 2}

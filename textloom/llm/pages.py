@@ -247,16 +247,39 @@ def _in_scope(blocks: list[tuple[str, Element]]) -> list[tuple[str, Element]]:
 
 def main_text(html: str | None, low: set[int]) -> str:
     """Blocks of the article, or of the page, without furniture and branches of low nodes."""
+    return "\n".join(t for t, _ in _kept(_judged(html, low)))
+
+
+def removed_by(html: str | None, low: set[int]) -> Counter:
+    """How many blocks stay (kept), and how many go because the tree says so (tree), else because of what their elements are called (name), else because they lie outside the article (scope)."""
+    blocks = _judged(html, low)
+    stay = Counter(id(e) for _, e in _kept(blocks))
+    reasons: Counter = Counter()
+    for _, e in blocks:
+        if stay[id(e)]:
+            stay[id(e)] -= 1
+            reasons["kept"] += 1
+        else:
+            reasons["name" if (e if e.block else e.parent).alive and e.noise else "tree" if not (e if e.block else e.parent).alive else "scope"] += 1
+    return reasons
+
+
+def _judged(html: str | None, low: set[int]) -> list[tuple[str, Element]]:
+    """Blocks of a page; elements with nothing important in them, by the tree, are not alive."""
     blocks, elements = parse(html or "")
     for e in reversed(elements):
         e.alive |= e.node not in low
         e.parent.alive |= e.alive
+    return blocks
+
+
+def _kept(blocks: list[tuple[str, Element]]) -> list[tuple[str, Element]]:
     sure = [(t, e) for t, e in blocks if not e.noise and not e.doubtful]
     kept = _in_scope(sure)
     if not kept:
         inside = _in_scope([(t, e) for t, e in blocks if not e.noise and e.doubtful])
         kept = max(sure, inside, key=lambda part: sum(len(t) for t, _ in part))
-    return "\n".join(t for t, _ in _important(kept))
+    return _important(kept)
 
 
 def _important(kept: list[tuple[str, Element]]) -> list[tuple[str, Element]]:
@@ -327,11 +350,17 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     salted = low.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
     read = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"))
     read = read.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int"))
-    joined = read.join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "low")
+    joined = read.join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "low", "host")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h.as_py(), set(p.as_py() or ())) for h, p in zip(batch.column(2), batch.column(3))]
+            # one set for all pages of a host in the batch
+            of_host: dict[str, set[int]] = {}
+            texts = []
+            for h, p, site in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist()):
+                if site not in of_host:
+                    of_host[site] = set(p.as_py() or ())
+                texts.append(main_text(h.as_py(), of_host[site]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
