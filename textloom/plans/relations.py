@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import payloads as y
 from textloom.operators import references as r
+from textloom.operators import relation_fields as rf
 from textloom.operators import validation as v
 from textloom.plans.bindings import EDGES, Tables, items, links
 
@@ -65,7 +66,33 @@ _W = """k AS (SELECT *, rank() OVER (PARTITION BY method, metric, scope ORDER BY
   s AS (SELECT scope, metric, item, sum(ar) AS r FROM k GROUP BY ALL), q AS (SELECT scope, metric, sum(r * r) - sum(r) * sum(r) / count(*) AS s, count(*) AS n FROM s GROUP BY ALL),
   g AS (SELECT scope, method, metric, score, count(*) AS t FROM scoped GROUP BY ALL), tie AS (SELECT scope, metric, sum(t * t * t - t) AS ties, count(DISTINCT method) AS m FROM g GROUP BY ALL)"""
 
+_KEY = f"""CASE o_orderkey % 6 WHEN 0 THEN 'nips:' || {_HEXED.format("printf('%X', o_orderkey % 300)")} WHEN 2 THEN 'slips:' || o_orderkey % 90 WHEN 4 THEN 'bips:7'
+  WHEN 5 THEN NULL ELSE CASE WHEN o_orderkey % 500 <= 400 THEN 'bips:' || o_orderkey % 500 END END"""
+
+
+def _findings(t: Tables):
+    """A customer's orders as what a model found in one document, in order of their keys."""
+    k = F.col("o_orderkey")
+    return t.orders.select(
+        (F.col("o_custkey") % 500).alias("id"), F.struct("o_custkey", "o_orderkey").alias("pos"), F.expr(_TARGET).alias("target"), F.when(k % 3 == 0, " Requires").when(k % 3 == 1, "odd").alias("type"),
+        F.concat(F.lit(" "), F.col("o_orderpriority")).alias("evidence"), F.lit(None).cast("string").alias("reason"), F.when(k % 4 == 0, "HIGH ").when(k % 4 == 1, "medium").when(k % 4 == 2, "sure").alias("confidence"),
+    )
+
+
 QUERIES = {
+    "txt05_header_targets": (
+        lambda t: rf.header_targets(
+            t.customer.select(F.col("c_custkey").alias("id"), F.lit("requires").alias("type"), F.concat(F.lit(" slip "), F.col("c_custkey") % 90, F.lit(", BIP-00"), F.col("c_custkey") % 500, F.lit(",7 , junk,, 7,nips:0"), F.col("c_custkey") % 10).alias("value")), _SOURCES, _SOURCES[0]
+        ),
+        """WITH k AS (SELECT c_custkey AS id, 1 AS s, CAST(c_custkey % 500 AS BIGINT) AS n, 'bips:' || c_custkey % 500 AS target FROM customer WHERE c_custkey % 500 <= 400 UNION SELECT c_custkey, 1, 7, 'bips:7' FROM customer
+            UNION SELECT c_custkey, 2, c_custkey % 90, 'slips:' || c_custkey % 90 FROM customer UNION SELECT c_custkey, 3, c_custkey % 10, 'nips:0' || c_custkey % 10 FROM customer)
+          SELECT id, 'requires' AS type, CAST(row_number() OVER (PARTITION BY id ORDER BY s, n) AS INT) AS position, target FROM k""",
+    ),
+    "txt06_model_findings": (
+        lambda t: rf.model_findings(_findings(t), _SOURCES, _SOURCES[0], ["requires", "references"]),
+        f"""WITH k AS (SELECT o_custkey % 500 AS id, o_custkey, o_orderkey, {_KEY} AS target, o_orderpriority FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY id, target ORDER BY o_custkey, o_orderkey) AS nth FROM k WHERE target IS NOT NULL AND (id > 400 OR target <> 'bips:' || id))
+          SELECT id, target, CASE WHEN o_orderkey % 3 = 0 THEN 'requires' ELSE 'references' END AS type, o_orderpriority AS evidence, '' AS reason, CASE o_orderkey % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence FROM n WHERE nth = 1""",
+    ),
     "txt01_references": (
         lambda t: r.find_references(t.orders.select(F.col("o_orderkey").alias("id"), F.expr(_NOTE).alias("text")), _SOURCES),
         f"WITH {_FOUND} SELECT id, h.slug AS slug, h.target AS target, count(*) AS n FROM hits WHERE h.target IS NOT NULL GROUP BY ALL",
