@@ -72,7 +72,7 @@ def test_snapshots_and_merges(spark, tmp_path):
     sinks.write_snapshot(one, root, "2024-02-01")
     sinks.write_snapshot(one.filter("id = 2"), root, "2024-02-01")
     assert spark.read.parquet(root).groupBy("snapshot").count().count() == 2 and spark.read.parquet(root).count() == 3
-    assert [r.snapshot.isoformat() for r in ds.snapshots(spark, root).collect()] == ["2024-01-01", "2024-02-01"]
+    assert [r.snapshot for r in ds.snapshots(spark, root).collect()] == ["2024-01-01", "2024-02-01"]
     new = spark.createDataFrame([(2, None), (3, "n")], "id int, v string")
     assert sorted(tuple(r) for r in sinks.merged_snapshot(new, one, "id").collect()) == [(2, "b", "k"), (3, "n", None)]
     assert [r.id for r in sinks.stale_rows(one, new, "id").collect()] == [1]

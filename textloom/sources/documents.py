@@ -42,7 +42,7 @@ def read_texts(spark: SparkSession, path: str, name_pattern: str = ".*") -> Data
 
 
 def read_curated(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """A table of text columns: tab- or comma-separated as its header says, comments and blank lines left out, trimmed, with line."""
+    """A table of text columns: tab- or comma-separated as its header says, comments and blank lines left out, trimmed."""
     head = spark.read.text(path).filter(~F.col("value").rlike(r"^\s*(#|$)")).first()
     if head is None:
         return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
@@ -78,8 +78,9 @@ def git_log(lines: DataFrame, text: str = "value") -> DataFrame:
 
 
 def snapshots(spark: SparkSession, root: str) -> DataFrame:
-    """snapshot of a table partitioned by it; only folder names are read."""
-    return spark.read.parquet(root).select("snapshot").distinct().orderBy("snapshot")
+    """snapshot (text) of a table partitioned by it, in order, from the names of its files; none is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return files.select(F.regexp_extract("path", "/snapshot=([^/]+)/", 1).alias("snapshot")).filter("snapshot <> ''").distinct().orderBy("snapshot")
 
 
 def common_snapshots(listed: DataFrame) -> DataFrame:

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_csv(rows: DataFrame, path: str, separator: str = ",") -> None:
-    """Header and rows, columns in the order of the table; an empty table leaves its header."""
-    rows.coalesce(1).write.mode("overwrite").option("header", True).option("sep", separator).csv(path)
+def write_csv(rows: DataFrame, path: str, separator: str = ",", whole: bool = True) -> None:
+    """Header and rows, columns in the order of the table; an empty table leaves its header.
+
+    One file, for tables that people open; a large table is written by all tasks, not whole.
+    """
+    (rows.coalesce(1) if whole else rows).write.mode("overwrite").option("header", True).option("sep", separator).csv(path)
 
 
 def write_network_csv(nodes: DataFrame, edges: DataFrame, path: str) -> None:
