@@ -175,6 +175,10 @@ def test_strong_components_equal_brute_force(spark):
     frame = spark.createDataFrame(sorted(edges), "source long, target long")
     assert {tuple(x) for x in graph.strong_components(frame).collect()} == want and len(want) > 9
     assert graph.strong_components(frame.limit(0)).count() == 0
+    # a long chain, a ring, a ring behind it, and a chain that leads back to where it starts take a few rounds
+    rings = [(i, i + 1) for i in range(100, 160)] + [(i, i + 1) for i in range(200, 230)] + [(230, 200), (300, 301), (301, 302), (302, 300), (160, 300), (400, 401), (401, 402), (402, 400), (400, 403)]
+    got = {tuple(x) for x in graph.strong_components(spark.createDataFrame(rings, "source long, target long")).collect()}
+    assert got == {(i, 200) for i in range(200, 231)} | {(300, 300), (301, 300), (302, 300), (400, 400), (401, 400), (402, 400)}
     typed = spark.createDataFrame([("m", f"b:{a}", f"b:{b}", "depends_on") for a, b in edges] + [("k", "b:1", "b:2", "depends_on")], "method string, source string, target string, rel string")
     groups = {x.method: (x.edges, x.cyclic_groups, x.involved) for x in y.dependency_groups(typed).collect()}
     assert groups == {"m": (len(edges), len({k for _, k in want}), len(want)), "k": (1, 0, 0)}

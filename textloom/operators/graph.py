@@ -158,14 +158,14 @@ def _trimmed(links: DataFrame) -> DataFrame:
     return links
 
 
-def strong_components(edges: DataFrame, node: str = "node") -> DataFrame:
-    """node and component (its smallest node) of strongly connected components of two nodes and more.
+def _coloured(links: DataFrame) -> DataFrame:
+    """node and colour of every node that is not trimmed away, alike within a strongly connected component.
 
-    By colouring: each node takes the smallest node that reaches it as its colour; what reaches that
-    node within the colour is its component.  Components found go, and the rest is coloured anew.
-    Each round is joins over the edges; reachability of all pairs is never made.
+    Each node takes the smallest node that reaches it as its colour; what reaches that node within
+    the colour is its component.  Components found go, and the rest is coloured anew.
     """
-    links = _trimmed(written(simple_edges(edges)))
+    start = links
+    links = _trimmed(written(links))
     found = []
     while not links.isEmpty():
         nodes = links.select(F.col("source").alias("node")).union(links.select("target")).distinct()
@@ -189,11 +189,58 @@ def strong_components(edges: DataFrame, node: str = "node") -> DataFrame:
         gone = marked.select("node")
         rest = links.join(gone, F.col("source") == F.col("node"), "left_anti").join(gone, F.col("target") == F.col("node"), "left_anti")
         links = _trimmed(written(rest))
-    every = found[0] if found else simple_edges(edges).limit(0).select(F.col("source").alias("node"), F.col("source").alias("colour"))
+    every = found[0] if found else start.limit(0).select(F.col("source").alias("node"), F.col("source").alias("colour"))
     for part in found[1:]:
         every = every.unionByName(part)
-    sizes = every.groupBy("colour").agg(F.count("*").alias("size")).filter("size > 1")
-    return every.join(sizes, "colour").select(F.col("node").alias(node), F.col("colour").alias("component"))
+    return every
+
+
+def _chains(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chains of nodes with one edge in and one out: node, head and tail (the nodes around the chain), and node and least of closed rings, which have neither.
+
+    Both ends are found by doubling, so rounds grow with the logarithm of the longest chain.
+    """
+    into = links.groupBy(F.col("target").alias("node")).agg(F.count("*").alias("n"), F.min("source").alias("before")).filter("n = 1")
+    out = links.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("n"), F.min("target").alias("after")).filter("n = 1")
+    state = written(into.join(out.drop("n"), "node").select("node", "before", "after", F.col("node").alias("least")))
+    for _ in range(state.count().bit_length() + 1):
+        on = state.select(F.col("node").alias("after"), F.col("after").alias("_after"), F.col("least").alias("_least"))
+        back = state.select(F.col("node").alias("before"), F.col("before").alias("_before"))
+        step = state.join(on, "after", "left").join(back, "before", "left")
+        step = written(step.select("node", F.coalesce("_before", "before").alias("before"), F.coalesce("_after", "after").alias("after"), F.least("least", F.coalesce("_least", "least")).alias("least"), (F.col("_after").isNotNull() | F.col("_before").isNotNull()).alias("moved")))
+        forget(state)
+        state = step
+        if state.filter("moved").isEmpty():
+            break
+    inner = state.select(F.col("node").alias("after"), F.lit(True).alias("_ring"))
+    marked = state.join(inner, "after", "left")
+    return marked.filter("_ring is null").select("node", F.col("before").alias("head"), F.col("after").alias("tail")), marked.filter("_ring").select("node", "least")
+
+
+def strong_components(edges: DataFrame, node: str = "node") -> DataFrame:
+    """node and component (its smallest node) of strongly connected components of two nodes and more.
+
+    Chains are taken for one edge each, and rings found, by doubling; what is left is coloured.
+    Each round is joins over the edges; reachability of all pairs is never made.  Rounds of
+    colouring grow with the longest path of what is left.
+    """
+    links = written(simple_edges(edges))
+    chains, rings = (written(t) for t in _chains(links))
+    through = chains.select("node").unionByName(rings.select("node"))
+    between = links.join(through, F.col("source") == F.col("node"), "left_anti").join(through, F.col("target") == F.col("node"), "left_anti")
+    over = chains.select(F.col("head").alias("source"), F.col("tail").alias("target"))
+    short = written(between.unionByName(over).distinct())
+    colours = written(_coloured(short.filter("source <> target")))
+    ends = [colours.select(F.col("node").alias(side), F.col("colour").alias(f"{side}_colour")) for side in ("head", "tail")]
+    # a chain lies in a component if both of its ends do, or if it leads back to where it starts
+    inside = chains.join(ends[0], "head", "left").join(ends[1], "tail", "left").filter("head = tail or head_colour = tail_colour")
+    within = inside.select("node", F.coalesce("head_colour", "head").alias("colour"))
+    looped = inside.filter("head = tail and head_colour is null").select(F.col("head").alias("node"), F.col("head").alias("colour")).distinct()
+    every = colours.unionByName(within).unionByName(looped)
+    # of a component with its own chains the smallest node names it
+    named = every.groupBy("colour").agg(F.min("node").alias("component"), F.count("*").alias("size")).filter("size > 1")
+    found = every.join(named, "colour").select(F.col("node").alias(node), "component")
+    return found.unionByName(rings.select(F.col("node").alias(node), F.col("least").alias("component")))
 
 
 def simple_cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
