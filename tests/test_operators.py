@@ -118,6 +118,11 @@ def test_scores_and_authors(spark):
     assert rows(cl.sankey_links(spark.createDataFrame([("x", "s", None)], "layer string, status string, type string"))) == [("s", "Unknown", 1), ("x", "s", 1)]
 
 
+def test_timeline_fills_gaps(spark):
+    docs = spark.createDataFrame([(2001, "a"), (2001, "a"), (2003, "a"), (2003, "b"), (None, "b")], "year int, layer string")
+    assert rows(cl.facet_timeline(docs, "layer")) == [(2001, "a", 2), (2001, "b", 0), (2002, "a", 0), (2002, "b", 0), (2003, "a", 1), (2003, "b", 1)]
+
+
 def test_sampling_and_ranges(spark):
     docs = spark.createDataFrame([(i, date(2020, 1, 1 + i)) for i in range(7)] + [(9, None)], "id int, created date")
     assert [b for _, b in rows(rv.era_buckets(docs, 3).filter("created is not null"), "id", "bucket")] == [0, 0, 0, 1, 1, 2, 2]

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from textloom.operators import combinations as co
 from textloom.operators import payloads as y
 from textloom.operators import references as r
 from textloom.operators import relation_fields as rf
@@ -160,8 +161,9 @@ QUERIES = {
           + CASE WHEN c_custkey % 13 = 0 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 17 = 0 THEN 1 ELSE 0 END AS n FROM customer)""",
     ),
     "set02_source_combinations": (
-        lambda t: y.source_combinations(t.spark, ["bips", "nips", "slips"]).select(F.array_join("combination", "+").alias("combination")),
-        "SELECT unnest(['bips+nips', 'bips+slips', 'nips+slips', 'bips+nips+slips']) AS combination",
+        lambda t: co.combinations(t.documents, "lang").select("combination"),
+        """WITH s AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS i FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL))
+          SELECT string_agg(lang, '+' ORDER BY lang) AS combination FROM range(1, CAST(1 << (SELECT count(*) FROM s) AS BIGINT)) r(mask), s WHERE (mask >> i) & 1 = 1 GROUP BY mask HAVING count(*) > 1""",
     ),
     "stat06_centrality_comparison": (
         lambda t: y.centrality_comparison(_scores(t), 10).select("scope", "metric", "items", "judges", F.round("w", 9).alias("w")),
