@@ -105,8 +105,10 @@ def _templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # what the tree needs of a line: its exact template, then the lead and runs, or the sentences
     runs = F.when((fixed >= LEAST) & ~several & (F.size(toks) >= LONG), F.array(_lead(toks), *_runs(toks)))
     inner = F.when(several, F.filter(F.transform("parts", _sentence_key), lambda k: k.isNotNull()))
-    rated = split.withColumn("fixed", _fixed(toks)).filter("fixed > 0")
-    parsed = written(rated.select("doc", (fixed < LEAST).alias("short"), _exact(toks).alias("exact"), runs.alias("runs"), inner.alias("inner")))
+    rated = split.withColumn("fixed", _fixed(toks))
+    # lines without a fixed token go after they are written: a filter before would be pushed below the tokens and make them again
+    exact_key = F.when(fixed > 0, _exact(toks)).alias("exact")
+    parsed = written(rated.select("doc", (fixed < LEAST).alias("short"), exact_key, runs.alias("runs"), inner.alias("inner"))).filter("exact is not null")
     part = [F.get("runs", F.lit(i)) for i in range(SEGMENTS + 1)]
     opened = [F.xxhash64(part[0], *[F.lit(j) if j == i else part[j + 1] for j in range(SEGMENTS)]) for i in range(SEGMENTS)]
     pair = lambda unit, template: F.struct(unit.alias("unit"), template.alias("template"))
