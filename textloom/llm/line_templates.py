@@ -132,28 +132,23 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     # docs as one column, so that no name of theirs can clash; lines bound as lambda variables are taken apart once
     joined = rows.join(gone, F.col("own") == F.col("found.doc"), "left")
     text, listed = F.col("row.text"), F.col("found.gone")
-    parted = F.transform(F.transform(F.transform(F.split(text, "\n"), _tidy), _sentences), lambda s: F.struct(s.alias("shown"), F.transform(s, _tokens).alias("toks")))
-    keyed = F.transform(
-        parted,
-        lambda line: F.struct(line["shown"].alias("shown"), F.flatten(line["toks"]).alias("all"), F.transform(line["toks"], _sentence_key).alias("keys")),
-    )
-    kept = F.transform(
-        keyed,
-        lambda line: F.when(
-            ~(F.array_contains(listed, _exact(line["all"])) & (_fixed(line["all"]) > 0)),
-            F.when((F.size(line["keys"]) > 1) & (F.size(line["all"]) >= LONG), F.filter(line["shown"], lambda s, i: ~F.coalesce(F.array_contains(listed, F.get(line["keys"], i)), F.lit(False)))).otherwise(line["shown"]),
-        ),
-    )
+    # one pass over a document's lines: each step binds what the next one reads
+    shown = F.transform(F.split(text, "\n"), lambda line: F.struct(line.alias("line"), _sentences(_tidy(line)).alias("shown")))
+    parted = F.transform(shown, lambda x: F.struct(x["line"].alias("line"), x["shown"].alias("shown"), F.transform(x["shown"], _tokens).alias("toks")))
+    flat = F.transform(parted, lambda x: F.struct(*(x[c].alias(c) for c in ("line", "shown", "toks")), F.flatten(x["toks"]).alias("all")))
+
+    def sentences_left(x: Column) -> Column:
+        several = (F.size(x["toks"]) > 1) & (F.size(x["all"]) >= LONG)
+        left = F.filter(x["shown"], lambda s, i: ~F.coalesce(F.array_contains(listed, _sentence_key(F.get(x["toks"], i))), F.lit(False)))
+        return F.when(~(F.array_contains(listed, _exact(x["all"])) & (_fixed(x["all"]) > 0)), F.when(several, left).otherwise(x["shown"]))
+
+    kept = F.transform(flat, lambda x: F.struct(x["line"].alias("line"), x["shown"].alias("shown"), F.coalesce(sentences_left(x), F.array().cast("array<string>")).alias("left")))
     # a line without a sentence left is dropped; one with all of them stays as it was
-    whole = F.zip_with(
-        F.zip_with(F.split(text, "\n"), kept, lambda line, left: F.struct(line.alias("line"), left.alias("left"))),
-        keyed,
-        lambda a, k: F.when(
-            F.size(F.coalesce(a["left"], F.array().cast("array<string>"))) > 0,
-            F.struct(
-                F.when(F.size(a["left"]) == F.size(k["shown"]), a["line"]).otherwise(F.array_join(a["left"], " ")).alias("text"),
-                (F.size(k["shown"]) - F.size(a["left"])).alias("cut"),
-            ),
+    whole = F.transform(
+        kept,
+        lambda x: F.when(
+            F.size(x["left"]) > 0,
+            F.struct(F.when(F.size(x["left"]) == F.size(x["shown"]), x["line"]).otherwise(F.array_join(x["left"], " ")).alias("text"), (F.size(x["shown"]) - F.size(x["left"])).alias("cut")),
         ),
     )
     stay = F.when(listed.isNotNull(), F.filter(whole, lambda line: line.isNotNull()))
