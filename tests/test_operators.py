@@ -55,6 +55,12 @@ def test_concordance(spark):
     assert tau([2, 2, 1], [8, 8, 3]) == pytest.approx(1.0) and tau([1, 1, 1], [1, 2, 3]) is None
 
 
+def test_concordance_beyond_longs(spark):
+    # cubes of 2.2 million are beyond a long, as are the cubes of ties
+    scores = spark.range(2_200_000).selectExpr("'g' as g", "explode(array(0, 1)) as judge", "id as item", "int(id % 2000000 = 0) as score")
+    assert rk.kendall_w(scores, ["g"]).first().w == pytest.approx(1.0)
+
+
 def test_ranks(spark):
     scores = spark.createDataFrame([("in", "a", 2), ("in", "b", 0), ("in", "c", 0), ("out", "a", 1), ("out", "b", 1), ("out", "c", 0)], "m string, item string, score int")
     assert rows(rk.competition_rank(scores, ["m"]), "m", "item", "rank") == [("in", "a", 1), ("in", "b", 2), ("in", "c", 2), ("out", "a", 1), ("out", "b", 1), ("out", "c", 3)]

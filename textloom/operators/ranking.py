@@ -49,12 +49,15 @@ def average_rank(scores: DataFrame, by: list[str], score: str = "score") -> Data
 def kendall_w(scores: DataFrame, by: list[str], judge: str = "judge", item: str = "item", score: str = "score") -> DataFrame:
     """Kendall's W with tie correction of each group's judges, within 0 and 1; null where undefined."""
     ranks = average_rank(scores, [*by, judge], score)
-    ties = scores.groupBy(*by, judge, score).agg(F.count("*").alias("t")).groupBy(*by).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"), F.countDistinct(judge).alias("m"))
+    # cubes of a million and more are beyond a long
+    wide = lambda c: F.col(c).cast("decimal(38,0)")
+    cubed = lambda c: wide(c) * wide(c) * wide(c) - wide(c)
+    ties = scores.groupBy(*by, judge, score).agg(F.count("*").alias("t")).groupBy(*by).agg(F.sum(cubed("t")).alias("ties"), F.countDistinct(judge).alias("m"))
     sums = ranks.groupBy(*by, item).agg(F.sum("average_rank").alias("r"))
     # squared deviations from the mean rank sum m (n + 1) / 2, from sums that add up in any order
     spread = sums.groupBy(*by).agg(F.sum(F.col("r") * F.col("r")).alias("rr"), F.sum("r").alias("rs"), F.count("*").alias("n"))
     s = F.col("rr") - F.col("rs") * F.col("rs") / F.col("n")
-    below = F.col("m") * F.col("m") * (F.col("n") * F.col("n") * F.col("n") - F.col("n")) - F.col("m") * F.col("ties")
+    below = (wide("m") * wide("m") * cubed("n") - wide("m") * F.col("ties")).cast("double")
     return spread.join(ties, by).select(*by, F.when((F.col("n") > 1) & (F.col("m") > 1) & (below > 0), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(12 * s, below)))).alias("w"))
 
 
