@@ -15,6 +15,7 @@ from textloom.operators import ranking as rk
 from textloom.operators import references as rf
 from textloom.operators import review as rv
 from textloom.operators import text as tx
+from textloom.operators import views as vw
 from textloom.operators.components import connected_components
 
 
@@ -129,6 +130,12 @@ def test_timeline_fills_gaps(spark):
     assert rows(cl.facet_timeline(docs, "layer")) == [(2001, "a", 2), (2001, "b", 0), (2002, "a", 0), (2002, "b", 0), (2003, "a", 1), (2003, "b", 1)]
 
 
+def test_files_of_long_ids(spark):
+    wanted = spark.createDataFrame([("12345",), ("7",), ("5A",)], "id string")
+    files = spark.createDataFrame([("1234.md",), ("12345.md",), ("12345.mediawiki",), ("0007.rst",), ("7.md",), ("5a.md",)], "file string")
+    assert rows(vw.located_files(wanted, files, ["mediawiki", "md", "rst"])) == [("12345", "12345.mediawiki"), ("5A", "5a.md"), ("7", "0007.rst")]
+
+
 def test_sampling_and_ranges(spark):
     docs = spark.createDataFrame([(i, date(2020, 1, 1 + i)) for i in range(7)] + [(9, None)], "id int, created date")
     assert [b for _, b in rows(rv.era_buckets(docs, 3).filter("created is not null"), "id", "bucket")] == [0, 0, 0, 1, 1, 2, 2]

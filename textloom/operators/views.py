@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,13 +42,23 @@ def merge_sums(parts: list[DataFrame], key: str, value: str) -> DataFrame:
     return every.groupBy(key).agg(F.sum(value).alias(value))
 
 
-def located_files(wanted: DataFrame, files: DataFrame, endings: list[str]) -> DataFrame:
-    """id and file of each wanted id: padded to four digits, bare or lower case, by the order of endings."""
+def padded(id: Column, width: int = 4) -> Column:
+    """Zeros before an id of digits up to a width; longer ones and others stay whole."""
+    zeros = F.repeat(F.lit("0"), F.greatest(F.lit(width) - F.length(id), F.lit(0)))
+    return F.when(id.rlike("^[0-9]+$"), F.concat(zeros, id)).otherwise(id)
+
+
+def located_files(wanted: DataFrame, files: DataFrame, endings: list[str], folder: list[str] | None = None, names: list[Column] | None = None) -> DataFrame:
+    """id and file of each wanted id: its names in turn (padded to four digits, bare, lower case), each by the order of endings.
+
+    With columns of the folder, on both sides, a file is looked for in the id's own folder; they are returned too.
+    """
+    folder = folder or []
     stem = F.split_part("file", F.lit("."), F.lit(1))
-    listed = files.select("file", stem.alias("stem"), F.array_position(F.array(*map(F.lit, endings)), F.split_part("file", F.lit("."), F.lit(-1))).alias("rank")).filter("rank > 0")
-    names = F.array(F.struct(F.lpad("id", 4, "0").alias("stem"), F.lit(0).alias("kind")), F.struct(F.col("id").alias("stem"), F.lit(1).alias("kind")), F.struct(F.lower("id").alias("stem"), F.lit(2).alias("kind")))
-    tried = wanted.select("id", F.inline(names)).join(listed, "stem")
-    return tried.groupBy("id").agg(F.min_by("file", F.struct("kind", "rank")).alias("file"))
+    listed = files.select(*folder, "file", stem.alias("stem"), F.array_position(F.array(*map(F.lit, endings)), F.split_part("file", F.lit("."), F.lit(-1))).alias("rank")).filter("rank > 0")
+    tries = names or [padded(F.col("id")), F.col("id"), F.lower("id")]
+    tried = wanted.select(*folder, "id", F.inline(F.array(*[F.struct(name.alias("stem"), F.lit(kind).alias("kind")) for kind, name in enumerate(tries)]))).join(listed, [*folder, "stem"])
+    return tried.groupBy(*folder, "id").agg(F.min_by("file", F.struct("kind", "rank")).alias("file"))
 
 
 def model_statistics(findings: DataFrame) -> DataFrame:
