@@ -84,3 +84,17 @@ def test_methods_types_and_models(spark):
     rows = {(r.graph, r.node): r for r in full.collect()}
     assert len(rows) == 6 * 4 and rows["llm", "a"].in_degree == 1 and rows["llm", "d"].in_degree_rank == 3 and rows["text", "b"].pagerank_rank == 1
     assert ce.summaries(full).filter("graph = 'llm'").first()[1:4] == (4, 2, 1)
+
+
+def test_grid_of_nodes_in_one_file(spark):
+    from textloom.operators import ranking
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        nodes = spark.range(0, 4000, 1, 1).selectExpr("concat('n', id) as node")
+        graphs = spark.createDataFrame([("a",), ("b",), ("c",)], "graph string").repartition(1)
+        grid = ranking.in_every_group(nodes, graphs, "node")
+        sizes = [r["count"] for r in grid.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == 12000 and max(sizes) < 6000 and grid.distinct().count() == 12000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

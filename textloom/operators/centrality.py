@@ -151,7 +151,7 @@ def dependency_metrics(edges: DataFrame, nodes: DataFrame, node: str = "node", r
     edges = written(edges)
     graphs = edges.select("graph").distinct()
     # graphs are methods and models: a row for each of their nodes is what is returned
-    grid = written(nodes.select(node).distinct().join(graphs))
+    grid = written(ranking.in_every_group(nodes.select(node).distinct(), graphs, node))
     ranked = page_ranks(edges, grid, node).scores.withColumnRenamed("score", "pagerank")
     valued = eigenvectors(edges, grid, node, rounds=rounds).scores.withColumnRenamed("score", "weighted_eigenvector")
     full = written(degrees(edges, grid, node).join(ranked, ["graph", node]).join(valued, ["graph", node]))

@@ -132,10 +132,19 @@ def kendall_tau_b(scores: DataFrame, by: list[str], item: str = "item", x: str =
     return full.select(*by, F.when(below > 0, F.try_divide(2.0 * F.coalesce("s", F.lit(0)), below)).alias("tau"))
 
 
+def in_every_group(nodes: DataFrame, groups: DataFrame, node: str = "item") -> DataFrame:
+    """Every node with every group; groups are a short list.
+
+    Nodes are dealt anew and stay where they are: a file of few bytes holds a million names,
+    and one task would otherwise make the rows of all groups.
+    """
+    return nodes.select(node).repartition(node).crossJoin(F.broadcast(groups))
+
+
 def score_grid(nodes: DataFrame, scores: DataFrame, by: list[str], node: str = "item") -> DataFrame:
     """A score for every node in every group, 0 where none."""
-    groups = F.broadcast(scores.select(*by).distinct())  # methods and metrics: a short list
-    return nodes.select(node).crossJoin(groups).join(scores, [*by, node], "left").select(*by, node, F.coalesce("score", F.lit(0)).alias("score"))
+    # methods and metrics: a short list
+    return in_every_group(nodes, scores.select(*by).distinct(), node).join(scores, [*by, node], "left").select(*by, node, F.coalesce("score", F.lit(0)).alias("score"))
 
 
 def top_n(scores: DataFrame, by: list[str], n: int, score: str = "score", tie: str = "item") -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import centrality as ce
 from textloom.operators import graph as gr
+from textloom.operators import ranking
 from textloom.operators import review as rv
 from textloom.operators.components import connected_components
 from textloom.plans.bindings import EDGES, FLOWS, NODES, Tables, flows, items, links, nodes
@@ -102,7 +103,7 @@ def _values_sql(rounds: int) -> str:
 
 
 def _grid(t: Tables, edges):
-    return items(t).select(F.col("item").alias("node")).join(edges.select("graph").distinct())
+    return ranking.in_every_group(_part_names(t), edges.select("graph").distinct(), "node")
 
 
 QUERIES = {
