@@ -89,7 +89,8 @@ def heading_level(line: Column) -> Column:
     text = F.rtrim(F.regexp_replace(line, r"\s+$", ""))
     marks = [F.length(F.regexp_extract(text, end, 0)) for end in ("^=*", "=*$")]
     level = F.least(*marks, F.lit(6))
-    return F.when((level >= 2) & (heading_name(text) != ""), level).otherwise(0)
+    # most lines are none: they are told apart by their first marks
+    return F.when(F.startswith(line, F.lit("==")), F.when((level >= 2) & (heading_name(text) != ""), level).otherwise(0)).otherwise(0)
 
 
 def heading_name(line: Column) -> Column:
