@@ -209,3 +209,28 @@ def test_ranks_and_tau_over_many_buckets(spark):
         larger = sum(h == x.g and a > x.score for h, _, a, _ in rows)
         ties = sum(h == x.g and a == x.score for h, _, a, _ in rows)
         assert x["rank"] == larger + 1 and x.average_rank == larger + 1 + (ties - 1) / 2
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_are_split_once(spark):
+    from textloom.operators import standards as st
+
+    docs = spark.createDataFrame([("BIP: 1\nTitle: a\n\n== Change Log ==\nx\n=== End ===\n",), (None,), ("",), ("== a",)], "text string")
+    parsed = docs.select(*st.parsed_columns(F.col("text")))
+    assert [(r.top, r.sections and [tuple(s) for s in r.sections]) for r in parsed.collect()][0][1] == [("changelog", 2, "x"), ("end", 3, "")]
+    # one for the sections, two for the header block: in a <pre> block or in lines
+    assert _plan(parsed).count("split(") <= 3
+
+
+def test_shapes_are_looked_at_once(spark):
+    from textloom.operators import schema_rules as sr
+
+    files = spark.createDataFrame([("a", '{"meta": 1}'), ("b", None)], "file string, text string")
+    problems = sr.document_violations(files, [], ["requires"], ["requires"])
+    reported = sr.report(files, problems)
+    assert [tuple(r)[:4] for r in reported.orderBy("file").collect()] == [("a", "failed", 2, 0), ("b", "failed", 1, 0)]
+    once = _plan(problems).count("schema_of_variant")
+    assert once <= 20 and _plan(reported).count("schema_of_variant") == once
