@@ -1,7 +1,10 @@
 import random
 
+import xxhash
+
 import corpus_pipeline as cp
 from textloom.llm import near_copies
+from textloom.operators.components import connected_components
 
 
 def brute(rows):
@@ -61,3 +64,17 @@ def test_groups_of_a_component():
     for s in sets:
         groups.add(s)
     assert len(groups.links) == 2 and sorted(map(len, groups.members)) == [1, 3]
+
+
+def test_simhash_fingerprints_give_candidates(spark):
+    texts = ["a b c d e f g", "A b  c d e f g", None, "one two"]
+    batch = near_copies.pa.RecordBatch.from_arrays([near_copies.pa.array(range(4)), near_copies.pa.array(texts)], ["doc_id", "text"])
+    sketches = next(near_copies._sketches(iter([batch]))).to_pylist()
+    shingles = [xxhash.xxh64_intdigest(" ".join("abcdefg"[i : i + 5]), 42) for i in range(3)]
+    want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in shingles) > 3)
+    assert [r["fp"] % (1 << 64) for r in sketches] == [want, want, 0, xxhash.xxh64_intdigest("one two", 42)]
+    # no band in common: 1, 2, 3 and 4 have fingerprints that are equal or lead from one to the next within two bits
+    rows = [(1, 0b1010, [1]), (2, 0b1010, [2]), (3, 0b1111, [3]), (4, 0b111111, [4]), (5, -1, [5]), (6, 1 << 40, [6])]
+    classes = spark.createDataFrame(rows, "body long, fp long, bands array<long>")
+    found = {r.node: r.component for r in connected_components(near_copies.near_prints(classes)).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 1} and near_copies.near_bands(classes).isEmpty()

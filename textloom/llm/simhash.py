@@ -52,18 +52,18 @@ def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
     return np.fromiter((digest(joined[i : j - 1], SEED) for i, j in zip([0, *ends], ends[size - 1 :])), np.uint64, n)
 
 
+def majority_bits(hashes: np.ndarray) -> np.uint64:
+    """The bits that are set in over half of the hashes; 0 for none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)].astype(">u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes)).view(">u8")[0]
+
+
 def fingerprints(texts: list[str], size: int = SHINGLE) -> np.ndarray:
     """Majority bits of each text's shingle hashes."""
-    out = np.zeros(len(texts), np.uint64)
-    for k, text in enumerate(texts):
-        hashes = shingle_hashes(text, size)
-        if len(hashes):
-            ones = np.zeros(64, np.int64)
-            for at in range(0, len(hashes), 1 << 16):
-                part = hashes[at : at + (1 << 16)].astype(">u8")
-                ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-            out[k] = np.packbits(2 * ones > len(hashes)).view(">u8")[0]
-    return out
+    return np.array([majority_bits(shingle_hashes(text, size)) for text in texts], np.uint64)
 
 
 def fingerprint_documents(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
