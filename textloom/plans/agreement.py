@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from textloom.functions.shared import dealt
 from textloom.operators import agreement as g
 from textloom.operators import ranking as r
 from textloom.plans.bindings import EDGES, Tables, items, links
@@ -15,7 +16,7 @@ _GRID = """grid AS (SELECT m.method, m.metric, i.item, coalesce(score, 0) AS sco
 
 
 def _degrees(t: Tables):
-    found = links(t).select("method", "source", "target").distinct()
+    found = dealt(links(t).select("method", "source", "target"), t.n_lines(), "method", "source", "target").distinct()
     ends = found.select("method", F.inline(F.array(F.struct(F.lit("in").alias("metric"), F.col("target").alias("item")), F.struct(F.lit("out").alias("metric"), F.col("source").alias("item")))))
     return ends.groupBy("method", "metric", "item").agg(F.count("*").alias("score"))
 
