@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.shared import dealt
+
 
 def clean_name(column: str) -> Column:
     """The name before an e-mail address in angle brackets."""
@@ -44,8 +46,10 @@ def collaboration_edges(authored: DataFrame) -> DataFrame:
 
     Give declared authors, not all contributors: the pairs of a document grow with the square of its authors.
     """
+    per = authored.groupBy("id").agg(F.count("*").alias("n"))
+    pairs = per.agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0] or 0
     mates = authored.alias("x").join(authored.alias("y"), F.expr("x.id = y.id and x.author < y.author"))
-    return mates.groupBy(F.col("x.author").alias("a"), F.col("y.author").alias("b")).agg(F.count("*").alias("weight"))
+    return dealt(mates.select(F.col("x.author").alias("a"), F.col("y.author").alias("b")), pairs, "a", "b").groupBy("a", "b").agg(F.count("*").alias("weight"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
