@@ -169,11 +169,12 @@ def _coloured(links: DataFrame) -> DataFrame:
     found = []
     while not links.isEmpty():
         nodes = links.select(F.col("source").alias("node")).union(links.select("target")).distinct()
-        colours = written(nodes.withColumn("colour", F.col("node")))
+        colours = written(nodes.select("node", F.col("node").alias("colour"), F.lit(True).alias("moved")))
         changed = True
         while changed:
-            sent = links.join(colours, F.col("source") == F.col("node")).groupBy(F.col("target").alias("node")).agg(F.min("colour").alias("sent"))
-            step = written(colours.join(sent, "node", "left").select("node", F.least("colour", "sent").alias("colour"), (F.col("sent") < F.col("colour")).alias("moved")))
+            # a node that kept its colour has sent it before
+            sent = links.join(colours.filter("moved"), F.col("source") == F.col("node")).groupBy(F.col("target").alias("node")).agg(F.min("colour").alias("sent"))
+            step = written(colours.join(sent, "node", "left").select("node", F.least("colour", "sent").alias("colour"), F.coalesce(F.col("sent") < F.col("colour"), F.lit(False)).alias("moved")))
             changed = not step.filter("moved").isEmpty()
             forget(colours)
             colours = step
@@ -217,6 +218,14 @@ def _chains(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.filter("_ring is null").select("node", F.col("before").alias("head"), F.col("after").alias("tail")), marked.filter("_ring").select("node", "least")
 
 
+def _numbered(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges between numbers, and name and id of each node: numbers are shuffled and sorted faster than names."""
+    ends = links.select(F.col("source").alias("name")).union(links.select("target")).distinct()
+    names = written(ends.withColumn("id", F.monotonically_increasing_id()))
+    sides = [names.select(F.col("name").alias(side), F.col("id").alias(f"{side}_id")) for side in ("source", "target")]
+    return links.join(sides[0], "source").join(sides[1], "target").select(F.col("source_id").alias("source"), F.col("target_id").alias("target")), names
+
+
 def strong_components(edges: DataFrame, node: str = "node") -> DataFrame:
     """node and component (its smallest node) of strongly connected components of two nodes and more.
 
@@ -230,7 +239,10 @@ def strong_components(edges: DataFrame, node: str = "node") -> DataFrame:
     between = links.join(through, F.col("source") == F.col("node"), "left_anti").join(through, F.col("target") == F.col("node"), "left_anti")
     over = chains.select(F.col("head").alias("source"), F.col("tail").alias("target"))
     short = written(between.unionByName(over).distinct())
-    colours = written(_coloured(short.filter("source <> target")))
+    numbers, names = _numbered(short.filter("source <> target"))
+    named = [names.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name")) for c in ("node", "colour")]
+    marked = _coloured(numbers).join(named[0], "node").join(named[1], "colour")
+    colours = written(marked.select(F.col("node_name").alias("node"), F.col("colour_name").alias("colour")))
     ends = [colours.select(F.col("node").alias(side), F.col("colour").alias(f"{side}_colour")) for side in ("head", "tail")]
     # a chain lies in a component if both of its ends do, or if it leads back to where it starts
     inside = chains.join(ends[0], "head", "left").join(ends[1], "tail", "left").filter("head = tail or head_colour = tail_colour")
