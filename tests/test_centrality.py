@@ -98,3 +98,39 @@ def test_grid_of_nodes_in_one_file(spark):
         assert sum(sizes) == 12000 and max(sizes) < 6000 and grid.distinct().count() == 12000
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_rounds_move_numbers_and_no_round_deals_nodes_by_graph(spark, monkeypatch):
+    import contextlib
+    import io
+
+    edges, nodes = tables(spark)
+    rounds, write = [], ce.written
+
+    def kept(df):
+        if {"raw", "change"} & set(df.columns) and "outcome" not in df.columns:
+            out = io.StringIO()
+            with contextlib.redirect_stdout(out):
+                df.explain()
+            rounds.append((df.columns, out.getvalue()))
+        return write(df)
+
+    monkeypatch.setattr(ce, "written", kept)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        ce.eigenvectors(edges, nodes, rounds=3)
+        ce.page_ranks(edges, nodes, rounds=3)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(rounds) == 6
+    for columns, plan in rounds:
+        assert "node" not in columns and "source#" not in plan
+        assert "SortMergeJoin [graph" not in plan and "Exchange hashpartitioning(graph" not in plan
+
+
+def test_ends_outside_the_nodes_and_weights(spark):
+    edges = spark.createDataFrame([("g", "a", "b", 1.0), ("g", "a", "x", 3.0), ("g", "y", "a", 2.0), ("h", "a", "b", 5.0), ("h", "b", "a", 5.0)], "graph string, source string, target string, w double")
+    nodes = spark.createDataFrame([(g, n) for g in "gh" for n in "ab"], "graph string, node string")
+    got = {(r.graph, r.node): r.score for r in ce.page_ranks(edges, nodes, weight="w", rounds=1).scores.collect()}
+    # a's rank goes to b by a quarter, b's is spread, y gives nothing
+    assert got == pytest.approx({("g", "a"): 0.075 + 0.85 * 0.25, ("g", "b"): 0.075 + 0.85 * (0.25 + 0.125), ("h", "a"): 0.5, ("h", "b"): 0.5})

@@ -30,21 +30,18 @@ def page_ranks(edges: DataFrame, nodes: DataFrame, node: str = "node", weight: s
     w = F.col(weight) if weight else F.lit(1)
     out = edges.groupBy("graph", "source").agg(F.sum(w).alias("total"))
     # the share of its source's rank that each edge carries, computed once
-    shares = written(edges.join(out, ["graph", "source"]).select("graph", "source", F.col("target").alias("node"), (w / F.col("total")).alias("share")))
-    sizes = nodes.select("graph", node).distinct().groupBy("graph").agg(F.count("*").alias("nodes"))
+    shares = edges.join(out, ["graph", "source"]).select("graph", "source", "target", (w / F.col("total")).alias("w"))
+    names, links = _numbered(shares, nodes, node)
     dangling = out.select("graph", F.col("source").alias("node"), F.lit(False).alias("dangling"))
-    start = nodes.select("graph", F.col(node).alias("node")).distinct().join(dangling, ["graph", "node"], "left").join(sizes, "graph")
-    start = start.select("graph", "node", "nodes", F.coalesce("dangling", F.lit(True)).alias("dangling"), (1.0 / F.col("nodes")).alias("score"))
+    start = names.join(dangling, ["graph", "node"], "left").select("graph", "id", "nodes", F.coalesce("dangling", F.lit(True)).alias("dangling"), (1.0 / F.col("nodes")).alias("score"))
 
     def step(state: DataFrame) -> DataFrame:
-        lost = state.groupBy("graph").agg(F.sum(F.when(F.col("dangling"), F.col("score")).otherwise(0.0)).alias("lost"))
-        sent = shares.join(state.select("graph", F.col("node").alias("source"), "score"), ["graph", "source"])
-        flows = sent.groupBy("graph", "node").agg(F.sum(F.col("score") * F.col("share")).alias("flow"))
+        lost = written(state.groupBy("graph").agg(F.sum(F.when(F.col("dangling"), F.col("score")).otherwise(0.0)).alias("lost")))
         new = damping * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") / F.col("nodes")) + (1 - damping) / F.col("nodes")
-        return state.join(flows, ["graph", "node"], "left").join(lost, "graph").select("graph", "node", "nodes", "dangling", new.alias("score"), F.abs(new - F.col("score")).alias("change"))
+        return state.hint("merge").join(_flows(state, links), "id", "left").join(lost, "graph").select("graph", "id", "nodes", "dangling", new.alias("score"), F.abs(new - F.col("score")).alias("change"))
 
     limit = tolerance * (F.col("nodes") if scaled else 1)
-    return _iterate(start, step, lambda moved: moved.withColumn("norm", F.lit(1.0)), limit, rounds, node, False)
+    return _iterate(start, names, step, lambda moved: moved.withColumn("norm", F.lit(1.0)), limit, rounds, node, False)
 
 
 def eigenvectors(edges: DataFrame, nodes: DataFrame, node: str = "node", weight: str | None = None, shifted: bool = False, rounds: int = 1000, tolerance: float = 1e-6, zero_on_failure: bool = False) -> Iterated:
@@ -54,25 +51,49 @@ def eigenvectors(edges: DataFrame, nodes: DataFrame, node: str = "node", weight:
     where the rounds end before convergence.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    links = written(edges.select("graph", "source", F.col("target").alias("node"), w.alias("w")))
-    sizes = nodes.select("graph", node).distinct().groupBy("graph").agg(F.count("*").alias("nodes"))
-    start = nodes.select("graph", F.col(node).alias("node")).distinct().join(sizes, "graph").select("graph", "node", "nodes", (1.0 / F.sqrt("nodes")).alias("score"))
+    names, links = _numbered(edges.select("graph", "source", "target", w.alias("w")), nodes, node)
+    start = names.select("graph", "id", "nodes", (1.0 / F.sqrt("nodes")).alias("score"))
 
     def step(state: DataFrame) -> DataFrame:
-        sent = links.join(state.select("graph", F.col("node").alias("source"), "score"), ["graph", "source"])
-        flows = sent.groupBy("graph", "node").agg(F.sum(F.col("score") * F.col("w")).alias("flow"))
         raw = F.coalesce("flow", F.lit(0.0)) + (F.col("score") if shifted else F.lit(0.0))
-        return state.join(flows, ["graph", "node"], "left").select("graph", "node", "nodes", raw.alias("raw"), F.col("score").alias("old"))
+        return state.hint("merge").join(_flows(state, links), "id", "left").select("graph", "id", "nodes", raw.alias("raw"), F.col("score").alias("old"))
 
     def scaled_to_one(moved: DataFrame) -> DataFrame:
-        norms = moved.groupBy("graph").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+        norms = written(moved.groupBy("graph").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm")))
         new = F.coalesce(F.try_divide("raw", "norm"), F.lit(0.0))
-        return moved.join(norms, "graph").select("graph", "node", "nodes", "norm", new.alias("score"), F.abs(new - F.col("old")).alias("change"))
+        return moved.join(norms, "graph").select("graph", "id", "nodes", "norm", new.alias("score"), F.abs(new - F.col("old")).alias("change"))
 
-    return _iterate(start, step, scaled_to_one, tolerance * F.col("nodes"), rounds, node, zero_on_failure)
+    return _iterate(start, names, step, scaled_to_one, tolerance * F.col("nodes"), rounds, node, zero_on_failure)
 
 
-def _iterate(start: DataFrame, step, scaled, limit: Column, rounds: int, node: str, zero_on_failure: bool) -> Iterated:
+def _numbered(edges: DataFrame, nodes: DataFrame, node: str) -> tuple[DataFrame, DataFrame]:
+    """graph, node, id and nodes (of the graph) of each node, and links: from (an id) and its edges as an array of id and w.
+
+    Rounds move numbers and lists instead of names and edges.  Few-row tables by graph are
+    written, so that their size is known and no join deals nodes by graph.  A source whose
+    edges Spark splits to several tasks has a list for each.
+    """
+    every = written(nodes.select("graph", F.col(node).alias("node")).distinct())
+    sizes = written(every.groupBy("graph").agg(F.count("*").alias("nodes")))
+    names = written(every.join(sizes, "graph").withColumn("id", F.monotonically_increasing_id()))
+    forget(every)
+    target = names.select("graph", F.col("node").alias("target"), "id")
+    source = names.select("graph", F.col("node").alias("source"), F.col("id").alias("from"))
+    ends = edges.join(target.hint("merge"), ["graph", "target"]).join(source.hint("merge"), ["graph", "source"])
+    pieces = ends.select("from", F.spark_partition_id().alias("piece"), F.struct("id", "w").alias("link"))
+    return names, written(pieces.groupBy("from", "piece").agg(F.collect_list("link").alias("links")).drop("piece"))
+
+
+def _flows(state: DataFrame, links: DataFrame) -> DataFrame:
+    """id and flow: the scores that reach each node over its edges.
+
+    Files of lists and of equal scores are small for their rows, so Spark is told not to broadcast them.
+    """
+    sent = links.hint("merge").join(state.select(F.col("id").alias("from"), "score"), "from").select("score", F.inline("links"))
+    return sent.groupBy("id").agg(F.sum(F.col("score") * F.col("w")).alias("flow"))
+
+
+def _iterate(start: DataFrame, names: DataFrame, step, scaled, limit: Column, rounds: int, node: str, zero_on_failure: bool) -> Iterated:
     """Rounds of ``step`` until every graph is finished or no round is left: a round is one table, removed by the next, and one count.
 
     scaled: a round's table with score, change and norm.
@@ -94,19 +115,19 @@ def _iterate(start: DataFrame, step, scaled, limit: Column, rounds: int, node: s
             over = written(report.filter("outcome is not null"))
             ended.append(over)
             zero = (F.col("outcome") == "exhausted") & F.lit(zero_on_failure)
-            finished.append(written(state.join(over.select("graph", "outcome"), "graph").select("graph", F.col("node").alias(node), F.when(zero, 0.0).otherwise(F.col("score")).alias("score"))))
+            finished.append(written(state.join(over.select("graph", "outcome"), "graph").select("id", F.when(zero, 0.0).otherwise(F.col("score")).alias("score"))))
             if done < graphs:
                 table = state = written(state.join(over.select("graph"), "graph", "left_anti"))
             forget(moved)
         if done == graphs:
             break
     if not ended:  # no round, or no graph
-        none = state.select("graph", "nodes", F.lit(0).alias("rounds"), F.lit(0.0).alias("change"), F.lit("exhausted").alias("outcome")).distinct()
-        return Iterated(state.select("graph", F.col("node").alias(node), "score"), none)
+        finished = [state.select("id", "score")]
+        ended = [state.select("graph", "nodes", F.lit(0).alias("rounds"), F.lit(0.0).alias("change"), F.lit("exhausted").alias("outcome")).distinct()]
     scores, outcomes = finished[0], ended[0]
     for part, more in zip(finished[1:], ended[1:]):
         scores, outcomes = scores.unionByName(part), outcomes.unionByName(more)
-    return Iterated(scores, outcomes)
+    return Iterated(scores.hint("merge").join(names, "id").select("graph", F.col("node").alias(node), "score"), outcomes)
 
 
 def degrees(edges: DataFrame, nodes: DataFrame, node: str = "node") -> DataFrame:

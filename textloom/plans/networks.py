@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from textloom.functions.shared import written
 from textloom.operators import centrality as ce
 from textloom.operators import graph as gr
 from textloom.operators import ranking
@@ -102,26 +103,32 @@ def _values_sql(rounds: int) -> str:
     return out
 
 
+def _scored(t: Tables, operator, **settings):
+    """Scores of the graphs' nodes; the graphs are made once."""
+    edges = written(_graphs(t))
+    return operator(edges, _grid(t, edges), **settings)
+
+
 def _grid(t: Tables, edges):
     return ranking.in_every_group(_part_names(t), edges.select("graph").distinct(), "node")
 
 
 QUERIES = {
     "cmp02_graph_ranks": (
-        lambda t: ce.page_ranks(_graphs(t), _grid(t, _graphs(t))).scores.select("graph", "node", F.round("score", 9).alias("score")),
+        lambda t: _scored(t, ce.page_ranks).scores.select("graph", "node", F.round("score", 9).alias("score")),
         _ranks_sql() + " SELECT graph, node, round(s, 9) AS score FROM r40",
     ),
     "grf04_outcomes": (
-        lambda t: ce.page_ranks(_graphs(t), _grid(t, _graphs(t))).outcomes.select("graph", "nodes", "rounds", F.round("change", 9).alias("change"), "outcome"),
+        lambda t: _scored(t, ce.page_ranks).outcomes.select("graph", "nodes", "rounds", F.round("change", 9).alias("change"), "outcome"),
         _ranks_sql() + " SELECT graph, n AS nodes, CAST(k AS INT) AS rounds, round(change, 9) AS change, 'converged' AS outcome FROM r40 GROUP BY ALL",
     ),
     "cmp02_graph_values": (
-        lambda t: ce.eigenvectors(_graphs(t), _grid(t, _graphs(t))).scores.select("graph", "node", F.round("score", 6).alias("score")),
+        lambda t: _scored(t, ce.eigenvectors).scores.select("graph", "node", F.round("score", 6).alias("score")),
         _values_sql(60) + " SELECT graph, node, round(s, 6) AS score FROM r60",
     ),
     "grf08_zeros_on_failure": (
         lambda t: (lambda found: found.outcomes.join(found.scores.groupBy("graph").agg(F.count_if(F.col("score") != 0).alias("scored")), "graph").select("graph", "rounds", "outcome", "scored"))(
-            ce.eigenvectors(_graphs(t), _grid(t, _graphs(t)), rounds=3, zero_on_failure=True)
+            _scored(t, ce.eigenvectors, rounds=3, zero_on_failure=True)
         ),
         _METHOD_GRAPHS + " SELECT graph, CAST(3 AS INT) AS rounds, 'exhausted' AS outcome, CAST(0 AS BIGINT) AS scored FROM e GROUP BY graph",
     ),
