@@ -153,3 +153,22 @@ def test_a_triple_counted_by_chance_is_not_in_the_trie():
     trie = ng.Trie(t, counts, ng.Totals([(k, ng.shard_stats(counts[k])) for k in (1, 2, 3)]))
     assert (trie.level2.values.n, trie.level3.values.n) == (4, 3)
     assert np.isfinite(trie.log_probabilities(t)).all()
+
+
+def test_memory_of_a_chunk(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(ng, "TRIE_TOKENS", 1 << 14)  # so that the slices that are scored count for little
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{k}" for k in range(60_000)])
+    texts = [" ".join(rng.choice(words, 3000)) for _ in range(100)]
+    rows = pa.record_batch([pa.array([0] * 100, pa.int32()), pa.array(range(100)), pa.array(texts), pa.array([0] * 100)], ["chunk", "doc_id", "text", "held_out"])
+    asked = [r for batch in ng._requests(4)(iter([rows])) for r in batch.to_pylist()]
+    batch = pa.RecordBatch.from_pylist(sorted(asked, key=lambda r: (r["shard"], r["level"])), ng._REQUEST)
+    answers = pa.Table.from_batches(list(ng._answers(iter([batch]))))
+    docs = pa.Table.from_batches([rows]).select(["doc_id", "text", "held_out"])
+    tracemalloc.start()
+    scored = ng._score(docs, answers)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert scored.num_rows == 100 and peak < 230 * scored["n_tokens"].to_numpy().sum(), peak / scored["n_tokens"].to_numpy().sum()

@@ -354,21 +354,21 @@ class Trie:
     def __init__(self, t: Tokens, counts: dict[int, np.ndarray], totals: Totals):
         """counts: of the n-gram that ends at each token, by level; level 3 skips each text's first token."""
         self.words, where, ids = np.unique(t.tokens, return_index=True, return_inverse=True)
-        self.ids = ids.astype(np.int32)  # of the chunk's tokens
+        ids = self.ids = ids.astype(np.int32)  # of the chunk's tokens
         begin = len(self.words)
         self.size = begin + 1  # the last id stands for the beginning
         one = t._previous(ids, begin)
-        c1 = counts[1][where]
+        c1 = counts[1][where].astype(np.int64)
         p1 = (c1 + 1) / (totals.tokens + totals.types + 1)
         # as many beginnings as ends
         c1 = np.append(c1, counts[1][t.starts[1] - 1] if len(t.starts) > 1 else 0)
         seen = counts[2] > 0
-        pair = one * self.size + ids
-        pairs, where, which = np.unique(pair[seen], return_index=True, return_inverse=True)
-        nodes = np.zeros(len(pair), np.int64)
+        pair = one[seen] * np.int64(self.size) + ids[seen]
+        pairs, where, which = np.unique(pair, return_index=True, return_inverse=True)
+        nodes = np.zeros(len(ids), np.int32)
         nodes[seen] = which
         del pair, which
-        c2 = counts[2][seen][where]
+        c2 = counts[2][seen][where].astype(np.int64)
         head, tail = pairs // self.size, pairs % self.size
         g2 = totals.lower_weight(2, c1)
         p2 = (1 - g2[head]) * c2 / np.maximum(c1[head], 1) + g2[head] * p1[tail]
@@ -379,12 +379,13 @@ class Trie:
         # a triple whose hash is a learnt one's by chance may have pairs that are not
         there = (counts[3] > 0) & seen[later] & seen[later - 1]
         at = later[there]
-        before, node = nodes[at - 1], nodes[at]
-        rank = node - first[one[at]]
+        del later, seen
+        rank = nodes[at] - first[one[at]]
         width = int(rank.max(initial=0)) + 1
-        triples, where = np.unique(before * width + rank, return_index=True)
-        context, rank, lower = before[where], rank[where], node[where]
-        c3 = counts[3][there][where]
+        where = np.unique(nodes[at - 1] * np.int64(width) + rank, return_index=True)[1]
+        context, rank, lower = nodes[at[where] - 1].astype(np.int64), rank[where], nodes[at[where]]
+        del at, one, nodes
+        c3 = counts[3][there][where].astype(np.int64)
         g3 = totals.lower_weight(3, c2)
         p3 = (1 - g3[context]) * c3 / np.maximum(c2[context], 1) + g3[context] * p2[lower]
         self.level3 = Level(context, rank, len(pairs))
@@ -419,14 +420,20 @@ class Trie:
 def _ranks(keys: np.ndarray) -> np.ndarray:
     """Each key's place among the distinct keys."""
     order = np.argsort(keys)
+    new = np.zeros(len(keys), bool)
     ordered = keys[order]
-    new = np.zeros(len(keys), np.int64)
     new[1:] = ordered[1:] != ordered[:-1]
-    out = np.empty(len(keys), np.int64)
-    out[order] = np.cumsum(new)
+    del ordered
+    out = np.empty(len(keys), np.int32)
+    out[order] = np.cumsum(new, dtype=np.int32)
     return out
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits where they fit: a chunk holds one for each token and level."""
+    return counts.astype(np.uint32) if counts.max(initial=0) < 1 << 32 else counts
+
+
 def _edges(level: int, shards: int) -> list[int]:
     return [(i << KEY_BITS[level]) // shards for i in range(shards)]
 
@@ -515,30 +522,36 @@ def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
     if not texts:
         return _RESULT_ARROW.empty_table()
     t = Tokens(texts)
+    del texts
     answers = answers.sort_by([("level", "ascending"), ("shard", "ascending")])
     found: dict[int, list[np.ndarray]] = {1: [], 2: [], 3: []}
     stats = []
     for level, code, s in zip(answers.column("level").to_pylist(), answers.column("counts"), answers.column("stats").to_pylist()):
-        found[level].append(counts_unpack(code.as_py()))
+        found[level].append(_narrow(counts_unpack(code.as_py())))
         stats.append((level, s))
+    del answers
     totals = Totals(stats)
+    # a level at a time, and sums of texts instead of values of tokens: a chunk's arrays are most of a worker's memory
     counts = {k: np.concatenate(found.pop(k))[_ranks(t.keys(k))] for k in (1, 2, 3)}
-    base = np.log10((counts[1] + 1) / (totals.tokens + totals.types + 1))
-    logs = np.empty(len(t.tokens))
     trie = Trie(t, counts, totals)
+    first = counts.pop(1)
+    counts.clear()
+    sums = {"known": np.empty(len(t.starts) - 1, np.int64), "base": np.empty(len(t.starts) - 1), "score": np.empty(len(t.starts) - 1)}
     for i, j in t.slices():
-        here = slice(t.starts[i], t.starts[j])
-        logs[here] = trie.log_probabilities(t.part(i, j), trie.ids[here])
-    at = t.starts[:-1]
+        here, part = slice(t.starts[i], t.starts[j]), t.part(i, j)
+        c, at = first[here].astype(np.int64), part.starts[:-1]
+        sums["known"][i:j] = np.add.reduceat((c > 0).astype(np.int64), at)
+        sums["base"][i:j] = np.add.reduceat(np.log10((c + 1) / (totals.tokens + totals.types + 1)), at)
+        sums["score"][i:j] = np.add.reduceat(trie.log_probabilities(part, trie.ids[here]), at)
     return pa.table(
         [
             docs.column("doc_id"),
             pa.array(docs.column("held_out").to_numpy().astype(bool)),
             pa.array(np.diff(t.starts)),
-            pa.array(np.add.reduceat((counts[1] > 0).astype(np.int64), at)),
-            pa.array(np.full(len(texts), totals.tokens)),
-            pa.array(np.add.reduceat(base, at)),
-            pa.array(np.add.reduceat(logs, at)),
+            pa.array(sums["known"]),
+            pa.array(np.full(len(t.starts) - 1, totals.tokens)),
+            pa.array(sums["base"]),
+            pa.array(sums["score"]),
         ],
         schema=_RESULT_ARROW,
     )
