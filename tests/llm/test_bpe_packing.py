@@ -119,3 +119,14 @@ def test_packing_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack_documents(docs, PATH).count() == 0
     assert bpe.encode_digests(docs, PATH).count() == 0
+
+
+def test_the_librarys_encoder_keeps_no_tables_of_the_trie(library):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    found = bpe.library_encoder(path)
+    assert not hasattr(found, "step") and not hasattr(found, "_joined")
+    rng = np.random.default_rng(3)
+    odd = ["a", "B", "é", "É", "ß", "µ", "ª", "İ", "Σ", "K", "́", "'", "'s", "'LL", "--", "12", "²", "<|endoftext|>", "<|", "|>", ".", ",", " ", "日", "😀", "\x1c", "\x85", "_", "‍", "ﬁ"]
+    texts = ["".join(rng.choice(odd, rng.integers(0, 14))) for _ in range(800)]
+    for text, (_, ids) in zip(texts, found.encode_slab(texts)):
+        assert list(memoryview(ids).cast("I")) == library.encode(text, add_special_tokens=False).ids

@@ -21,11 +21,14 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
+import os
 import unicodedata
+from contextlib import contextmanager
 from functools import lru_cache
-from itertools import chain
+from itertools import batched, chain
 from typing import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
@@ -34,6 +37,8 @@ from pyspark.sql import functions as F
 
 #: Words whose ids a worker keeps between batches; beyond it the cache starts anew.
 CACHE_WORDS = 800_000
+#: The same for the library's encoder, whose words cost less to encode anew, and parts that it gets at once.
+LIBRARY_WORDS, BATCH_PARTS = 400_000, 2000
 #: Pairs of tokens and steps of the automaton that a worker keeps; beyond it they start anew.
 CACHE_PAIRS = 4_000_000
 #: Characters of text worked on at once.
@@ -54,21 +59,27 @@ def byte_alphabet() -> list[str]:
     return [chars[b] if b in chars else chr(next(spare)) for b in range(256)]
 
 
+@contextmanager
+def _no_cycles() -> Iterator[None]:
+    """Many small lists and no cycles among them: looking for cycles would take a tenth of the time."""
+    collects = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if collects:
+            gc.enable()
+
+
 class PrefixBpe:
     """Encoder of one tokenizer file with end-of-word marks."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = self._read(path)
         model = spec["model"]
         vocab, suffix = model["vocab"], model["end_of_word_suffix"]
         self.strings = {i: s for s, i in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.special_re = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.part_re = regex.compile(pattern)
         alphabet = byte_alphabet()
-        self._library = Tokenizer.from_file(path)
         self._byte_of = {c: b for b, c in enumerate(alphabet)}
         # symbols: bytes, then bytes that end a word
         symbols = [vocab[c] for c in alphabet] + [vocab[c + suffix] for c in alphabet]
@@ -89,9 +100,20 @@ class PrefixBpe:
             raise ValueError("ids must fit 32 bits and symbols 9")
         self._automaton(spelled)
         self._joined: dict[int, bool] = {}
-        self._words: dict[str, bytes] = {}
         self._decoded: dict[str, str] = {}
 
+    def _read(self, path: str) -> dict:
+        """The tokenizer file, and what splits words."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special_re = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
+        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.part_re = regex.compile(pattern)
+        self._library = Tokenizer.from_file(path)
+        self._words: dict[str, bytes] = {}
+        return spec
+
     def _automaton(self, spelled: dict[int, tuple[int, ...]]) -> None:
         """Suffix automaton of all token spellings: step[state << 9 | symbol]."""
         self.step: dict[int, int] = {}
@@ -236,17 +258,11 @@ class PrefixBpe:
         if len(self._joined) + len(self.step) > CACHE_PAIRS:
             self._joined.clear()
             self.step = dict(self._spelled_steps)
-        # many small lists and no cycles among them: looking for cycles would take a tenth of the time
-        collects = gc.isenabled()
-        gc.disable()
-        try:
+        with _no_cycles():
             split = {w: self._split_word(w) for w in set(words).difference(self._words)}
             known = self.encode_parts({p for parts in split.values() for p in parts if not isinstance(p, int)})
             for w, parts in split.items():
                 self._words[w] = known[parts[0]] if len(parts) == 1 and parts[0] in known else b"".join([self.packed[p] if isinstance(p, int) else known[p] for p in parts])
-        finally:
-            if collects:
-                gc.enable()
 
     def encode_slab(self, texts: list[str]) -> Iterator[tuple[list[str], bytes]]:
         """Words and ids of each text."""
@@ -265,6 +281,58 @@ class PrefixBpe:
         return " ".join(filter(None, map(known.__getitem__, words)))
 
 
+class LibraryBpe(PrefixBpe):
+    """The same words and ids by the tokenizers library, without the trie's tables: for callers that want ids only.
+
+    Distinct parts of Latin-1 words go through the library many at once, between spaces; each
+    ends with one token that has the end-of-word mark.  Other words go through it one by one.
+    """
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
+        model = self._read(path)["model"]
+        self._library.no_truncation()
+        self._library.no_padding()
+        self._ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+        self._ends[[i for s, i in model["vocab"].items() if s.endswith(model["end_of_word_suffix"])]] = True
+
+    def _alone(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self._library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def encode_parts(self, parts: Iterable[bytes]) -> dict[bytes, bytes]:
+        """Ids of each distinct part, as ``PrefixBpe.encode_parts``; parts are normalised and of Latin-1."""
+        out: dict[bytes, bytes] = {}
+        for some in batched(parts, BATCH_PARTS):
+            (ids,) = self._alone([b" ".join(some).decode()])
+            cuts = np.flatnonzero(self._ends[np.frombuffer(ids, "<u4")]) + 1
+            if len(cuts) == len(some):
+                ends = (4 * cuts).tolist()
+                out.update(zip(some, map(ids.__getitem__, map(slice, [0, *ends], ends))))
+            else:
+                out.update(zip(some, self._alone([p.decode() for p in some])))
+        return out
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Encodes the words that the cache lacks."""
+        if len(self._words) > LIBRARY_WORDS:
+            self._words.clear()
+        with _no_cycles():
+            new = set(words).difference(self._words)
+            plain = [w for w in new if (w.isascii() or max(w) < "\u0100") and "<|" not in w]
+            other = list(new.difference(plain))
+            self._words.update(zip(other, self._alone(other)))
+            split = list(map(self._split_word, plain))
+            known = self.encode_parts(set(chain.from_iterable(split)))
+            for w, parts in zip(plain, split):
+                self._words[w] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
+
+
+@lru_cache(maxsize=2)
+def library_encoder(path: str) -> LibraryBpe:
+    """The worker's encoder by the library; read once for each Python worker."""
+    return LibraryBpe(path)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> PrefixBpe:
     """The worker's encoder of a file; read once for each Python worker."""

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.shared import written
-from textloom.llm.bpe import encoder, slabs
+from textloom.llm.bpe import library_encoder, slabs
 
 CAPACITY = 4096
 #: Id that ends each document.
@@ -48,7 +48,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
     """doc_id, piece, start, length and ids_crc32 of each piece."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(tokenizer_path)
+        bpe = library_encoder(tokenizer_path)
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
