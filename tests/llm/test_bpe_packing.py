@@ -130,3 +130,30 @@ def test_the_librarys_encoder_keeps_no_tables_of_the_trie(library):
     texts = ["".join(rng.choice(odd, rng.integers(0, 14))) for _ in range(800)]
     for text, (_, ids) in zip(texts, found.encode_slab(texts)):
         assert list(memoryview(ids).cast("I")) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_the_library_gets_each_distinct_part_once(library, monkeypatch):
+    asked, encode = [], bpe.LibraryBpe.encode_parts
+
+    def noted(self, parts):
+        parts = list(parts)
+        asked.extend(parts)
+        return encode(self, parts)
+
+    monkeypatch.setattr(bpe.LibraryBpe, "encode_parts", noted)
+    found = bpe.LibraryBpe(PATH)
+    for texts in (["Word word, don't", "(word)"], ["WORD. word's DON", "words word"]):
+        for text, (_, ids) in zip(texts, found.encode_slab(texts), strict=True):
+            assert list(memoryview(ids).cast("I")) == library.encode(text, add_special_tokens=False).ids
+    assert len(asked) == 9  # 's 't ( ) , . don word words
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_the_librarys_encoder_cuts_as_the_library(library, wide):
+    rng = np.random.default_rng(5)
+    signs = ["a", "S", "t", "RE", "ve", "ll", "D", "'", "'", " ", "\n", "1", "½", "É", "µ", "ª", "--", "\x1c", "\x85", "\xa0"]
+    if wide:
+        signs += ["<|endoftext|>", "<|", "|>", "<", "|", " ", "　", "᠎", "’", "ſ", "日", "́"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 16))) for _ in range(2000)]
+    for text, (_, ids) in zip(texts, bpe.LibraryBpe(PATH).encode_slab(texts), strict=True):
+        assert list(memoryview(ids).cast("I")) == library.encode(text, add_special_tokens=False).ids

@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 #: Words whose ids a worker keeps between batches; beyond it the cache starts anew.
 CACHE_WORDS = 800_000
-#: The same for the library's encoder, whose words cost less to encode anew, and parts that it gets at once.
-LIBRARY_WORDS, BATCH_PARTS = 400_000, 2000
+#: Parts of words that the library's encoder keeps, which cost less to encode anew, and parts that it gets at once.
+LIBRARY_PARTS, BATCH_PARTS = 400_000, 2000
 #: Pairs of tokens and steps of the automaton that a worker keeps; beyond it they start anew.
 CACHE_PAIRS = 4_000_000
 #: Characters of text worked on at once.
@@ -49,6 +49,15 @@ _NON_SPACE = regex.compile(r"\S+")
 #: Letters below it have the same classes and cases in every Unicode version in use;
 #: words with others are normalised and split by the tokenizers library itself.
 _STABLE = "\u0530"
+#: Kinds of code points: of Latin-1 by themselves, all others in one; and their lower case.
+_SPACE, _LETTER, _NUMBER, _SIGN, _ODD = range(5)
+_LATIN = [chr(c) for c in range(256)]
+_KINDS = np.array([_SPACE if regex.match(r"\s", c) else _LETTER if regex.match(r"\p{L}", c) else _NUMBER if regex.match(r"\p{N}", c) else _SIGN for c in _LATIN] + [_ODD], np.uint8)
+_LOWER = np.array([ord(c.lower()) for c in _LATIN] + [0], np.uint8)
+#: White space beyond Latin-1, the last of which is U+3000.
+_WIDE_SPACES = [ord(c) for c in regex.findall(r"\s", "".join(map(chr, range(0x100, 0x3001))))]
+#: What makes a part with an apostrophe before it: a letter, or two.
+_SHORT, _LONG = [ord(c) for c in "stmd"], [ord(a) << 8 | ord(b) for a, b in ("re", "ve", "ll")]
 
 
 def byte_alphabet() -> list[str]:
@@ -281,50 +290,102 @@ class PrefixBpe:
         return " ".join(filter(None, map(known.__getitem__, words)))
 
 
-class LibraryBpe(PrefixBpe):
-    """The same words and ids by the tokenizers library, without the trie's tables: for callers that want ids only.
+def cut_parts(texts: list[str]) -> tuple[pa.DictionaryArray, str, np.ndarray]:
+    """Parts of all texts in order, the encoding they are in, and where each text's parts begin, and end after the last.
 
-    Distinct parts of Latin-1 words go through the library many at once, between spaces; each
-    ends with one token that has the end-of-word mark.  Other words go through it one by one.
+    Works on arrays of all code points.  Words of Latin-1 are in lower case and split as the
+    tokenizer file says; a word with other letters, or with what may be a special token, is one raw part.
+    """
+    raw = np.frombuffer("\n".join([*texts, "", "", ""]).encode("utf-32-le"), "<u4")
+    narrow = np.minimum(raw, 256).astype(np.uint16)
+    kind, low = _KINDS[narrow], _LOWER[narrow]
+    odd = np.flatnonzero(kind == _ODD)
+    kind[odd[np.isin(raw[odd], _WIDE_SPACES)]] = _SPACE
+    marked = kind == _ODD
+    marked[:-1] |= (narrow[:-1] == ord("<")) & (narrow[1:] == ord("|"))
+    odd = np.flatnonzero(marked)
+    if len(odd):
+        borders = np.flatnonzero(np.diff(kind != _SPACE, prepend=False))
+        begins, ends = borders[::2], borders[1::2]
+        words = np.unique(np.searchsorted(begins, odd, "right") - 1)
+        steps = np.zeros(len(kind), np.int8)
+        steps[begins[words]], steps[ends[words]] = 1, -1
+        kind[np.cumsum(steps, dtype=np.int8) > 0] = _ODD
+    shown = kind != _SPACE
+    starts = np.diff(kind, prepend=_SPACE) != 0
+    starts |= kind == _NUMBER
+    starts &= shown
+    # 's, 't, 'm, 'd, 're, 've and 'll are parts where no other run of signs holds the apostrophe
+    quotes = np.flatnonzero((narrow == ord("'")) & (kind == _SIGN) & starts)
+    pairs = low[quotes + 1].astype(np.uint16) << 8 | low[quotes + 2]
+    short, long = quotes[np.isin(pairs >> 8, _SHORT)], quotes[np.isin(pairs, _LONG)]
+    starts[short + 1] = starts[long + 1] = False
+    starts[short + 2], starts[long + 3] = shown[short + 2], shown[long + 3]
+    chars = np.where(kind == _ODD, raw, low)[shown] if len(odd) else low[shown]
+    offsets = np.append(np.flatnonzero(starts[shown]), len(chars)) * chars.itemsize
+    parts = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(chars)])
+    of_texts = np.searchsorted(np.flatnonzero(starts), np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    return parts.dictionary_encode(), "utf-32-le" if len(odd) else "latin-1", of_texts
+
+
+class LibraryBpe:
+    """The same ids by the tokenizers library, without the trie's tables: for callers that want ids only.
+
+    Distinct parts of Latin-1 words go through the library once, many at once, between spaces;
+    each ends with one token that has the end-of-word mark.  Other words go through it one by one.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
-        model = self._read(path)["model"]
+        self._library = Tokenizer.from_file(path)
         self._library.no_truncation()
         self._library.no_padding()
-        self._ends = np.zeros(max(model["vocab"].values()) + 1, bool)
-        self._ends[[i for s, i in model["vocab"].items() if s.endswith(model["end_of_word_suffix"])]] = True
+        vocab, suffix = self._library.get_vocab(with_added_tokens=False), self._library.model.end_of_word_suffix
+        self._ends = np.zeros(max(vocab.values()) + 1, bool)
+        self._ends[[i for s, i in vocab.items() if s.endswith(suffix)]] = True
+        self._parts: dict[str, bytes] = {}
 
     def _alone(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self._library.encode_batch_fast(words, add_special_tokens=False)]
 
-    def encode_parts(self, parts: Iterable[bytes]) -> dict[bytes, bytes]:
-        """Ids of each distinct part, as ``PrefixBpe.encode_parts``; parts are normalised and of Latin-1."""
-        out: dict[bytes, bytes] = {}
+    def encode_parts(self, parts: Iterable[str]) -> dict[str, bytes]:
+        """Ids of each distinct part; parts are normalised and of Latin-1."""
+        out: dict[str, bytes] = {}
         for some in batched(parts, BATCH_PARTS):
-            (ids,) = self._alone([b" ".join(some).decode()])
+            (ids,) = self._alone([" ".join(some)])
             cuts = np.flatnonzero(self._ends[np.frombuffer(ids, "<u4")]) + 1
             if len(cuts) == len(some):
                 ends = (4 * cuts).tolist()
                 out.update(zip(some, map(ids.__getitem__, map(slice, [0, *ends], ends))))
             else:
-                out.update(zip(some, self._alone([p.decode() for p in some])))
+                out.update(zip(some, self._alone(list(some))))
         return out
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Encodes the words that the cache lacks."""
-        if len(self._words) > LIBRARY_WORDS:
-            self._words.clear()
+    def learn(self, parts: Iterable[str]) -> None:
+        """Encodes the parts that the cache lacks."""
+        if len(self._parts) > LIBRARY_PARTS:
+            self._parts.clear()
+        new = [p for p in parts if p not in self._parts]
+        plain = [p for p in new if (p.isascii() or max(p) < "\u0100") and "<|" not in p]
+        if len(plain) < len(new):
+            other = list(set(new).difference(plain))
+            self._parts.update(zip(other, self._alone(other)))
+        self._parts.update(self.encode_parts(plain))
+
+    def encode_slab(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each text and its ids."""
+        parts, encoding, of_texts = cut_parts(texts)
         with _no_cycles():
-            new = set(words).difference(self._words)
-            plain = [w for w in new if (w.isascii() or max(w) < "\u0100") and "<|" not in w]
-            other = list(new.difference(plain))
-            self._words.update(zip(other, self._alone(other)))
-            split = list(map(self._split_word, plain))
-            known = self.encode_parts(set(chain.from_iterable(split)))
-            for w, parts in zip(plain, split):
-                self._words[w] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
+            distinct = [p.decode(encoding) for p in parts.dictionary.to_pylist()]
+            self.learn(distinct)
+            found = list(map(self._parts.__getitem__, distinct))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        known, begins = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        which = parts.indices.to_numpy()
+        ends = np.append(0, np.cumsum(sizes[which]))
+        ids = known[np.repeat(begins[which] - ends[:-1], sizes[which]) + np.arange(ends[-1])]
+        for text, at, end in zip(texts, ends[of_texts[:-1]], ends[of_texts[1:]]):
+            yield text, ids[at:end].tobytes()
 
 
 @lru_cache(maxsize=2)
