@@ -41,8 +41,8 @@ CACHE_WORDS = 800_000
 LIBRARY_PARTS, BATCH_PARTS = 400_000, 2000
 #: Pairs of tokens and steps of the automaton that a worker keeps; beyond it they start anew.
 CACHE_PAIRS = 4_000_000
-#: Characters of text worked on at once.
-SLAB_CHARS = 3_000_000
+#: Characters of text worked on at once; by the library's encoder, whose arrays hold some tens of bytes for each.
+SLAB_CHARS, LIBRARY_CHARS = 3_000_000, 1_000_000
 
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
 _NON_SPACE = regex.compile(r"\S+")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.shared import written
-from textloom.llm.bpe import library_encoder, slabs
+from textloom.llm.bpe import LIBRARY_CHARS, library_encoder, slabs
 
 CAPACITY = 4096
 #: Id that ends each document.
@@ -53,7 +53,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             i = 0
-            for texts in slabs(batch.column(1)):
+            for texts in slabs(batch.column(1), LIBRARY_CHARS):
                 for _, ids in bpe.encode_slab(texts):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
